@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, url_filter, warc
+from . import language_id, sharding, url_filter, warc
 from .common import table, utf8
 
 
@@ -17,6 +17,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, learn=~language_id.held_out(F.col("doc_id")))
+    got = docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), language_id.predict(model, F.col("text")).alias("p"))
+    return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc.resolve(warc.read_warc(spark, warc.archive(pages, min_revisit_bytes=1000), payload=False))
@@ -52,5 +59,5 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM h LE
 """
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_warc": op4_warc, "op8_url_filter": op8_url_filter}
+QUERIES = {"op1_sharding": op1_sharding, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op8_url_filter": op8_url_filter}
 ORACLE_SQL = {"op4_warc": OP4_SQL, "op8_url_filter": OP8_SQL}
