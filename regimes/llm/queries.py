@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, sharding, url_filter, warc
+from . import language_id, quality, sharding, url_filter, warc
 from .common import table, utf8
 
 
@@ -17,6 +17,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.held_out(F.col("doc_id"), of=5, part=0)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~out)
+    got = docs.select("doc_id", out.alias("held_out"), quality.score(model, F.col("text")).alias("score"))
+    return got.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, learn=~language_id.held_out(F.col("doc_id")))
@@ -59,5 +67,5 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM h LE
 """
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op8_url_filter": op8_url_filter}
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op8_url_filter": op8_url_filter}
 ORACLE_SQL = {"op4_warc": OP4_SQL, "op8_url_filter": OP8_SQL}
