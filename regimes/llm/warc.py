@@ -47,8 +47,7 @@ def build(pages: DataFrame, min_revisit_bytes: int = 1000, date: str = "2024-01-
     keyed = raw.select("page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("n"), F.sha1(F.col("payload").cast("binary")).alias("sha1"))
     first = raw.groupBy("sha256").agg(F.max("page_id").alias("leader"))
 
-    kept = raw.select("page_id", "sha256", "payload").join(first, (raw.sha256 == first.sha256) & raw.page_id.eqNullSafe(first.leader), "left_semi")
-    payloads = kept.groupBy("sha256").agg(F.first("payload").alias("payload"))
+    payloads = raw.groupBy("sha256").agg(F.first("payload").alias("payload"))  # of equal bytes any copy serves
 
     h = keyed.join(first, "sha256")
     revisit = (F.col("n") >= min_revisit_bytes) & F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader"))
