@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, sharding, url_filter, warc
+from . import decontaminate, language_id, quality, sharding, url_filter, warc
 from .common import table, utf8
 
 
@@ -47,6 +47,28 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.s AS payload_digest,
 FROM d JOIN l ON d.s = l.s
 """
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    hit = F.aggregate("_found.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    out = found.select("doc_id", F.col("_found.n_words").alias("n_words"), hit.alias("n_hit"), F.size("_found.items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_found.items").cast("binary"), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+OP6_SQL = r"""
+WITH dw AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item_id, w, least(len(w), 10) AS l, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM bw WHERE len(w) > 0),
+ph AS (SELECT DISTINCT item_id, l, array_to_string(list_slice(w, i, i + l - 1), ' ') AS p FROM bi),
+di AS (SELECT k, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM dw, (SELECT DISTINCT l FROM ph)),
+occ AS (SELECT k, i, di.l AS l, item_id FROM di JOIN ph ON di.l = ph.l AND array_to_string(list_slice(w, i, i + di.l - 1), ' ') = p),
+hits AS (SELECT k, count(DISTINCT x) AS n FROM (SELECT k, unnest(range(i, i + l)) AS x FROM occ) GROUP BY k),
+its AS (SELECT k, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM (SELECT DISTINCT k, item_id FROM occ) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits ON dw.k = hits.k LEFT JOIN its ON dw.k = its.k
+"""
+
+
 #: The contract's rules: host, path, action.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -67,5 +89,5 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM h LE
 """
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op8_url_filter": op8_url_filter}
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op8_url_filter": OP8_SQL}
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op6_decontaminate": op6_decontaminate, "op8_url_filter": op8_url_filter}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL}
