@@ -25,3 +25,27 @@ def joined(parts: Sequence[bytes], gap: int = 0) -> tuple[np.ndarray, np.ndarray
     sep = b"\0" * gap
     lengths = np.fromiter((len(p) + gap for p in parts), np.int64, len(parts))
     return np.frombuffer(sep.join([*parts, b""]), np.uint8), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def groups(batches: Iterator, key: str) -> Iterator:
+    """Runs of rows with equal ``key`` from frames whose rows are sorted by it; a run may go on in the next frame."""
+    import pandas as pd
+
+    held: list = []
+    for frame in batches:
+        if not len(frame):
+            continue
+        k = frame[key].to_numpy()
+        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+        if held and held[-1][key].iloc[-1] != k[0]:
+            yield pd.concat(held) if len(held) > 1 else held[0]
+            held = []
+        for a, b in zip([0, *cuts], [*cuts, len(frame)]):
+            if b < len(frame):
+                part = frame.iloc[a:b]
+                yield pd.concat([*held, part]) if held else part
+                held = []
+            else:
+                held.append(frame.iloc[a:b])
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]

@@ -156,6 +156,6 @@ def archive(pages: DataFrame, path: str | None = None, **options) -> str:
     spark = pages.sparkSession
     top = path or new_folder(spark, "warc")
     payloads, headers = build(pages, **options)
-    payloads.write.parquet(f"{top}/payloads")
+    payloads.write.option("compression", "zstd").parquet(f"{top}/payloads")
     headers.write.parquet(f"{top}/headers")
     return write_warc(records(spark.read.parquet(f"{top}/payloads"), spark.read.parquet(f"{top}/headers")), f"{top}/warc")
