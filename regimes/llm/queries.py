@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dup, quality, sharding, url_filter, warc
+from . import decontaminate, language_id, near_dup, quality, sharding, syncmers, url_filter, warc
 from .common import table, utf8
 
 
@@ -89,9 +89,13 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM h LE
 """
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=5, per_cent=75)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op6_decontaminate": op6_decontaminate, "op8_url_filter": op8_url_filter, "op10_minhash": op10_minhash}
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op6_decontaminate": op6_decontaminate, "op8_url_filter": op8_url_filter, "op9_syncmers": op9_syncmers, "op10_minhash": op10_minhash}
 ORACLE_SQL = {"op4_warc": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL}
