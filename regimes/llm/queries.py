@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dup, quality, sharding, syncmers, url_filter, warc
+from . import decontaminate, language_id, mixing, near_dup, quality, sharding, syncmers, url_filter, warc
 from .common import table, utf8
 
 
@@ -69,6 +69,42 @@ FROM dw LEFT JOIN hits ON dw.k = hits.k LEFT JOIN its ON dw.k = its.k
 """
 
 
+#: The tree of the mix: domains by the number in a source's name, then languages, then sources of equal weight.
+DOMAINS = ["web", "books", "code", "forum"]
+WEIGHTS = {"domain": {"web": 0.5, "books": 0.2, "code": 0.2, "forum": 0.1}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
+
+
+def domain_of(source: Column) -> Column:
+    number = F.try_to_number(F.regexp_extract(source, "[0-9]+", 0), F.lit("999999999")).cast("long")
+    return F.coalesce(F.get(F.array(*[F.lit(d) for d in DOMAINS]), (number % len(DOMAINS)).cast("int")), F.lit("other"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(table(spark, sf_dir, "documents"), levels, WEIGHTS, share=0.9, max_epochs=2).drop("key")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(['web', 'books', 'code', 'forum'][TRY_CAST(regexp_extract(source, '[0-9]+') AS BIGINT) % 4 + 1], 'other') AS domain,
+  coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens)::DOUBLE AS held, 2 * sum(tokens)::DOUBLE AS c FROM d GROUP BY ALL),
+n1 AS (SELECT domain, sum(c) AS c, coalesce(map {'web': 0.5::DOUBLE, 'books': 0.2, 'code': 0.2, 'forum': 0.1}[domain], 1) AS w, floor((SELECT sum(held) FROM leaf) * 0.9::DOUBLE) AS b FROM leaf GROUP BY domain),
+f1 AS (SELECT *, coalesce(sum(c) OVER (ORDER BY c / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + c * sum(w) OVER (ORDER BY c / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / w <= b AS f FROM n1),
+a1 AS (SELECT domain, CASE WHEN f THEN c ELSE greatest(b - sum(CASE WHEN f THEN c ELSE 0 END) OVER (), 0) * w / sum(CASE WHEN f THEN 0 ELSE w END) OVER () END AS b FROM f1),
+n2 AS (SELECT domain, lang, sum(c) AS c, coalesce(map {'en': 0.5::DOUBLE, 'de': 0.2, 'fr': 0.2, 'es': 0.1}[lang], 1) AS w, any_value(b) AS b FROM leaf JOIN a1 USING (domain) GROUP BY domain, lang),
+f2 AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY domain ORDER BY c / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + c * sum(w) OVER (PARTITION BY domain ORDER BY c / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / w <= b AS f FROM n2),
+a2 AS (SELECT domain, lang, CASE WHEN f THEN c ELSE greatest(b - sum(CASE WHEN f THEN c ELSE 0 END) OVER (PARTITION BY domain), 0) * w / sum(CASE WHEN f THEN 0 ELSE w END) OVER (PARTITION BY domain) END AS b FROM f2),
+n3 AS (SELECT domain, lang, source, held, c, 1::DOUBLE AS w, b FROM leaf JOIN a2 USING (domain, lang)),
+f3 AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY domain, lang ORDER BY c / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + c * sum(w) OVER (PARTITION BY domain, lang ORDER BY c / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / w <= b AS f FROM n3),
+a3 AS (SELECT domain, lang, source, held, floor(1e-6 + CASE WHEN f THEN c ELSE greatest(b - sum(CASE WHEN f THEN c ELSE 0 END) OVER (PARTITION BY domain, lang), 0) * w / sum(CASE WHEN f THEN 0 ELSE w END) OVER (PARTITION BY domain, lang) END)::BIGINT AS b FROM f3),
+p AS (SELECT d.*, CASE WHEN held > 0 THEN b // held::BIGINT ELSE 0 END AS whole, CASE WHEN held > 0 THEN b % held::BIGINT ELSE 0 END AS rest FROM d JOIN a3 USING (domain, lang, source)),
+o AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY ('0x' || substr(md5('13:' || whole || ':' || doc_id), 1, 15))::BIGINT, CAST(doc_id AS VARCHAR), tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST(tokens AS BIGINT) AS tokens, CAST(tokens AS BIGINT) AS taken FROM (SELECT *, unnest(range(0, whole)) AS epoch FROM p)
+UNION ALL
+SELECT doc_id, domain, lang, source, CAST(whole AS INTEGER), CAST(tokens AS BIGINT), CAST(least(tokens, rest - before) AS BIGINT) FROM o WHERE before < rest
+"""
+
+
 #: The contract's rules: host, path, action.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -97,5 +133,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=5, per_cent=75)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op6_decontaminate": op6_decontaminate, "op8_url_filter": op8_url_filter, "op9_syncmers": op9_syncmers, "op10_minhash": op10_minhash}
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL}
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op6_decontaminate": op6_decontaminate, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_syncmers": op9_syncmers, "op10_minhash": op10_minhash}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
