@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, near_dup, quality, sharding, syncmers, url_filter, warc
+from . import decontaminate, language_id, mixing, near_dup, quality, repeats, sharding, syncmers, url_filter, warc
 from .common import table, utf8
 
 
@@ -47,6 +47,11 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.s AS payload_digest,
 FROM d JOIN l ON d.s = l.s
 """
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return got.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
     hit = F.aggregate("_found.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -133,5 +138,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=5, per_cent=75)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op6_decontaminate": op6_decontaminate, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_syncmers": op9_syncmers, "op10_minhash": op10_minhash}
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op5_repeats": op5_repeats, "op6_decontaminate": op6_decontaminate, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_syncmers": op9_syncmers, "op10_minhash": op10_minhash}
 ORACLE_SQL = {"op4_warc": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
