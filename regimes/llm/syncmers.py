@@ -20,23 +20,25 @@ def anchors(df: DataFrame, data: str, out: str) -> DataFrame:
     """Add ``out``: the closed syncmers of the binary column ``data``, by place.
 
     A k-mer is chosen if the smallest hash of its inner substrings is that of the first or of the last one. That
-    depends on nothing outside the k-mer, so an edit only changes the anchors that it touches. The minimum of 8
-    neighbours comes from three steps that each double the reach. Data shorter than a k-mer has all its byte
-    pairs as anchors, a single byte itself, empty data none.
+    depends on nothing outside the k-mer, so an edit only changes the anchors that it touches. Most k-mers are ruled
+    out by the first comparisons. Data shorter than a k-mer has all its byte pairs as anchors, a single byte itself,
+    empty data none.
     """
-    half = lambda col, by: f"zip_with({col}, slice({col}, {by + 1}, greatest(size({col}) - {by}, 0)), (x, y) -> least(x, y))"
-    pack = lambda size, before="", after="": f"transform(_at, i -> (xxhash64({before}substring({data}, i, {size}){after}) & {~_PLACE}L) | (i & {_PLACE}))"
+    # The data are put into an array of one and taken as a lambda's variable: a column's bytes would be copied for
+    # each place, and the work on a text would grow with the square of its length.
+    inner = range(1, K - S)
+    least = lambda i: " AND ".join(f"h[i + {i - 1}] <= h[i + {j - 1}]" for j in (K - S - i, *(inner if i == 0 else reversed(inner))))
+    pack = lambda size, before="", after="": f"get(transform(array({data}), b -> transform(_at, i -> (xxhash64({before}substring(b, i, {size}){after}) & {~_PLACE}L) | (i & {_PLACE}))), 0)"
     df = df.withColumn("_n", F.length(data))
-    df = df.withColumn("_h", F.expr(f"CASE WHEN _n >= {K} THEN transform(sequence(1, _n - {S - 1}), i -> xxhash64(substring({data}, i, {S}))) ELSE array() END"))
-    df = df.withColumn("_m2", F.expr(half("_h", 1))).withColumn("_m4", F.expr(half("_m2", 2))).withColumn("_m8", F.expr(half("_m4", 4)))
-    df = df.withColumn("_at", F.expr(f"CASE WHEN _n >= {K} THEN filter(sequence(1, _n - {K - 1}), i -> get(_m8, i - 1) = get(_h, i - 1) OR get(_m8, i - 1) = get(_h, i + {K - S - 1})) WHEN _n > 0 THEN sequence(1, greatest(_n - 1, 1)) ELSE array() END"))
+    df = df.withColumn("_h", F.expr(f"CASE WHEN _n >= {K} THEN get(transform(array({data}), b -> transform(sequence(1, _n - {S - 1}), i -> xxhash64(substring(b, i, {S})))), 0) ELSE array() END"))
+    df = df.withColumn("_at", F.expr(f"CASE WHEN _n >= {K} THEN get(transform(array(_h), h -> filter(sequence(1, _n - {K - 1}), i -> ({least(0)}) OR ({least(K - S)}))), 0) WHEN _n > 0 THEN sequence(1, greatest(_n - 1, 1)) ELSE array() END"))
     df = df.withColumn(out, F.expr(f"CASE WHEN _n >= {K} THEN {pack(K)} ELSE {pack(2, 'concat(', ', X\'02\')')} END"))
-    return df.drop("_n", "_h", "_m2", "_m4", "_m8", "_at")
+    return df.drop("_n", "_h", "_at")
 
 
 def _sketch(df: DataFrame, found: str, out: str) -> DataFrame:
     """Add ``out``: of the anchors ``found`` those with the smallest distinct hashes, each at its first place."""
-    df = df.withColumn("_s", F.array_sort(found))
+    df = df.withColumn("_s", F.sort_array(found))
     distinct = F.expr(f"filter(_s, (x, i) -> i = 0 OR shiftright(x, {BITS}) <> shiftright(get(_s, i - 1), {BITS}))")
     return df.withColumn(out, F.slice(distinct, 1, SKETCH)).drop("_s")
 
@@ -47,7 +49,7 @@ def likeness(a: Column, b: Column) -> Column:
     It is estimated from the smallest hashes of both together; two empty fingerprints are alike.
     """
     ha, hb = (F.transform(x, lambda v: F.shiftright(v, BITS)) for x in (a, b))
-    both = F.slice(F.array_sort(F.array_union(ha, hb)), 1, SKETCH)
+    both = F.slice(F.sort_array(F.array_union(ha, hb)), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect(both, ha), hb))
     # shared / size is the share of the union; twice it over one more than it is that of the mean.
     return F.when(F.size(both) == 0, 1.0).otherwise(F.round(2 * shared / (F.size(both) + shared), 6))
