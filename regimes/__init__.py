@@ -1,0 +1 @@
+"""Comparison of time series across labelled, half-open time windows, as Spark jobs."""
