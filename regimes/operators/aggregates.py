@@ -20,25 +20,34 @@ def _or(col: str, default: float) -> Column:
 
 def observe(series: DataFrame, metrics: DataFrame) -> DataFrame:
     """The transformed observations of each metric: ``metric_id, pos, d, v`` with the metric's parameters."""
-    lags = [r[0] for r in metrics.select("lag").distinct().collect()]
+    lags = [r[0] for r in metrics.select("lag").collect()]
     rows = series.join(metrics.select("metric_id", "series_key", *PARAMS), "series_key")
     return apply_transforms(rows, lags)
 
 
-def attribute(obs: DataFrame, windows: DataFrame, tie: str = "period_end") -> DataFrame:
-    """``obs`` with ``wid``: instants by day, periods by most days; what no window gets is left out."""
+PERIOD_KEYS = ["freq", "period_kind", "fy_month", "fy_day", "d"]
+
+
+def bridge(dates: DataFrame, windows: DataFrame, tie: str = "period_end") -> DataFrame:
+    """``freq, period_kind, fy_month, fy_day, d, wid``: the window of each distinct date and kind of period.
+
+    Instants go by day, periods by most days; dates that no window gets have no row.
+    """
     instant = (F.col("freq") == "D") & F.coalesce(F.col("period_kind") == "instant", F.lit(True))
-    days = term_of_day(obs.where(instant), windows)
-    spans = term_of_period(obs.where(~instant), windows, tie)
-    keys = ["freq", "period_kind", "fy_month", "fy_day", "d"]
-    spans = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], "wid")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys[1:4]] + [F.col(k) == F.col(f"_{k}") for k in ("freq", "d")]
-    by_span = obs.where(~instant).join(spans, same).select(*obs.columns, "wid")
-    return obs.where(instant).join(days, "d").select(*obs.columns, "wid").unionByName(by_span)
+    dates = dates.select(*PERIOD_KEYS).distinct()
+    by_day = dates.where(instant).join(term_of_day(dates.where(instant), windows), "d").select(*PERIOD_KEYS, "wid")
+    return by_day.unionByName(term_of_period(dates.where(~instant), windows, tie))
+
+
+def attribute(obs: DataFrame, windows: DataFrame, tie: str = "period_end", dates: DataFrame | None = None) -> DataFrame:
+    """``obs`` with ``wid``; what no window gets is left out. ``dates``: the kinds and dates that occur, if they can be had cheaper."""
+    spans = bridge(obs if dates is None else dates, windows, tie).select(*[F.col(k).alias(f"_{k}") for k in PERIOD_KEYS], "wid")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in PERIOD_KEYS[1:4]] + [F.col(k) == F.col(f"_{k}") for k in ("freq", "d")]
+    return obs.join(spans, same).select(*obs.columns, "wid")
 
 
 def _values() -> tuple[Column, Column]:
-    """Value and error of each kind, the error checks in the order in which they count."""
+    """Value (which looks at the column ``error``) and error of each kind, the error checks in the order in which they count."""
     kind, n, ppy, scale = F.col("agg_kind"), F.col("n"), _or("ppy", 0.0), _or("agg_scale", 100.0)
     s, e = F.col("sv"), F.col("ev")
     years = F.date_diff("ed", "sd") / F.lit(YEAR_DAYS)
@@ -61,14 +70,14 @@ def _values() -> tuple[Column, Column]:
         "annualized_std": ([(~ok_ppy, "periods_per_year required"), (~two, "need at least 2 observations")], F.col("sd_samp") * root),
         "sharpe_ratio_annualized": ([(~ok_ppy, "periods_per_year required"), (~two, "need at least 2 observations"), (F.col("sd_samp") == 0, "zero std")], F.col("mean") * ppy / F.nullif(F.col("sd_samp") * root, F.lit(0.0))),
     }
-    value, error = F.lit(None).cast("double"), F.concat(F.lit("Unsupported term_aggregation.kind: '"), kind, F.lit("'"))
+    # One flat CASE each: the first check of a row's kind that fails, and the value if none did.
+    failed, value = F.when(F.lit(False), ""), F.when(F.col("error") != "", None)
     for name, (checks, v) in kinds.items():
-        text = F.lit("")
-        for cond, message in reversed(checks):
-            text = F.when(cond, message).otherwise(text)
-        error = F.when(kind == name, text).otherwise(error)
-        value = F.when((kind == name) & (text == ""), v).otherwise(value)
-    return value, error
+        for cond, message in checks:
+            failed = failed.when((kind == name) & cond, message)
+        value = value.when(kind == name, v)
+    known = kind.isin(*kinds)
+    return value, failed.when(known, "").otherwise(F.concat(F.lit("Unsupported term_aggregation.kind: '"), kind, F.lit("'")))
 
 
 def term_metrics(series: DataFrame, metrics: DataFrame, windows: DataFrame, tie: str = "period_end") -> DataFrame:
@@ -79,7 +88,9 @@ def term_metrics(series: DataFrame, metrics: DataFrame, windows: DataFrame, tie:
     before the window's start and end. Errors are texts beside null values.
     """
     obs = observe(series, metrics)
-    placed = attribute(obs, windows, tie)
+    # Dates don't change in a transform: they are taken from before it.
+    dates = series.join(metrics.select("series_key", *PERIOD_KEYS[:4]).distinct(), "series_key")
+    placed = attribute(obs, windows, tie, dates)
     order = Window.partitionBy("metric_id", "wid").orderBy("d", "pos")
     before = F.lag("v").over(order)
     turn = (F.abs(before - F.coalesce("from_value", F.lit(0.0))) < TOLERANCE) & (F.abs(F.col("v") - F.coalesce("to_value", F.lit(1.0))) < TOLERANCE)
@@ -98,10 +109,10 @@ def term_metrics(series: DataFrame, metrics: DataFrame, windows: DataFrame, tie:
     levels = obs.where(daily)
     marks = grid.where(daily).select("metric_id", F.explode(F.array("start", "end")).alias("mark"))
     edge = before_boundaries(levels.select("metric_id", "pos", "d", "v"), marks, "metric_id")
-    has = levels.groupBy("metric_id").agg(F.count(F.lit(1)).alias("any_obs"))
+    has = series.select("series_key").distinct().withColumn("any_obs", F.lit(1))
     b1 = edge.select("metric_id", F.col("mark").alias("start"), F.struct("d", "v").alias("b_start"))
     b2 = edge.select("metric_id", F.col("mark").alias("end"), F.struct("d", "v").alias("b_end"))
-    t = t.join(b1, ["metric_id", "start"], "left").join(b2, ["metric_id", "end"], "left").join(has, "metric_id", "left")
+    t = t.join(b1, ["metric_id", "start"], "left").join(b2, ["metric_id", "end"], "left").join(has, "series_key", "left")
     kind = F.col("agg_kind")
     bounded = kind.isin(*BOUNDARY_KINDS)
     complete = F.col("b_start").isNotNull() & F.col("b_end").isNotNull()
@@ -109,7 +120,7 @@ def term_metrics(series: DataFrame, metrics: DataFrame, windows: DataFrame, tie:
     e = F.when(daily, F.when(complete, F.col("b_end"))).when(bounded | (kind == "last"), F.col("last"))
     t = t.withColumn("s", s).withColumn("e", e).withColumns({"sd": F.col("s.d"), "sv": F.col("s.v"), "ed": F.col("e.d"), "ev": F.col("e.v"), "n": F.coalesce("n", F.lit(0)), "transitions": F.coalesce("transitions", F.lit(0))})
     value, error = _values()
-    t = t.withColumn("value", value).withColumn("error", F.when(daily & F.col("any_obs").isNull(), "empty series").otherwise(error))
+    t = t.withColumn("error", F.when(daily & F.col("any_obs").isNull(), "empty series").otherwise(error)).withColumn("value", value)
     n_obs = F.when(kind == "last", F.when(F.col("n") > 0, 1)).when(bounded, None).otherwise(F.nullif(F.col("n"), F.lit(0))).cast("long")
     return t.select(
         "metric_id", "metric_family", "metric_label", F.col("wid").alias("term_id"), F.col("label").alias("party_abbrev"), F.col("start").alias("term_start"), F.col("end").alias("term_end"), "freq", "agg_kind",

@@ -8,25 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.scalars import overlap_days, period
 
 
-def _by_month(windows: DataFrame, days: DataFrame, start: str, end: str) -> DataFrame:
-    """``windows`` once for each month they touch, cut to the months of ``days`` (columns ``lo``, ``hi``): a key for equi-joins.
+def _by_year(windows: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """``windows`` once for each year they touch (``_year``): a key for equi-joins.
 
-    Windows and days meet by month, so neither side is compared with all of the other, however many windows there are.
+    Windows and days meet by year, so neither side is compared with all of the other, however many windows there
+    are; a window that never ends has some thousands of rows.
     """
-    lo, hi = days.agg(F.min("lo"), F.max("hi")).first()
-    if lo is None:
-        return windows.withColumn("_month", F.lit(None).cast("date")).where("false")
-    a = F.greatest(F.trunc(start, "month"), F.trunc(F.lit(lo), "month")).cast("date")
-    b = F.least(F.trunc(F.date_sub(end, 1), "month"), F.trunc(F.lit(hi), "month")).cast("date")
-    near = windows.where(F.col(start) < F.col(end)).withColumn("_a", a).withColumn("_b", b).where("_a <= _b")
-    return near.withColumn("_month", F.explode(F.expr("sequence(_a, _b, interval 1 month)"))).drop("_a", "_b")
+    near = windows.where(F.col(start) < F.col(end))
+    return near.withColumn("_year", F.explode(F.sequence(F.year(start), F.year(F.date_sub(end, 1)))))
 
 
 def term_of_day(days: DataFrame, windows: DataFrame, day: str = "d") -> DataFrame:
     """``day, wid`` for the distinct days of ``days`` that lie in a window ``[start, end)``; of several the first to start."""
     days = days.select(day).where(F.col(day).isNotNull()).distinct()
-    spread = _by_month(windows.select("wid", "start", "end"), days.select(F.col(day).alias("lo"), F.col(day).alias("hi")), "start", "end")
-    met = days.withColumn("_month", F.trunc(day, "month").cast("date")).join(spread, "_month").where((F.col("start") <= F.col(day)) & (F.col(day) < F.col("end")))
+    spread = _by_year(windows.select("wid", "start", "end"))
+    met = days.withColumn("_year", F.year(day)).join(spread, "_year").where((F.col("start") <= F.col(day)) & (F.col(day) < F.col("end")))
     return met.groupBy(day).agg(F.min_by("wid", F.struct("start", "wid")).alias("wid"))
 
 
@@ -41,9 +37,8 @@ def term_of_period(periods: DataFrame, windows: DataFrame, tie: str = "period_en
     p = periods.select(*keys).where("d IS NOT NULL").distinct()
     p = p.withColumn("p", period(F.col("d"), F.col("freq"), F.col("period_kind"), F.coalesce("fy_month", F.lit(10)), F.coalesce("fy_day", F.lit(1)))).where("p IS NOT NULL")
     p = p.select(*keys, F.col("p.start").alias("ps"), F.col("p.end").alias("pe"), F.xxhash64(*keys).alias("_k"))
-    spread = _by_month(windows.select("wid", "start", "end"), p.select(F.col("ps").alias("lo"), F.date_sub("pe", 1).alias("hi")), "start", "end")
-    months = p.withColumn("_month", F.explode(F.expr("sequence(trunc(ps, 'month'), trunc(date_sub(pe, 1), 'month'), interval 1 month)")))
-    met = months.join(spread, "_month").select("_k", "ps", "pe", "wid", "start", "end").distinct()
+    years = p.withColumn("_year", F.explode(F.sequence(F.year("ps"), F.year(F.date_sub("pe", 1)))))
+    met = years.join(_by_year(windows.select("wid", "start", "end")), "_year").select("_k", "ps", "pe", "wid", "start", "end").distinct()
     met = met.withColumn("days", overlap_days(F.col("ps"), F.col("pe"), F.col("start"), F.col("end"))).where("days > 0")
     most = met.withColumn("most", F.max("days").over(Window.partitionBy("_k"))).where("days = most")
     won = most.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.max_by("wid", F.struct("start", "wid")).alias("last"))

@@ -28,10 +28,15 @@ def windows_sql(rows: list[tuple] = WINDOWS) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{x}', DATE '{a}', DATE '{b}')" for w, x, a, b in rows) + ') AS t(wid, label, "start", "end")'
 
 
+def _daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact daily sums: series of every frequency come from this one aggregation, whose shuffle they share."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
+
+
 def daily(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
     """Daily order totals; with ``nulls`` those of days divisible by 7 are missing."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    d = o.groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("v"))
+    d = _daily_sums(spark, sf_dir).withColumn("v", F.col("v").cast("double"))
     v = F.when(F.dayofmonth("d") % 7 != 0, F.col("v")) if nulls else F.col("v")
     return d.select(F.lit("daily_nulls" if nulls else "daily").alias("series_key"), F.lit(0).cast("long").alias("pos"), "d", v.alias("v"))
 
@@ -47,9 +52,7 @@ TRUNC = {"M": "month", "Q": "quarter", "A": "year"}
 
 def periodic(spark: SparkSession, sf_dir: str, freq: str, nulls: bool = False) -> DataFrame:
     """Order totals by month, quarter or year; with ``nulls`` every fifth month's is missing."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    day = F.col("o_orderdate").cast("date")
-    d = o.groupBy(F.trunc(day, TRUNC[freq]).cast("date").alias("d")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("v"))
+    d = _daily_sums(spark, sf_dir).groupBy(F.trunc("d", TRUNC[freq]).cast("date").alias("d")).agg(F.sum("v").cast("double").alias("v"))
     v = F.when(F.month("d") % 5 != 0, F.col("v")) if nulls else F.col("v")
     return d.select(F.lit({"M": "monthly", "Q": "quarterly", "A": "yearly"}[freq] + ("_nulls" if nulls else "")).alias("series_key"), F.lit(0).cast("long").alias("pos"), "d", v.alias("v"))
 
