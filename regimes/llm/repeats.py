@@ -267,18 +267,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> Da
     Rows with equal texts repeat each other as a whole (if they are long enough), and are settled by their digest
     alone. Columns with these names are replaced. Bytes are compared by 128 bits of hash.
     """
-    docs = docs.drop("_d", "_n_bytes", "_n_removed", "_n_spans", "_kept")
-    keyed = docs.withColumn("_d", F.unhex(F.substring(F.sha2(utf8(F.col(f"`{text}`")), 256), 1, 32)))
-    plain = keyed.select(F.col("_d").alias("d"), utf8(F.col(f"`{text}`")).alias("b"))
+    docs = docs.drop("_n_bytes", "_n_removed", "_n_spans", "_kept")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    b = utf8(F.col(f"`{text}`"))
+    keyed = docs.select(F.struct(*cols).alias("row"), b.alias("b")).withColumn("d", F.unhex(F.substring(F.sha2("b", 256), 1, 32)))
+    plain = keyed.select("d", "b")
     copies = plain.groupBy("d").agg(F.count(F.lit(1)).alias("copies"))
     spans = repeated_spans(plain, length)
-    facts = copies.where("copies > 1").join(spans, "d", "full").select(F.col("d").alias("_d"), F.coalesce("copies", F.lit(1)).alias("_copies"), F.when(F.coalesce("copies", F.lit(1)) == 1, F.col("spans")).alias("_spans"))
-    got = keyed.join(written(facts, "spans"), "_d", "left")
-    b = utf8(F.col(f"`{text}`"))
-    size = F.length(b)
-    gone = F.coalesce(F.col("_copies") > 1, F.lit(False)) & (size >= length)
+    one = F.coalesce("copies", F.lit(1)) == 1
+    facts = copies.where("copies > 1").join(spans, "d", "full").select("d", ~one, F.when(one, F.col("spans"))).toDF("d", "copied", "spans")
+    got = keyed.join(written(facts, "spans"), "d", "left")
+    size = F.length("b").cast("long")
+    gone = F.coalesce("copied", F.lit(False)) & (size >= length)
     cut = F.pandas_udf(_cut_text, "n_removed long, n_spans long, kept binary")
-    some, rest = got.where("_spans IS NOT NULL"), got.where("_spans IS NULL")
-    some = some.withColumn("_cut", cut(b, F.col("_spans"))).select(*docs.columns, size.cast("long").alias("_n_bytes"), F.col("_cut.n_removed").alias("_n_removed"), F.col("_cut.n_spans").alias("_n_spans"), F.col("_cut.kept").alias("_kept"))
-    rest = rest.select(*docs.columns, size.cast("long").alias("_n_bytes"), F.when(gone, size).otherwise(0).cast("long").alias("_n_removed"), gone.cast("long").alias("_n_spans"), F.when(gone, F.lit(b"")).otherwise(b).alias("_kept"))
-    return some.unionByName(rest)
+    some, rest = got.where("spans IS NOT NULL"), got.where("spans IS NULL")
+    some = some.withColumn("cut", cut("b", "spans")).select("row", size.alias("_n_bytes"), F.col("cut.n_removed").alias("_n_removed"), F.col("cut.n_spans").alias("_n_spans"), F.col("cut.kept").alias("_kept"))
+    rest = rest.select("row", size.alias("_n_bytes"), F.when(gone, size).otherwise(0).cast("long").alias("_n_removed"), gone.cast("long").alias("_n_spans"), F.when(gone, F.lit(b"")).otherwise(F.col("b")).alias("_kept"))
+    return some.unionByName(rest).select("row.*", "_n_bytes", "_n_removed", "_n_spans", "_kept")

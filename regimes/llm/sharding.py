@@ -41,26 +41,24 @@ def shard(df: DataFrame, path: str, shards: int = 40, seed: int = 7, bucket_byte
     and texts are rows like others; an empty table gives an empty result.
     """
     spark = df.sparkSession
-    df = df.drop("_slot", "_shard", "_bucket")
-    cols = df.columns
-    key = F.col(f"`{id_col}`")
-    total, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size_of(F.col(f"`{text_col}`"))), F.lit(0))).first()
+    df = df.drop("_slot", "_shard")
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    total, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size_of(text)), F.lit(0))).first()
     buckets = max(1, -(-size // bucket_bytes))
-    where = F.pmod(F.when(key.isNotNull(), F.xxhash64(F.lit(seed), key)).otherwise(F.xxhash64(F.lit(seed), F.col(f"`{text_col}`"))), F.lit(buckets))
-    placed = df.withColumn("_bucket", where)
-    counts = placed.groupBy(F.col("_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    before = offsets(counts).withColumnRenamed("bucket", "_bucket")
+    where = F.pmod(F.when(key.isNotNull(), F.xxhash64(F.lit(seed), key)).otherwise(F.xxhash64(F.lit(seed), text)), F.lit(buckets))
+    counts = df.select(where.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
     # Each bucket is dealt to one task before it is gathered, so that nothing is gathered by the tasks that scatter.
-    dealt = placed.repartition(partitions(spark), "_bucket")
-    packed = dealt.groupBy("_bucket").agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("rows"))
-    mixed = packed.select("_bucket", F.shuffle("rows", seed).alias("rows"))
-    out = mixed.join(before, "_bucket").select("offset", F.posexplode("rows").alias("pos", "row"))
+    dealt = df.select(where.alias("bucket"), F.struct(*cols).alias("row")).repartition(partitions(spark), "bucket")
+    packed = dealt.groupBy("bucket").agg(F.collect_list("row").alias("rows"))
+    mixed = packed.select("bucket", F.shuffle("rows", seed).alias("rows"))
+    out = mixed.join(offsets(counts), "bucket").select("offset", F.posexplode("rows").alias("pos", "row"))
     at = F.col("offset") + F.col("pos")
     which = F.expr(f"int(((({shards}L * (offset + pos + 1)) - 1) div {max(total, 1)}L))")
     start = F.expr(f"(_shard * {max(total, 1)}L) div {shards}L")
-    out = out.select(at.alias("_at"), which.alias("_shard"), *[F.col("row")[c].alias(c) for c in cols])
-    out = out.select(*[F.col(f"`{c}`") for c in cols], (F.col("_at") - start).alias("_slot"), "_shard")
+    out = out.select(at.alias("_at"), which.alias("_shard"), "row")
+    out = out.select(*[F.col("row")[c].alias(c) for c in df.columns], (F.col("_at") - start).alias("_slot"), "_shard")
     out.write.partitionBy("_shard").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 

@@ -61,7 +61,7 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
     h, n = word_hashes([(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts])
     out, at = [], 0
     runs = np.zeros(len(h), np.uint64)
-    for j in range(k):
+    for j in range(min(k, len(h))):
         runs[: len(h) - j] += mix(h[j:] + np.uint64(j + 1)) * np.uint64(pow(int(_STEP), j, 1 << 64))
     runs = mix(runs)
     for m in n.tolist():
