@@ -130,4 +130,4 @@ def strip_html(html: Column) -> Column:
 
 def first_line(s: Column, most: int = 160) -> Column:
     """The first line that isn't blank, trimmed and cut; null if there is none."""
-    return F.substring(F.get(F.filter(F.transform(F.split(s, "\n", -1), F.trim), lambda x: x != ""), F.lit(0)), 1, most)
+    return F.substring(F.get(F.filter(F.transform(F.split(s, "\n", -1), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)), 1, most)

@@ -92,12 +92,12 @@ def read_zip_factor(spark: SparkSession, path: str, key: str, names: list[str],
 
 def factor_lines(text: DataFrame, key: str, names: list[str], missing: tuple[str, ...] = ("-99.99", "-999")) -> DataFrame:
     """:func:`read_factor_text` for texts that were read already (column ``value``)."""
-    lines = F.transform(F.split(F.replace(F.col("value"), F.lit("\r"), F.lit("")), "\n", -1), F.trim)
+    lines = F.transform(F.split(F.replace(F.col("value"), F.lit("\r"), F.lit("")), "\n", -1), lambda x: F.trim(x))
     t = text.select(lines.alias("l")).withColumn("s", F.expr("array_position(transform(l, x -> x rlike '^[0-9]{6}([^0-9]|$)'), true)").cast("int"))
     t = t.where("s > 0").withColumn("l", F.expr("slice(l, s, size(l))"))
     stop = F.array_position("l", "").cast("int")
     t = t.select(F.posexplode(F.when(stop > 0, F.slice("l", 1, stop - 1)).otherwise(F.col("l"))).alias("pos", "line"))
-    cells = t.select("pos", F.transform(F.split("line", ","), F.trim).alias("c")).where(F.size("c") > len(names))
+    cells = t.select("pos", F.transform(F.split("line", ","), lambda x: F.trim(x)).alias("c")).where(F.size("c") > len(names))
     month = F.try_to_timestamp(F.concat(F.col("c")[0], F.lit("01")), F.lit("yyyyMMdd")).cast("date")
     wide = cells.select("pos", month.alias("d"), *[F.col("c")[i + 1].alias(n) for i, n in enumerate(names)]).where("d IS NOT NULL")
     number = F.when(~F.col("text").isin(*missing), parse_number(F.col("text")))
