@@ -41,7 +41,7 @@ def markdown(board: DataFrame) -> list[str]:
 def term_details(t: DataFrame) -> DataFrame:
     """``metric_id, terms``: the windows with a value and a D or R label, in order of time."""
     rows = t.where(F.col("party_abbrev").isin("D", "R") & (F.coalesce("error", F.lit("")) == "") & F.col("value").isNotNull())
-    item = F.struct(F.col("term_start").cast("string").alias("term_start"), F.col("term_end").cast("string").alias("term_end"), F.col("party_abbrev").alias("party"), F.round("value", 4).alias("value"))
+    item = F.struct(F.col("term_start").cast("string").alias("term_start"), F.col("term_end").cast("string").alias("term_end"), F.col("party_abbrev").alias("party"), F.round(F.round("value", 6), 4).alias("value"))
     return rows.groupBy("metric_id").agg(F.array_sort(F.collect_list(item)).alias("terms"))
 
 
