@@ -105,7 +105,7 @@ def _finder(p: Phrases):
                 rows += [(n, [{"start": x, "end": y} for x, y in spans], sorted(items)) for n, spans, items in _search(texts[a:b], p)]
             yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-    return find
+    return find.asNondeterministic()  # else it runs once for a filter and once more for a column
 
 
 def _merged(a: Column, b: Column) -> Column:
@@ -139,9 +139,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
         if out is None:
             out = docs.withColumn("_found", found)
         else:
-            now = out.withColumn("_more", found)
-            both = F.struct(F.col("_found.n_words").alias("n_words"), _merged(F.col("_found.spans"), F.col("_more.spans")).alias("spans"), F.array_sort(F.array_union("_found.items", "_more.items")).alias("items"))
-            out = now.withColumn("_found", both).drop("_more")
+            now = out.withColumn("_found_next", found)
+            both = F.struct(F.col("_found.n_words").alias("n_words"), _merged(F.col("_found.spans"), F.col("_found_next.spans")).alias("spans"), F.array_sort(F.array_union("_found.items", "_found_next.items")).alias("items"))
+            out = now.withColumn("_found", both).drop("_found_next")
     return out
 
 
