@@ -11,6 +11,8 @@ from .common import partitions
 K, S = 10, 3
 #: Anchors of a fingerprint: those with the smallest hashes.
 SKETCH = 64
+#: Ranges of ids for each shuffle partition: with several, partitions come out about even.
+RANGES = 4
 #: An anchor is one long: the upper 34 bits of its hash, and its place (from 1) in the lower 30.
 BITS = 30
 _PLACE = (1 << BITS) - 1
@@ -97,7 +99,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("h"), t.alias("t"))
-    spread, order = with_next(rows.where("doc_id IS NOT NULL"), partitions(docs.sparkSession))
+    spread, order = with_next(rows.where("doc_id IS NOT NULL"), RANGES * partitions(docs.sparkSession))
     chained = spread.withColumn("_next", F.lead("t").over(order))
     # A table of one row is followed by itself: its ghost is there too.
     lone = rows.where("doc_id IS NULL").withColumn("_range", F.lit(-1)).withColumn("_ghost", F.lit(0)).withColumn("_next", F.lit(""))
