@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a leaf that one task puts in order at most, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 1000
+SALTS = 16
 NONE = "(none)"
 #: Orders are whole numbers below this.
 _SPAN = 1 << 60
@@ -87,8 +88,10 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     whole = F.when(F.col("held") > 0, F.expr("budget div held")).otherwise(0)
     plan = plan.select(*names, whole.cast("int").alias("whole"), F.when(F.col("held") > 0, F.expr("budget % held")).otherwise(0).alias("rest"), F.ceil(F.col("rows") / BUCKET_ROWS).cast("long").alias("ranges"))
 
-    # Leaves are few beside rows, but their number isn't bounded: Spark broadcasts the plan only if it is small.
-    planned = rows.join(plan, names)
+    # Leaves are few beside rows, but their number isn't bounded: Spark broadcasts the plan only if it is small, and
+    # else deals rows by leaf and salt, so that a hot leaf's rows don't meet in one task.
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    planned = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, [*names, "salt"]).drop("salt")
     complete = planned.where("whole > 0").select("key", "doc_id", *names, "tokens", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch")).withColumn("taken", F.col("tokens"))
     partial = planned.where("rest > 0").withColumn("at", _order(seed, F.col("whole"), F.col("key")))
     partial = partial.withColumn("range", F.expr(f"at div ({_SPAN}L div ranges)"))
