@@ -221,7 +221,9 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     anchors = written(long.mapInPandas(_find_anchors(length), "d binary, at int, near int, far int, gram long, context long"), "anchors")
     what = F.xxhash64("context", "near", "far")
     grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(what).alias("one"), F.max(what).alias("other")).where("n > 1")
-    again = written(anchors.join(grams.select("gram", (F.col("one") != F.col("other")).alias("differ")), "gram"), "again")
+    # Written first, so that the join deals both sides anew and Spark can split a very common gram's rows.
+    grams = written(grams.select("gram", (F.col("one") != F.col("other")).alias("differ")), "grams")
+    again = written(anchors.join(grams, "gram"), "again")
     contexts = again.groupBy("gram", "context", "near", "far", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "at")).alias("some"))
     settled = again.join(contexts.where("n > 1").select("gram", "context", "near", "far"), ["gram", "context", "near", "far"], "left_semi")
     whole = settled.select("d", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + length).alias("end"))
@@ -230,7 +232,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     texts = long.join(asked.select("d"), "d", "left_semi").groupBy("d").agg(F.first("b").alias("b"))
     cores = texts.join(asked, "d").mapInPandas(_cut_cores(length), "d binary, first int, k1 long, k2 long, head binary, tail binary")
     cores = written(cores, "cores")
-    common = cores.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = written(cores.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
     shared = written(cores.join(common, ["k1", "k2"]), "shared")
     dealt = shared.where(F.col("n") <= HOT).withColumn("k", F.xxhash64("k1", "k2")).repartition(n_out, "k").sortWithinPartitions("k").drop("n")
     fine = dealt.mapInPandas(_merge_cores(length), "d binary, start int, end int")
