@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regimes.llm import decontaminate, language_id, mixing, near_dup, queries, sharding
-from regimes.llm.common import new_folder, table
+from regimes.llm.common import new_folder, small_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter, or like no language learned, go; a missing ``lang`` is filled in."""
+    small_batches(spark)
     model = language_id.fit(docs, learn=~language_id.held_out(F.col("doc_id")))
     found = docs.withColumn("_found", language_id.predict(model, F.col("text")))
     kept = found.where((F.col("_found.lang") != language_id.UNKNOWN) & (F.col("_found.score") > 0))
@@ -24,6 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
+    small_batches(spark)
     kept = near_dup.near_duplicates(docs, k=5, per_cent=75).where("kept").groupBy("doc_id").count().withColumnRenamed("doc_id", "_id")
     out = docs.join(kept, docs.doc_id.eqNullSafe(kept._id))
     # A repeated row is a duplicate too: one row of an id stays.
