@@ -9,8 +9,8 @@ from .common import partitions
 
 #: Bytes of a k-mer and of its inner substrings; a k-mer has 8 of these.
 K, S = 10, 3
-#: Anchors of a fingerprint: those with the smallest hashes.
-SKETCH = 64
+#: Anchors of a fingerprint at most: all that the text has.
+SKETCH = None
 #: Ranges of ids for each shuffle partition: with several, partitions come out about even.
 RANGES = 4
 #: An anchor is one long: the upper 34 bits of its hash, and its place (from 1) in the lower 30.
@@ -39,27 +39,42 @@ def anchors(df: DataFrame, data: str, out: str) -> DataFrame:
 
 
 def _sketch(df: DataFrame, found: str, out: str) -> DataFrame:
-    """Add ``out``: of the anchors ``found`` those with the smallest distinct hashes, each at its first place."""
+    """Add ``out``: the anchors ``found`` by hash, each hash at its first place."""
     df = df.withColumn("_s", F.sort_array(found))
     distinct = F.expr(f"filter(_s, (x, i) -> i = 0 OR shiftright(x, {BITS}) <> shiftright(get(_s, i - 1), {BITS}))")
-    return df.withColumn(out, F.slice(distinct, 1, SKETCH)).drop("_s")
+    return df.withColumn(out, distinct).drop("_s")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The likeness of two fingerprints, 0 to 1: anchors that both texts share, over the mean of their numbers.
+def shifts(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Add ``out``: of each hash that the fingerprints ``a`` and ``b`` share, how far its place in ``b`` is from that in ``a``; ascending.
 
-    It is estimated from the smallest hashes of both together; two empty fingerprints are alike.
+    Both are sorted together, the lowest bit telling which of them an anchor is from, so that equal hashes are
+    neighbours. That leaves 29 bits for places: Spark's arrays end at about half as many bytes of text.
     """
-    ha, hb = (F.transform(x, lambda v: F.shiftright(v, BITS)) for x in (a, b))
-    both = F.slice(F.sort_array(F.array_union(ha, hb)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(both, ha), hb))
-    # shared / size is the share of the union; twice it over one more than it is that of the mean.
-    return F.when(F.size(both) == 0, 1.0).otherwise(F.round(2 * shared / (F.size(both) + shared), 6))
+    tagged = lambda c, bit: f"transform({c}, v -> (v & {~_PLACE}L) | shiftleft(v & {_PLACE}, 1) | {bit}L)"
+    place = lambda v: f"shiftright({v} & {_PLACE}, 1)"
+    none = 1 << 40
+    df = df.withColumn("_m", F.expr(f"sort_array(concat({tagged(a, 0)}, {tagged(b, 1)}))"))
+    shift = f"({place('get(_m, i + 1)')} - {place('x')}) * (1 - 2 * (x & 1))"
+    found = f"transform(_m, (x, i) -> coalesce(if(shiftright(x, {BITS}) = shiftright(get(_m, i + 1), {BITS}), {shift}, {none}L), {none}L))"
+    return df.withColumn(out, F.expr(f"sort_array(filter({found}, x -> x < {none}L))")).drop("_m")
+
+
+def _agreeing(df: DataFrame, found: str, out: str) -> DataFrame:
+    """Add ``out``: how many of the sorted ``found`` are alike, at most."""
+    df = df.withColumn("_r", F.expr(f"filter(transform({found}, (x, i) -> if(coalesce(x = get({found}, i - 1), false), -1, i)), i -> i >= 0)"))
+    return df.withColumn(out, F.expr(f"coalesce(array_max(transform(_r, (p, j) -> coalesce(get(_r, j + 1), size({found})) - p)), 0)")).drop("_r")
+
+
+def likeness(a: Column, b: Column, shared: Column) -> Column:
+    """The likeness of two fingerprints, 0 to 1: anchors that both texts share, over the mean of their numbers; two empty ones are alike."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, 1.0).otherwise(F.round(2 * shared / both, 6))
 
 
 def as_text(sketch: Column) -> Column:
     """A fingerprint as text: the anchors in hexadecimal, by hash."""
-    return F.array_join(F.transform(sketch, lambda v: F.lower(F.hex(v))), ",")
+    return F.lower(F.array_join(F.transform(sketch, F.hex), ","))
 
 
 def with_next(docs: DataFrame, n: int) -> tuple[DataFrame, object]:
@@ -89,7 +104,9 @@ def with_next(docs: DataFrame, n: int) -> tuple[DataFrame, object]:
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Fingerprints of all rows and of their edited texts.
 
-    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. The edited text has
+    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, placed_edited,
+    placed_next``. Fingerprints have all anchors; ``near_`` counts the hashes that two of them share, ``placed_`` only
+    those that one shift of the texts brings together, for the shift that has most. The edited text has
     its last ``floor(n_chars / 4)`` code points replaced by the first as many (or all) of the next document's, by
     ascending id; the first follows the last. Null texts are empty. Rows of the same id follow one another by a
     hash of their text. Rows without an id are followed by an empty text, and no row is followed by them.
@@ -120,6 +137,12 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         part = part.withColumn("_edited", edited)
         part = _sketch(_sketch(part, "_own", "_a"), "_edited", "_e").select("doc_id", "h", "_range", "_ghost", "n_chars", "edited_sha256", "_a", "_e")
         part = part.withColumn("_f", F.lead("_a").over(order) if follow else F.array().cast("array<long>"))
-        part = part.where("_ghost = 0").select("doc_id", "n_chars", "edited_sha256", as_text(F.col("_a")).alias("fingerprint"), as_text(F.col("_e")).alias("edited_fingerprint"), likeness(F.col("_a"), F.col("_e")).alias("near_edited"), likeness(F.col("_a"), F.col("_f")).alias("near_next"))
+        part = part.where("_ghost = 0")
+        pairs = {"edited": "_e", "next": "_f"}
+        for name, other in pairs.items():
+            part = _agreeing(shifts(part, "_a", other, f"_by_{name}"), f"_by_{name}", f"_at_{name}")
+        near = [likeness(F.col("_a"), F.col(x), F.size(f"_by_{n}")).alias(f"near_{n}") for n, x in pairs.items()]
+        placed = [likeness(F.col("_a"), F.col(x), F.col(f"_at_{n}")).alias(f"placed_{n}") for n, x in pairs.items()]
+        part = part.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("_a")).alias("fingerprint"), as_text(F.col("_e")).alias("edited_fingerprint"), *near, *placed)
         out = part if out is None else out.unionByName(part)
     return out

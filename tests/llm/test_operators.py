@@ -318,6 +318,29 @@ def test_syncmers(spark, odd, none):
     assert syncmers.fingerprints(odd.where("doc_id = 1")).first().near_next == 1.0
 
 
+def test_syncmers_keep_all_anchors_and_match_by_place(spark):
+    some = random.Random(9)
+    letters = lambda n: "".join(some.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, swapped = letters(400), [letters(3000) for _ in range(4)]
+    texts = [letters(20000) + passage + letters(9000), letters(5000) + passage + letters(24000), "".join(swapped), "".join(swapped[::-1]), "", "short", "De " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in syncmers.fingerprints(df).collect()}
+
+    def placed(a, b):
+        a, b = ({v >> syncmers.BITS: v & ((1 << syncmers.BITS) - 1) for v in sketch(t.encode())} for t in (a, b))
+        most = max(Counter(b[x] - a[x] for x in a if x in b).values(), default=0)
+        return 1.0 if not a and not b else round(2 * most / (len(a) + len(b)), 6)
+
+    for i, t in enumerate(texts):
+        nxt, q = texts[(i + 1) % len(texts)], len(t) // 4
+        assert len(got[i].fingerprint.split(",")) == max(1, len(sketch(t.encode())))
+        assert (got[i].placed_edited, got[i].placed_next) == pytest.approx((placed(t, t[: len(t) - q] + nxt[:q]), placed(t, nxt)), abs=1e-6), i
+    # A passage of 400 in 30,000 bytes shows; blocks in another order are alike, but not in place.
+    assert len(got[0].fingerprint.split(",")) > 5000
+    assert 0.008 < got[0].placed_next < 0.02
+    assert got[2].near_next > 0.95 and got[2].placed_next < 0.3
+
+
 def brute_groups(rows, k=5):
     sets = {}
     for i, t in rows:
