@@ -61,7 +61,8 @@ def bootstrap(obs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     rows = rows.withColumn("k", F.row_number().over(group.orderBy("obs_key")) - 1).withColumn("size", F.count(F.lit(1)).over(group)).withColumn("value", F.round("value", 6).cast("decimal(38,6)"))
     draws = rows.select("metric_id", "label", "size", F.col("k").alias("j"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("b"))
     draws = draws.withColumn("k", F.pmod(draw(F.lit(seed), F.col("metric_id"), F.lit("boot"), F.col("label"), F.col("b"), F.col("j")), F.col("size")))
-    got = draws.join(rows.select("metric_id", "label", "k", "value"), ["metric_id", "label", "k"])
+    # The draws come from few rows, so that Spark takes them for small and would broadcast them.
+    got = draws.join(rows.select("metric_id", "label", "k", "value").hint("merge"), ["metric_id", "label", "k"])
     mean = lambda x: F.sum(F.when(F.col("label") == x, F.col("value"))).cast("double") / F.nullif(F.count(F.when(F.col("label") == x, 1)), F.lit(0)).cast("double")
     diffs = got.groupBy("metric_id", "b").agg((mean("D") - mean("R")).alias("diff")).where("diff IS NOT NULL")
     ends = diffs.groupBy("metric_id").agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
@@ -91,6 +92,23 @@ def site_tier(q: Column) -> Column:
     return F.when(q < 0.05, "confirmatory").when(q < 0.10, "supportive").otherwise("exploratory")
 
 
+def randomization(terms: DataFrame, permutations: int = 10_000, samples: int = 2_000, seed: int = 42, block_years: int = 0, q_most: float = 0.05, n_least: int = 12) -> DataFrame:
+    """The test of every metric in ``aggregates.term_metrics`` rows: ``metric_id, n_obs, n_d, n_r, observed, perm_mean, perm_std, z, p, ci_low, ci_high, q, evidence_tier``.
+
+    Windows labelled D or R that have a value are the observations. Shuffles stay within blocks of ``block_years``
+    from the metric's first window; 0 is one block. Discovery rates are over all metrics together. As between
+    stages, ``p`` and ``q`` go on with six decimals.
+    """
+    known = terms.where(F.col("party_abbrev").isin("D", "R") & F.col("value").isNotNull() & (F.trim("metric_id") != ""))
+    year = F.year("term_start")
+    first = F.min(year).over(Window.partitionBy("metric_id"))
+    block = F.coalesce(F.floor((year - first) / block_years).cast("int"), F.lit(-1)) if block_years > 0 else F.lit(0)
+    obs = known.select(F.trim("metric_id").alias("metric_id"), F.col("term_id").alias("obs_key"), F.col("party_abbrev").alias("label"), "value", block.alias("block"))
+    tested = permutation_test(obs, permutations, seed).join(bootstrap(obs, samples, seed), "metric_id", "left")
+    rated = false_discovery(tested.withColumn("p", F.round("p", 6))).withColumn("q", F.round("q", 6))
+    return rated.withColumn("evidence_tier", evidence_tier(F.col("q"), F.col("n_obs"), q_most, n_least))
+
+
 def _stream(seed: int, metric: str, stream: str) -> random.Random:
     return random.Random(int.from_bytes(hashlib.sha256(f"{seed}:{metric}:{stream}".encode()).digest()[:8], "big"))
 
@@ -154,4 +172,4 @@ def sequential_test(obs: DataFrame, permutations: int, samples: int, seed: int =
     return rows.select("metric_id", "pos", "label", "value", "year").groupBy("metric_id").applyInPandas(test, RESULT)
 
 
-__all__ = ["bootstrap", "draw", "evidence_tier", "false_discovery", "observed", "permutation_test", "permutations", "sequential_test", "site_tier"]
+__all__ = ["bootstrap", "draw", "evidence_tier", "false_discovery", "observed", "permutation_test", "permutations", "randomization", "sequential_test", "site_tier"]

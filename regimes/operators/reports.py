@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_label, first_filled, frequency_label, interval_text, md_escape
@@ -12,11 +12,23 @@ from .inference import site_tier
 REQUIRED = ("label", "publisher", "program", "access_provider", "url")
 
 
+def last_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """A keyed table as read from a file: keys are trimmed, rows with a blank one go, and of duplicates the last by ``pos`` stays.
+
+    Tables without ``pos`` have no order and stay as they are.
+    """
+    if "pos" not in df.columns:
+        return df
+    for k in keys:
+        df = df.withColumn(k, F.trim(k)).where(F.col(k) != "")
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pos")))).where("_nth = 1").drop("_nth", "pos")
+
+
 def contrast(summary: DataFrame) -> DataFrame:
     """One row for each metric of a party summary: D and R side by side, and the difference of their rounded means."""
     pick = lambda p, c: F.max(F.when(F.col("party_abbrev") == p, F.col(c)))
     text = lambda c: F.coalesce(pick("D", c), pick("R", c)).alias(c)
-    t = summary.where(F.col("party_abbrev").isin("D", "R")).groupBy("metric_id").agg(
+    t = last_rows(summary, "party_abbrev", "metric_id").where(F.col("party_abbrev").isin("D", "R")).groupBy("metric_id").agg(
         *[text(c) for c in ("metric_label", "metric_family", "agg_kind", "units")],
         pick("D", "n_terms").alias("n_d"), pick("R", "n_terms").alias("n_r"), F.round(pick("D", "mean"), 6).alias("d_mean"), F.round(pick("R", "mean"), 6).alias("r_mean"),
     )
@@ -25,7 +37,7 @@ def contrast(summary: DataFrame) -> DataFrame:
 
 def scoreboard(summary: DataFrame, tests: DataFrame) -> DataFrame:
     """The report's rows, to be sorted by ``q`` (missing last) and ``metric_id``. Metrics without a test keep blanks."""
-    t = tests.select("metric_id", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
+    t = last_rows(tests, "metric_id").select("metric_id", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
     out = contrast(summary).join(t, "metric_id", "left")
     return out.withColumn("metric_label", clean_label(F.col("metric_label"))).withColumn("ci", interval_text(F.col("ci_low"), F.col("ci_high"))).withColumn("tier", site_tier(F.col("q")))
 

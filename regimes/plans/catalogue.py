@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -252,9 +254,9 @@ def _draw(*parts: str) -> str:
     return "('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 8))::BIGINT"
 
 
-def _perm_sql(block: str, n: int) -> str:
+def _perm_sql(block: str, n: int, source: str = inputs.QUARTERLY_SQL) -> str:
     mean = lambda c: f"(sum(CAST(value AS DECIMAL(38,6))) FILTER ({c}))::DOUBLE / nullif(count(*) FILTER ({c}), 0)"
-    return f"""WITH q AS (SELECT metric_id, obs_key, label, value, {block} AS block FROM ({inputs.QUARTERLY_SQL})),
+    return f"""WITH q AS (SELECT metric_id, obs_key, label, value, {block} AS block FROM ({source})),
 x AS (SELECT *, count(*) FILTER (label = 'D') OVER (PARTITION BY metric_id, block) AS in_d FROM q),
 p AS (SELECT metric_id, b, value, row_number() OVER (PARTITION BY metric_id, b, block ORDER BY {_draw("'42'", 'metric_id', "'perm'", 'b', 'obs_key')}, obs_key) <= in_d AS is_d FROM x, range(1, {n + 1}) t(b)),
 f AS (SELECT metric_id, b, {mean('is_d')} - {mean('NOT is_d')} AS diff FROM p GROUP BY 1, 2),
@@ -279,13 +281,17 @@ def permutation_blocked(spark: SparkSession, d: str) -> DataFrame:
     return _tested(spark, d, True, 200)
 
 
-BOOT_SQL = f"""WITH q AS (SELECT *, row_number() OVER (PARTITION BY metric_id, label ORDER BY obs_key) - 1 AS k, count(*) OVER (PARTITION BY metric_id, label) AS size FROM ({inputs.QUARTERLY_SQL})),
-g AS (SELECT metric_id, label, b, {_draw("'42'", 'metric_id', "'boot'", 'label', 'b', 'k')} % size AS k FROM q, range(1, 101) t(b)),
+def _boot_sql(n: int, source: str = inputs.QUARTERLY_SQL) -> str:
+    return f"""WITH q AS (SELECT *, row_number() OVER (PARTITION BY metric_id, label ORDER BY obs_key) - 1 AS k, count(*) OVER (PARTITION BY metric_id, label) AS size FROM ({source})),
+g AS (SELECT metric_id, label, b, {_draw("'42'", 'metric_id', "'boot'", 'label', 'b', 'k')} % size AS k FROM q, range(1, {n + 1}) t(b)),
 f AS (SELECT metric_id, b, (sum(CAST(value AS DECIMAL(38,6))) FILTER (label = 'D'))::DOUBLE / count(*) FILTER (label = 'D') - (sum(CAST(value AS DECIMAL(38,6))) FILTER (label = 'R'))::DOUBLE / count(*) FILTER (label = 'R') AS diff
   FROM g JOIN q USING (metric_id, label, k) GROUP BY 1, 2)
 SELECT metric_id, round(quantile_cont(diff, 0.025), 6) AS ci_low, round(quantile_cont(diff, 0.975), 6) AS ci_high FROM f GROUP BY 1"""
 
 
+BOOT_SQL = _boot_sql(100)
+
+
 @query("bootstrap_ci_portable", BOOT_SQL)
 def bootstrap_ci_portable(spark: SparkSession, d: str) -> DataFrame:
     t = inference.bootstrap(inputs.quarterly_values(spark, d), 100)
@@ -320,6 +326,29 @@ def evidence_tier(spark: SparkSession, d: str) -> DataFrame:
     return _bh(spark, d).select("metric_id", inference.evidence_tier(F.col("q"), F.col("n"), 0.3, 2).alias("tier"), inference.site_tier(F.col("q")).alias("site_tier"))
 
 
+#: One full run: 10,000 shuffles and 2,000 samples of every metric's windows, discovery rates over all metrics.
+RANDOMIZATION_SQL = f"""WITH terms AS MATERIALIZED (SELECT metric_id, term_id AS obs_key, party_abbrev AS label, value FROM ({FULL_SQL}) WHERE party_abbrev IN ('D', 'R') AND value IS NOT NULL),
+pt AS ({_perm_sql("0", 10_000, "SELECT * FROM terms")}), bt AS ({_boot_sql(2_000, "SELECT * FROM terms")}),
+sizes AS (SELECT metric_id, count(*) AS n_obs, count(*) FILTER (label = 'D') AS n_d, count(*) FILTER (label = 'R') AS n_r FROM terms GROUP BY 1),
+tested AS (SELECT sizes.*, observed, perm_mean, perm_std, z, p, ci_low, ci_high FROM sizes LEFT JOIN pt ON sizes.metric_id = pt.metric_id LEFT JOIN bt ON sizes.metric_id = bt.metric_id),
+ranked AS (SELECT *, row_number() OVER (ORDER BY p, metric_id) AS r, count(*) OVER () AS m FROM tested WHERE p IS NOT NULL),
+rated AS (SELECT metric_id, round(least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM ranked)
+SELECT tested.*, q, CASE WHEN q < 0.05 AND n_obs >= 12 THEN 'confirmatory' WHEN q < 0.10 AND n_obs >= 12 THEN 'supportive' ELSE 'exploratory' END AS evidence_tier FROM tested LEFT JOIN rated ON tested.metric_id = rated.metric_id"""
+
+
+def _kept_terms(spark: SparkSession, d: str) -> DataFrame:
+    """All metrics' values by window, computed once: a row for each metric and window, in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return term_table(spark, d, METRICS).checkpoint()
+
+
+@query("term_randomization", RANDOMIZATION_SQL)
+def term_randomization(spark: SparkSession, d: str) -> DataFrame:
+    t = inference.randomization(_kept_terms(spark, d).withColumn("value", F.round("value", 6)))
+    return t.select("metric_id", "n_obs", "n_d", "n_r", *[F.round(c, 6).alias(c) for c in ("observed", "perm_mean", "perm_std")], F.round("z", 4).alias("z"), "p", *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")], "q", "evidence_tier")
+
+
 # Construction of windows.
 
 SPANS_SQL = "SELECT user_id AS person, event_type AS label, CAST(ts AS DATE) AS \"start\", CAST(ts AS DATE) + 1 AS \"end\", min(event_id) AS pos FROM events GROUP BY 1, 2, 3, 4"
@@ -444,6 +473,18 @@ def scoreboard(spark: SparkSession, d: str) -> DataFrame:
     return _board(spark, d)[0].select("metric_id", "metric_label", "n_d", "n_r", "d_mean", "r_mean", "diff", "q", "tier")
 
 
+def _tested_board(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The board with the tests of its own values; ``_board`` has stand-ins for them, as the SQL of ``scoreboard`` does."""
+    t = _kept_terms(spark, d)
+    return reports.scoreboard(aggregates.party_summary(t), inference.randomization(t)), t
+
+
+@query("scoreboard_tested", CONTRAST_SQL + f"""SELECT c.metric_id, replace(c.metric_id, '_', ' ') AS metric_label, c.n_d, c.n_r, d_mean, r_mean, round(d_mean - r_mean, 6) AS diff, p, q, ci_low, ci_high,
+CASE WHEN q < 0.05 THEN 'confirmatory' WHEN q < 0.10 THEN 'supportive' ELSE 'exploratory' END AS tier FROM c LEFT JOIN ({RANDOMIZATION_SQL}) t ON c.metric_id = t.metric_id""")
+def scoreboard_tested(spark: SparkSession, d: str) -> DataFrame:
+    return _tested_board(spark, d)[0].select("metric_id", "metric_label", "n_d", "n_r", "d_mean", "r_mean", "diff", "p", "q", "ci_low", "ci_high", "tier")
+
+
 @query("term_details", f"SELECT metric_id, term_id, party_abbrev, round(value, 4) AS value FROM ({FULL_SQL}) WHERE party_abbrev IN ('D', 'R') AND error = '' AND value IS NOT NULL")
 def term_details(spark: SparkSession, d: str) -> DataFrame:
     nested = reports.term_details(term_table(spark, d, METRICS)).select("metric_id", F.explode("terms").alias("t"))
@@ -466,7 +507,7 @@ def provenance_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("site_export")
 def site_export(spark: SparkSession, d: str) -> DataFrame:
-    board, t = _board(spark, d)
+    board, t = _tested_board(spark, d)
     sources = board.select("metric_id", F.col("metric_id").alias("access_id"))
     return reports.site(board, sources, reports.term_details(t))
 

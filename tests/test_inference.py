@@ -1,9 +1,12 @@
 """Tests of resampling, discovery rates and tiers with exact expectations."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from regimes.operators import aggregates, inference
+from regimes.operators import aggregates, inference, reports
+from regimes.plans import catalogue
 
 
 def obs(spark, rows):
@@ -65,3 +68,29 @@ def test_tiers(spark):
     df = spark.createDataFrame([(0.04, 11), (0.04, 12), (0.05, 12), (0.1, 50), (None, 50)], "q double, n int")
     got = df.select(inference.evidence_tier(F.col("q"), F.col("n")), inference.site_tier(F.col("q"))).collect()
     assert [tuple(r) for r in got] == [("exploratory", "confirmatory"), ("confirmatory", "confirmatory"), ("supportive", "supportive"), ("exploratory", "exploratory"), ("exploratory", "exploratory")]
+
+
+def test_randomization_follows_the_values(spark):
+    rows = [(m, f"t{i}", "DR"[i % 2], v, None) for m, vs in {"apart": [10.0 * (i % 2) + i / 100 for i in range(16)], "alike": [float(i // 2) for i in range(16)]}.items() for i, v in enumerate(vs)]
+    rows += [("apart", "t90", "Other", 5.0, None), ("apart", "t91", "D", None, None), ("lone", "t1", "D", 1.0, None), (" ", "t1", "D", 1.0, None)]
+    terms = spark.createDataFrame(rows, "metric_id string, term_id string, party_abbrev string, value double, term_start date")
+    got = {r.metric_id: r for r in inference.randomization(terms, 2000, 200).collect()}
+    assert set(got) == {"apart", "alike", "lone"} and (got["apart"].n_obs, got["apart"].n_d, got["apart"].n_r) == (16, 8, 8)
+    assert got["apart"].p < 0.005 and got["apart"].q == pytest.approx(2 * got["apart"].p) and got["apart"].evidence_tier == "confirmatory" and got["apart"].ci_high < 0
+    assert got["alike"].p == 1 and got["alike"].evidence_tier == "exploratory" and got["alike"].ci_low < 0 < got["alike"].ci_high
+    assert got["lone"].p is None and got["lone"].q is None and got["lone"].ci_low is None
+
+
+def test_last_duplicate_of_a_test_wins(spark):
+    tests = spark.createDataFrame([(1, "m", 0.5), (3, " m ", 0.01), (2, "m", 0.7), (4, " ", 0.2)], "pos int, metric_id string, p double")
+    tests = tests.withColumn("q", F.col("p")).withColumn("ci_low", F.lit(0.0)).withColumn("ci_high", F.lit(1.0))
+    summary = spark.createDataFrame([(x, "m", "f", "m", "mean", "u", 3, v) for x, v in (("D", 2.0), ("R", 1.0))], "party_abbrev string, metric_id string, metric_family string, metric_label string, agg_kind string, units string, n_terms long, mean double")
+    assert [(r.metric_id, r.q, r.tier) for r in reports.scoreboard(summary, tests).collect()] == [("m", 0.01, "confirmatory")]
+
+
+def test_site_export_has_the_tests_of_its_values(spark):
+    d = "/root/testdata/sf0.001"
+    want = {r.metric_id: (r.p, r.q) for r in catalogue.term_randomization(spark, d).collect()}
+    got = {r.metric_id: json.loads(r.payload) for r in catalogue.site_export(spark, d).collect()}
+    assert {m: (x.get("p"), x.get("q")) for m, x in got.items()} == {m: want.get(m, (None, None)) for m in got}
+    assert any(p is not None for p, _ in want.values())
