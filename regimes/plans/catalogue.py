@@ -431,12 +431,34 @@ def dq_symmetry(spark: SparkSession, d: str) -> DataFrame:
     return quality.symmetry(_used(spark, d))
 
 
+def _inflation(used: DataFrame) -> DataFrame:
+    k = F.col("l_partkey") % 4
+    t = used.withColumn("agg_kind", F.lit("mean")).withColumn("transform", F.when(k == 0, "pct_change").when(k == 1, "growth_rate").otherwise("identity"))
+    return t.withColumn("lag", F.when(k == 0, 12).otherwise(1)).withColumn("annualize", F.lit(12.0)).withColumn("seasonal_adjustment", F.when(F.col("series_key") % 3 != 0, "SA").otherwise("NSA")).withColumn("series_units", F.lit(" Index"))
+
+
 @query("dq_inflation_pair", """SELECT l_suppkey AS series_key FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 5 AND l_suppkey % 3 <> 0 GROUP BY 1 HAVING bool_or(l_partkey % 4 = 0) AND NOT bool_or(l_partkey % 4 = 1)""")
 def dq_inflation_pair(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("l_partkey") % 4
-    t = _used(spark, d).withColumn("agg_kind", F.lit("mean")).withColumn("transform", F.when(k == 0, "pct_change").when(k == 1, "growth_rate").otherwise("identity"))
-    t = t.withColumn("lag", F.when(k == 0, 12).otherwise(1)).withColumn("annualize", F.lit(12.0)).withColumn("seasonal_adjustment", F.when(F.col("series_key") % 3 != 0, "SA").otherwise("NSA")).withColumn("series_units", F.lit(" Index"))
-    return quality.inflation_pairs(t)
+    return quality.inflation_pairs(_inflation(_used(spark, d)))
+
+
+#: The same rules over every row: an order is the series, its lines are the metrics.
+_LINES_SQL = f"SELECT l_orderkey AS series_key, l_partkey, {_KINDS}[(l_partkey + l_linenumber) % 5 + 1] AS agg_kind FROM lineitem"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*[F.lit(x) for x in ("end_minus_start", "end_minus_start_per_year", "pct_change_from_levels", "cagr_from_levels", "mean")])
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("series_key"), F.get(kinds, ((F.col("l_partkey") + F.col("l_linenumber")) % 5).cast("int")).alias("agg_kind"), "l_partkey")
+
+
+@query("dq_symmetry_lines", f"WITH k AS (SELECT series_key, list(DISTINCT agg_kind) AS kinds FROM ({_LINES_SQL}) GROUP BY 1) " + " UNION ALL ".join(f"SELECT series_key, '{a}' AS has, '{b}' AS lacks FROM k WHERE list_contains(kinds, '{a}') AND NOT list_contains(kinds, '{b}')" for p in quality.PAIRS for a, b in (p, p[::-1])))
+def dq_symmetry_lines(spark: SparkSession, d: str) -> DataFrame:
+    return quality.symmetry(_lines(spark, d))
+
+
+@query("dq_inflation_pair_lines", f"SELECT series_key FROM ({_LINES_SQL}) WHERE series_key % 3 <> 0 GROUP BY 1 HAVING bool_or(l_partkey % 4 = 0) AND NOT bool_or(l_partkey % 4 = 1)")
+def dq_inflation_pair_lines(spark: SparkSession, d: str) -> DataFrame:
+    return quality.inflation_pairs(_inflation(_lines(spark, d)))
 
 
 @query("dq_windows", """WITH t AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 't' || (o_orderkey // 2) END AS id, o_orderkey % 7 = 0 AS bad, o_orderkey % 11 = 0 AS empty, o_orderkey % 13 = 0 AS odd FROM orders)
