@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, partitions
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
-#: Records in one archive file at most: a file is read as a whole by one task.
-FILE_RECORDS = 2000
+#: Bytes of records in one archive file, about: a file is read as a whole by one task.
+FILE_BYTES = 32 << 20
+#: Responses with one payload that are rebuilt in one place; a payload that has more is laid out several times.
+SPREAD = 64
+#: Places in which the pages of one payload learn their leader.
+SALTS = 32
 PARSED = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload_sha256 string, payload string"
 
 
@@ -32,25 +36,35 @@ def _line(name: str, value: Column) -> Column:
 def build(pages: DataFrame, min_revisit_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
     """The archive's two tables, ``(payloads, headers)``.
 
-    ``payloads`` has ``sha256, payload``, one row for each distinct payload. ``headers`` has ``page_id,
-    record_type, refers_to, sha256, header``: the header block of each record, byte for byte. Of records with
+    ``payloads`` has ``sha256, payload, n, spread``, one row for each distinct payload. ``headers`` has ``page_id,
+    record_type, refers_to, sha256, place, header``: the header block of each record, byte for byte. Of records with
     equal payloads of at least ``min_revisit_bytes`` that with the largest ``page_id`` is the response and the
     others revisit it; all smaller ones are responses. If the row with the largest ``page_id`` is repeated, each
     repetition is a response; where all of a group's ``page_id`` are null, all of them are.
 
+    A payload that very many pages share is no single task's work: its pages meet their leader in ``SALTS`` places,
+    and its responses are spread over ``spread`` places, of which ``place`` is a record's own.
+
     A null ``html`` is an empty payload. A null ``url`` leaves the target line out; line breaks in a URL are
     percent-encoded. Other columns are ignored.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     raw = raw.withColumn("sha256", F.sha2(F.col("payload").cast("binary"), 256))
-    keyed = raw.select("page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("n"), F.sha1(F.col("payload").cast("binary")).alias("sha1"))
-    first = raw.groupBy("sha256").agg(F.max("page_id").alias("leader"))
-
-    payloads = raw.groupBy("sha256").agg(F.first("payload").alias("payload"))  # of equal bytes any copy serves
-
-    h = keyed.join(first, "sha256")
-    revisit = (F.col("n") >= min_revisit_bytes) & F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader"))
+    size = F.octet_length("payload").cast("long")
+    keyed = raw.select("page_id", "url", "sha256", size.alias("n"), F.sha1(F.col("payload").cast("binary")).alias("sha1"))
+    large = F.col("n") >= min_revisit_bytes
+    spread = F.when(large & (F.col("ids") > 0), 1).otherwise(F.ceil(F.col("pages") / SPREAD)).cast("int").alias("spread")
+
+    payloads = raw.groupBy("sha256").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("pages"), F.count("page_id").alias("ids"))  # of equal bytes any copy serves
+    payloads = payloads.withColumn("n", size).select("sha256", "payload", "n", spread)
+
+    shared = keyed.groupBy("sha256").agg(F.max("page_id").alias("leader"), F.first("n").alias("n"), F.count(F.lit(1)).alias("pages"), F.count("page_id").alias("ids")).where("pages > 1")
+    shared = shared.select("sha256", "leader", spread, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = F.xxhash64("page_id", "url")
+    h = keyed.withColumn("salt", F.pmod(own, F.lit(SALTS)).cast("int")).join(shared, ["sha256", "salt"], "left")
+    h = h.withColumn("place", F.pmod(F.shiftright(own, 8), F.coalesce("spread", F.lit(1))).cast("int"))
+    revisit = large & F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader"))
     h = h.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("leader")))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     block = F.concat(
@@ -68,23 +82,31 @@ def build(pages: DataFrame, min_revisit_bytes: int = 1000, date: str = "2024-01-
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
         _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))),
     )
-    return payloads, h.select("page_id", "record_type", "refers_to", "sha256", block.alias("header"))
+    return payloads, h.select("page_id", "record_type", "refers_to", "sha256", "place", block.alias("header"))
 
 
-def records(payloads: DataFrame, headers: DataFrame) -> DataFrame:
+def records(payloads: DataFrame, headers: DataFrame, parts: int | None = None) -> DataFrame:
     """The original records, rebuilt by joining headers with payloads: one ``record`` string each.
 
-    Each payload is verified against its address on the way; a record whose payload is missing or altered
-    stops the job.
+    Only responses need their payload; revisits take no part in the join. Each payload is verified against its
+    address on the way; a record whose payload is missing or altered stops the job. ``parts``: in how many parts the
+    responses are rebuilt.
     """
-    p = payloads.select("sha256", F.when(F.sha2(F.col("payload").cast("binary"), 256) == F.col("sha256"), F.col("payload")).alias("payload"))
-    got = headers.join(p, "sha256", "left")
-    body = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.coalesce("payload", F.raise_error(F.concat(F.lit("no such payload: "), F.col("sha256")))))
-    return got.select(F.concat("header", F.lit(CRLF), body).alias("record"))
+    p = payloads.select("sha256", F.when(F.sha2(F.col("payload").cast("binary"), 256) == F.col("sha256"), F.col("payload")).alias("payload"), F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("place"))
+    response = headers.where("record_type = 'response'").select("sha256", "place", "header")
+    if parts:
+        p, response = p.repartition(parts, "sha256", "place"), response.repartition(parts, "sha256", "place")
+    body = F.coalesce("payload", F.raise_error(F.concat(F.lit("no such payload: "), F.col("sha256"))))
+    whole = response.join(p, ["sha256", "place"], "left").select(F.concat("header", F.lit(CRLF), body).alias("record"))
+    return whole.unionByName(headers.where("record_type = 'revisit'").select(F.concat("header", F.lit(CRLF)).alias("record")))
 
 
-def write_warc(recs: DataFrame, path: str, file_records: int = FILE_RECORDS) -> str:
-    """Write records as gzipped archive files: each record is followed by two line breaks, as the format has it."""
+def write_warc(recs: DataFrame, path: str, file_records: int = 50_000) -> str:
+    """Write records as gzipped archive files: each record is followed by two line breaks, as the format has it.
+
+    A part of ``recs`` is a file; of more than ``file_records`` records, several. A file is one gzip stream, as
+    Spark's writer makes it, so it can be read from its start only.
+    """
     recs.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
     return path
 
@@ -158,4 +180,6 @@ def archive(pages: DataFrame, path: str | None = None, **options) -> str:
     payloads, headers = build(pages, **options)
     payloads.write.option("compression", "zstd").parquet(f"{top}/payloads")
     headers.write.parquet(f"{top}/headers")
-    return write_warc(records(spark.read.parquet(f"{top}/payloads"), spark.read.parquet(f"{top}/headers")), f"{top}/warc")
+    payloads = spark.read.parquet(f"{top}/payloads")
+    size = payloads.agg(F.coalesce(F.sum(F.col("n") * F.col("spread")), F.lit(0))).first()[0]
+    return write_warc(records(payloads, spark.read.parquet(f"{top}/headers"), max(partitions(spark), -(-size // FILE_BYTES))), f"{top}/warc")
