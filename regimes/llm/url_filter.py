@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 #: Hex digits of the SHA-256 digest that serve as join key; the whole digest is confirmed after the join.
 SHORT = 8
+#: Places in which a rule is looked up, as very many URLs may ask for one.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -57,7 +59,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     cols = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     judged = pages.select(*[F.col(f"`{c}`") for c in cols], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
 
-    # Each distinct host and path is looked up once: pages of a hot site don't meet in one task.
+    # Each distinct host and path is looked up once: pages of a hot site don't meet in one task. Hosts that can't
+    # match (empty ones) take no part at all.
     seen = judged.select("host", "path").where("host <> ''").distinct()
     parts = F.split("host", r"\.", -1)
     n = F.size(parts)
@@ -67,11 +70,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     folders = F.concat(F.array(F.lit("")), F.transform(F.slice(steps, 1, F.size(steps) - 1), lambda _, i: F.concat(F.array_join(F.slice(steps, 1, i + 1), "/"), F.lit("/"))))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(folders, lambda p: F.concat(h, p))))
     asked = seen.select("host", "path", F.explode(keys).alias("key"))
-    asked = asked.select("host", "path", F.sha2(F.col("key").cast("binary"), 256).alias("digest"))
+    asked = asked.select("host", "path", F.sha2(F.col("key").cast("binary"), 256).alias("digest"), F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int").alias("salt"))
     asked = asked.withColumn("short", F.substring("digest", 1, SHORT))
-    fits = asked.join(r, "short").where("digest = r_digest AND startswith(path, r_path)")
+    # A rule that very many URLs ask for (a top-level domain's) is laid out once for each salt.
+    laid = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    fits = asked.join(laid, ["short", "salt"]).where("digest = r_digest AND startswith(path, r_path)")
     name = F.concat("r_host", "r_path")
-    best = F.max_by(F.struct(name.alias("rule"), F.col("r_action").alias("action")), F.struct(F.length(name), (F.col("r_action") == "block").cast("int"), F.negate(F.crc32(name.cast("binary")))))
+    best = F.min_by(F.struct(name.alias("rule"), F.col("r_action").alias("action")), F.struct(F.negate(F.length(name)), (F.col("r_action") != "block").cast("int"), name, "r_action"))
     won = fits.groupBy("host", "path").agg(best.alias("won"))
-    out = judged.join(won, ["host", "path"], "left")
+    # URLs without host skip the join. What won is written first, so that both sides are dealt anew for the join and
+    # Spark can split the pages of one very common URL over many tasks.
+    won = written(won, "won")
+    rest = judged.where("host = ''").withColumn("won", F.lit(None).cast(won.schema["won"].dataType))
+    out = judged.where("host <> ''").join(won, ["host", "path"], "left").select(*judged.columns, "won").unionByName(rest)
     return out.select(*[F.col(f"`{c}`") for c in cols], "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict"))

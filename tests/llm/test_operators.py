@@ -120,7 +120,7 @@ def test_warc_round_trip(spark):
     big, cut = "x" * 1500, "ä" * 500
     rows = [
         (1, "http://a/", big), (5, "http://a/5", big), (5, "http://a/5", big), (2, None, big), (3, "http://b/\r\nX: y", cut), (4, "http://b/", cut), (6, "c", "same"), (7, "c", "same"),
-        (8, "d", None), (9, "d", ""), (10, "e", "WARC/1.1\r\n\r\n\r\n\r\nWARC/1.1"), (None, "f", "y" * 2000), (None, "f", "y" * 2000), (None, "g", big),
+        (8, "d", None), (9, "d", ""), (10, "e", "WARC/1.1\r\n\r\n\r\n\r\nWARC/1.1"), (11, "long", "ß" * 3_000_000), (12, "long", "ß" * 3_000_000), *((100 + i, "few", "hot") for i in range(300)), (None, "f", "y" * 2000), (None, "f", "y" * 2000), (None, "g", big),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit("own"))
     path = warc.archive(pages)
@@ -265,11 +265,12 @@ def test_mixing(odd, none, monkeypatch):
 
 
 def test_url_filter(spark):
-    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/x", "block"), ("a.org", "", "block"), (None, "/", "block"), ("tie.com", "/", "allow"), ("tie.com", "/", "block"), ("net", "/", "block")], "host string, path string, action string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/x", "block"), ("a.org", "", "block"), (None, "/", "block"), ("tie.com", "/", "allow"), ("tie.com", "/", "block"), ("net", "/", "block"), ("ab.eu", "/b", "allow"), ("b.eu", "/ab", "allow"), ("even.eu", "/", "allow"), ("odd.even.eu", "", "block"), ("x.same.eu", "/y", "block"), ("same.eu", "/y/z", "block")], "host string, path string, action string")
     cases = {
         "http://X.Example.NET/en/a?q#f": ("x.example.net", "/en/a", "example.net/en/", "allow"), "http://example.net/en/xy": ("example.net", "/en/xy", "example.net/en/x", "block"), "http://badexample.net/": ("badexample.net", "/", "net/", "block"),
         "http://example.net": ("example.net", "", None, "allow"), "http://example.net?x=/en/": ("example.net", "", None, "allow"), "https://q.a.org": ("q.a.org", "", "a.org", "block"), "no scheme/net/": ("", "", None, "allow"), None: ("", "", None, "allow"),
         "": ("", "", None, "allow"), "://net/": ("net", "/", "net/", "block"), "http:///net/": ("", "/net/", None, "allow"), "http://tie.com/": ("tie.com", "/", "tie.com/", "block"), "http://com/" + "a/" * 20000: ("com", "/" + "a/" * 20000, None, "allow"),
+        "http://x.same.eu/y/z": ("x.same.eu", "/y/z", "same.eu/y/z", "block"), "http://net/" + "q" * 300000: ("net", "/" + "q" * 300000, "net/", "block"), "http://a.net/?" + "q" * 300000: ("a.net", "/", "net/", "block"),
         "http://a://net/": ("a:", "//net/", None, "allow"), "http://net./": ("net.", "/", None, "allow"), "http://ÄB.net/\nx": ("Äb.net", "/\nx", "net/", "block"),
     }
     rows = [(i, u) for i, u in enumerate([*cases, *cases])]
