@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import blocks
+from .common import discard, new_folder, written
 from .fm_index import FMIndex
 
 #: Bytes that belong to words (0-9, a-z and all of non-ASCII letters), A-Z lower-cased; the rest become spaces.
@@ -37,17 +39,33 @@ class Phrases:
     items: list[list[str]]
 
 
-def phrases(rows: list[tuple[str | None, str | None]], window: int) -> Phrases:
+def phrases(rows: list[tuple[str | None, list[str]]], window: int) -> Phrases:
+    """From texts and the ids of the items that have them."""
     numbers: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], set[str]] = {}
-    for item, text in rows:
-        w = [numbers.setdefault(x, len(numbers) + 1) for x in words(text)]
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            owners.setdefault(tuple(w[i : i + window]), set()).update([item] if item is not None else [])
-    table = np.zeros((len(owners), window), np.int64)
-    for k, w in enumerate(owners):
-        table[k, : len(w)] = w
-    return Phrases(numbers, table, np.fromiter(map(len, owners), np.int64, len(owners)), [sorted(x) for x in owners.values()])
+    ids = [np.array([numbers.setdefault(x, len(numbers) + 1) for x in words(t)], np.int64) for t, _ in rows]
+    # All windows of all texts, filled up to the right with zeros.
+    counts = np.array([max(1, len(w) - window + 1) if len(w) else 0 for w in ids], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *(np.concatenate([w, np.zeros(window, np.int64)]) for w in ids)])
+    first = np.cumsum([0, *(len(w) + window for w in ids)])[:-1]
+    starts = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    table = flat[starts[:, None] + np.arange(window)] if len(starts) else np.zeros((0, window), np.int64)
+    table, which = np.unique(table, axis=0, return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), counts)
+    items: list[set[str]] = [set() for _ in range(len(table))]
+    for k, row in np.unique(np.stack([which.ravel(), owner], axis=1), axis=0).tolist():
+        items[k].update(rows[row][1])
+    return Phrases(numbers, table, (table > 0).sum(axis=1), [sorted(x) for x in items])
+
+
+_known: dict = {}
+
+
+def _phrases_of(key: str, rows: list[tuple[str | None, list[str]]], window: int) -> Phrases:
+    """The phrases of a block; a worker keeps those of the block it last searched for."""
+    if key not in _known:
+        _known.clear()
+        _known[key] = phrases(rows, window)
+    return _known[key]
 
 
 def _search(texts: list[str | None], p: Phrases) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
@@ -95,54 +113,70 @@ def _search(texts: list[str | None], p: Phrases) -> list[tuple[int, list[tuple[i
     return out
 
 
-def _finder(p: Phrases):
+def _finder(rows: list[tuple[str | None, list[str]]], window: int):
+    key = uuid.uuid4().hex
+
     @F.pandas_udf(FOUND)
     def find(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        p = _phrases_of(key, rows, window)
         for s in series:
             texts = [t if isinstance(t, str) else None for t in s]
-            rows: list = []
+            rows_: list = []
             for a, b in blocks(texts, SHARD_BYTES, 1 << 20):
-                rows += [(n, [{"start": x, "end": y} for x, y in spans], sorted(items)) for n, spans, items in _search(texts[a:b], p)]
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+                rows_ += [(n, [{"start": x, "end": y} for x, y in spans], sorted(items)) for n, spans, items in _search(texts[a:b], p)]
+            yield pd.DataFrame(rows_, columns=["n_words", "spans", "items"])
 
     return find.asNondeterministic()  # else it runs once for a filter and once more for a column
 
 
-def _merged(a: Column, b: Column) -> Column:
-    """Two lists of spans as one list of spans that don't overlap."""
-    s = F.array_sort(F.concat(a, b))
+def _union(spans: Column) -> Column:
+    """Spans as spans that don't overlap or touch, in order."""
+    s = F.array_sort(spans)
     grow = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
     return F.aggregate(s, F.slice(s, 1, 0), grow)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", block_bytes: int = 8 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with a column ``_found``: ``n_words``, the merged ``spans`` of hit words (numbers from 0, end
     exclusive) and the sorted ``items`` that occur.
 
     A phrase is a run of ``window`` words of a benchmark item, or a shorter item as a whole; a word of a document
-    is hit if it lies in an occurrence of a phrase. The benchmark is the query set: it is taken in blocks of about
-    ``block_bytes``, each searched in indexes over all of ``docs``; only one block at a time is held, however
-    large the benchmark. Documents stay where they are read: nothing is shuffled.
+    is hit if it lies in an occurrence of a phrase. The benchmark is the query set: its distinct texts, each with
+    its items' ids, are dealt into blocks of about ``block_bytes``, which are searched for in indexes over all of
+    ``docs``. A benchmark of one block is searched for where documents are read: nothing is shuffled. Of more
+    blocks, one at a time is read, searched for and let go of, and the hits are written, by a digest of the text;
+    all blocks' hits are then joined with ``docs``, so that neither the driver nor the plan grows with the benchmark.
 
     Null texts have no words. Items without words are no phrase. Items with null id mark words but aren't listed;
     equal ids count once. An empty benchmark hits nothing. A column named ``_found`` is replaced.
     """
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    items = items.groupBy("t").agg(F.collect_set("item").alias("items"))
+    items = written(items.withColumn("size", F.octet_length("t") + F.size("items") * 8), "benchmark")
+    size = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
     docs = docs.drop("_found")
     body = F.col(f"`{text}`").cast("string")
-    out = None
+    block = lambda k: [(r["t"], list(r["items"])) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).select("t", "items").collect()]
+    if n == 1:
+        rows = block(0)
+        discard(items)
+        return docs.withColumn("_found", _finder(rows, window)(body))
+    digest = F.md5(F.coalesce(body, F.lit("")).cast("binary"))
+    folder = new_folder(docs.sparkSession, "hits")
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
-        found = _finder(phrases([tuple(r) for r in part.collect()], window))(body)
-        if out is None:
-            out = docs.withColumn("_found", found)
-        else:
-            now = out.withColumn("_found_next", found)
-            both = F.struct(F.col("_found.n_words").alias("n_words"), _merged(F.col("_found.spans"), F.col("_found_next.spans")).alias("spans"), F.array_sort(F.array_union("_found.items", "_found_next.items")).alias("items"))
-            out = now.withColumn("_found", both).drop("_found_next")
-    return out
+        hits = docs.select(digest.alias("_digest"), _finder(block(k), window)(body).alias("f")).where(F.size("f.spans") > 0)
+        hits.groupBy("_digest").agg(F.first("f").alias("f")).select("_digest", "f.spans", "f.items").write.parquet(f"{folder}/block={k}")
+    discard(items)
+    hits = docs.sparkSession.read.schema("_digest string, spans array<struct<start: int, end: int>>, items array<string>, block int").parquet(folder)
+    hits = hits.groupBy("_digest").agg(_union(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # Written first, so that both sides of the join are dealt anew and Spark can split a very common text's rows.
+    hits = written(hits, "hits")
+    none = lambda c: F.coalesce(c, F.array().cast(dict(hits.dtypes)[c]))
+    count = F.coalesce(F.regexp_count(body, F.lit(_WORD.pattern)), F.lit(0)).cast("long")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.select(F.struct(*cols).alias("row"), count.alias("n_words"), digest.alias("_digest")).join(hits, "_digest", "left")
+    return out.select(F.struct("n_words", none("spans").alias("spans"), none("items").alias("items")).alias("_found"), "row").select("row.*", "_found")
 
 
 def removed(text: Column, spans: Column) -> Column:

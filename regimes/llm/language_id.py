@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .batches import blocks
 
-#: Letter classes: 0 is everything but letters, 1-26 are a-z, the others share out all further letters.
-SYMBOLS = 48
+#: Letter classes: 0 is everything but letters, 1-26 are a-z, the others share out all further letters, so that letters
+#: of one script differ.
+SYMBOLS = 256
 UNKNOWN = "und"
 
 
@@ -51,23 +52,21 @@ def encode(texts: list[str], space: Space) -> tuple[np.ndarray, np.ndarray]:
     The vectors of letters that follow one another are permuted by place and bound (multiplied) to an n-gram's
     vector; a text's vector is the sum over all its n-grams. Runs of other characters count as one boundary.
     """
-    table, letters, bins = _classes(), _letters(space), SYMBOLS**space.n
-    found, n_letters = [], np.zeros(len(texts), np.int64)
+    table, letters = _classes(), _letters(space)
+    codes, n_letters = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         c = table[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
-        c = c[np.concatenate([[True], (c[1:] | c[:-1]) != 0])].astype(np.int32)
+        c = c[np.concatenate([[True], (c[1:] | c[:-1]) != 0])].astype(np.int64)
         n_letters[i] = np.count_nonzero(c)
-        code = c[: max(0, len(c) - space.n + 1)]
+        code = c[: max(0, len(c) - space.n + 1)] + i * SYMBOLS
         for k in range(1, space.n):
             code = code * SYMBOLS + c[k : len(c) - space.n + 1 + k]
-        if n_letters[i]:
-            count = np.bincount(code, minlength=bins)
-            grams = np.flatnonzero(count)
-            found.append((i, grams, count[grams]))
-    used = np.unique(np.concatenate([g for _, g, _ in found])) if found else np.zeros(0, np.int64)
+        codes.append(code[: len(code) if n_letters[i] else 0])
+    pairs, count = np.unique(np.concatenate(codes), return_counts=True)
+    of, gram = pairs // SYMBOLS**space.n, pairs % SYMBOLS**space.n
+    used, at = np.unique(gram, return_inverse=True)
     counts = np.zeros((len(texts), len(used)), np.float32)
-    for i, grams, count in found:
-        counts[i, np.searchsorted(used, grams)] = count
+    counts[of, at] = count
     bound = np.ones((len(used), space.dim), np.int8)
     for k in range(space.n):
         bound *= letters[k][used // SYMBOLS ** (space.n - 1 - k) % SYMBOLS]

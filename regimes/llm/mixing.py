@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Rows of a leaf that one task puts in order at most, about.
 BUCKET_ROWS = 1000
 SALTS = 16
@@ -49,6 +51,13 @@ def allocate(leaves: DataFrame, levels: list[str], budget: int) -> DataFrame:
     return leaves.join(given.select(*levels, F.floor(F.col("b") + 1e-6).cast("long").alias("budget")), levels)
 
 
+def largest_met(leaves: DataFrame, level: str) -> int:
+    """The largest budget of which every value of ``level`` holds its share by weight."""
+    held = leaves.groupBy(level).agg(F.sum("capacity").alias("c"), F.max(f"w_{level}").alias("w")).where("w > 0")
+    all_w = held.agg(F.sum("w")).first()[0]
+    return int(held.agg(F.min(F.col("c") * F.lit(float(all_w)) / F.col("w"))).first()[0]) if all_w else 0
+
+
 def weight_of(column: Column, weights: dict[str, float], default: float) -> Column:
     """The weight of each value; values that aren't named get ``default``."""
     if not weights:
@@ -62,11 +71,12 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))))
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, float]], share: float = 0.9, max_epochs: int = 2, seed: int = 13, default_weight: float = 1.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, float]], share: float | None = 0.9, max_epochs: int = 2, seed: int = 13, default_weight: float = 1.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows to train on: ``key, doc_id, <levels>, epoch, tokens, taken``, one for each row and epoch taken.
 
     ``levels`` names the tree's levels from the root, each with the column that gives it; ``weights`` has the
-    weights of the values at each level. The whole budget is ``share`` of all tokens. A leaf can give each of its
+    weights of the values at each level. The whole budget is ``share`` of all tokens; with None it is the largest with
+    which the targets at the top level are met, none of its values running short (those of weight 0 aside). A leaf can give each of its
     tokens ``max_epochs`` times; its budget is met by whole epochs and by the prefix of one more, in an order that
     seed and epoch decide. The row that the prefix ends in is taken in part: ``taken`` of its ``tokens``.
 
@@ -79,12 +89,14 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     body = F.col(f"`{text}`").cast("string")
     key = row_key(F.col(f"`{doc_id}`"), body)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), key.alias("key"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in levels.items()], word_count(body).alias("tokens"))
+    # Texts are read and counted once; all else works on this narrow table.
+    rows = written(rows, "tokens")
     leaves = rows.groupBy(*names).agg(F.sum("tokens").alias("held"), F.count(F.lit(1)).alias("rows"))
     total = leaves.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
     leaves = leaves.withColumn("capacity", F.col("held") * max_epochs)
     for n in names:
         leaves = leaves.withColumn(f"w_{n}", weight_of(F.col(n), weights.get(n, {}), default_weight))
-    plan = allocate(leaves, names, int(total * share))
+    plan = allocate(leaves, names, int(total * share) if share is not None else largest_met(leaves, names[0]))
     whole = F.when(F.col("held") > 0, F.expr("budget div held")).otherwise(0)
     plan = plan.select(*names, whole.cast("int").alias("whole"), F.when(F.col("held") > 0, F.expr("budget % held")).otherwise(0).alias("rest"), F.ceil(F.col("rows") / BUCKET_ROWS).cast("long").alias("ranges"))
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .batches import blocks, groups
 from .common import partitions, written
@@ -17,8 +18,9 @@ from .shingles import shingle_sets, signatures
 
 #: Minima in a band, and bands: two sets of similarity 0.75 meet in no band with a chance of 3 in ten million.
 ROWS, BANDS = 4, 40
-#: Shingles that one unit of comparison holds at most; larger groups are compared by bucket, and larger buckets in tiles.
-UNIT = 1 << 20
+#: Weight that one unit of comparison holds at most; larger groups are compared by bucket, and larger buckets in tiles.
+#: A class weighs as many as it has shingles, and ``LIGHT`` at least: that bounds a unit's pairs, too.
+UNIT, LIGHT = 1 << 20, 256
 #: Standard deviations below the asked similarity at which a signature's estimate still leads to full comparison.
 SLACK = 5.5
 
@@ -30,7 +32,7 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def profiles(docs: DataFrame, k: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``key, real, n, digest, bands`` of each row: its id, the size of its shingle set, the set's digest and its bands' keys."""
+    """``key, real, h, n, digest, bands`` of each row: its id, a hash of its text, the size of its shingle set, the set's digest and its bands' keys."""
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -38,9 +40,9 @@ def profiles(docs: DataFrame, k: int, text: str = "text", doc_id: str = "doc_id"
             for a, b in blocks(texts):
                 sets = shingle_sets(texts[a:b], k)
                 bands = signatures(sets, ROWS * BANDS).view(np.int64)
-                yield pd.DataFrame({"key": batch["key"].iloc[a:b].to_numpy(), "real": batch["real"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": list(bands)})
+                yield pd.DataFrame({"key": batch["key"].iloc[a:b].to_numpy(), "real": batch["real"].iloc[a:b].to_numpy(), "h": batch["h"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": list(bands)})
 
-    return _keyed(docs, text, doc_id).mapInPandas(profile, "key long, real boolean, n long, digest binary, bands array<long>")
+    return _keyed(docs, text, doc_id).withColumn("h", F.xxhash64("t")).mapInPandas(profile, "key long, real boolean, h long, n long, digest binary, bands array<long>")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     together is one unit, if it isn't too large; else each bucket of it is, and buckets that are too large
     themselves are cut into blocks of which every pair is a unit.
     """
-    keyed = classes.select("cid", "n", F.posexplode("bands").alias("band", "key")).select("cid", "n", F.xxhash64("band", "key").alias("bucket"))
+    keyed = classes.select("cid", F.greatest("n", F.lit(LIGHT)).alias("n"), F.posexplode("bands").alias("band", "key")).select("cid", "n", F.xxhash64("band", "key").alias("bucket"))
     met = keyed.groupBy("bucket").agg(F.min("cid").alias("centre"), F.max("cid").alias("last"), F.sum("n").alias("total")).where("centre <> last")
     met = written(keyed.join(met, "bucket").select("bucket", "cid", "n", "centre", "total"), "met")
     tied = components(met.select(F.col("centre").alias("a"), F.col("cid").alias("b")))
@@ -150,18 +152,11 @@ def _by_sets(k: int, per_cent: int):
     return confirm
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 75, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
-
-    Documents are linked if ``100 * shared >= per_cent * united`` holds for their sets of distinct ``k``-word
-    shingles (of fewer words: the sequence as a whole). ``component_id`` is the smallest id that links reach.
-    Documents with equal sets are one class and are compared once. Classes that share a band of minima are
-    candidates, however many; estimates from signatures thin them out, and full sets decide. Shingles are
-    compared as 64-bit hashes. No list of links, classes or components reaches the driver.
+def grouped(docs: DataFrame, k: int = 5, per_cent: int = 75, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, h, n_shingles, group, component_id`` for each row of ``docs``, with ``h`` a hash of its text.
 
-    Null and empty texts and texts without words have no shingles, are their own component and are kept. Repeated
-    rows get the same component and are all kept or not kept alike; rows of one id but different texts are one node
-    of the graph. Rows with a null id take part; they are kept only if nothing reachable has an id.
+    ``group`` is a number that all rows of a component share (null for rows without shingles), ``component_id`` the
+    smallest id in it (null if no row of it has one). See :func:`near_duplicates`.
     """
     n_out = partitions(docs.sparkSession)
     rows = written(profiles(docs, k, text, doc_id), "profiles")
@@ -180,8 +175,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 75, text: str =
     links = written(ready.mapInPandas(_by_sets(k, per_cent), "a long, b long"), "links")
     tied = components(links)
     names = tied.join(classes.select(F.col("cid").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = tied.join(names, "component").select(F.col("node").alias("cid"), "component_id")
-    final = classes.select("digest", "cid", "doc_id").join(named, "cid", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = rows.select(own.alias("doc_id"), "n", "digest").join(final, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = tied.join(names, "component").select(F.col("node").alias("cid"), "component", "component_id")
+    final = classes.select("digest", "cid", "doc_id").join(named, "cid", "left").select("digest", F.coalesce("component", "cid").alias("group"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # Rows without shingles, which share one digest, take no part. The groups are written first, so that both sides
+    # are dealt anew and Spark can split the rows of a very common digest.
+    own = rows.select(own.alias("doc_id"), "h", F.col("n").alias("n_shingles"), "digest")
+    found = own.where("n_shingles > 0").join(written(final, "final"), "digest").drop("digest")
+    return found.unionByName(own.where("n_shingles = 0").drop("digest").withColumn("group", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 75, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
+
+    Documents are linked if ``100 * shared >= per_cent * united`` holds for their sets of distinct ``k``-word
+    shingles (of fewer words: the sequence as a whole). ``component_id`` is the smallest id that links reach.
+    Documents with equal sets are one class and are compared once. Classes that share a band of minima are
+    candidates, however many; estimates from signatures thin them out, and full sets decide. Shingles are
+    compared as 64-bit hashes. No list of links, classes or components reaches the driver.
+
+    Null and empty texts and texts without words have no shingles, are their own component and are kept. Repeated
+    rows get the same component and are all kept or not kept alike; rows of one id but different texts are one node
+    of the graph. Rows with a null id take part; they are kept only if nothing reachable has an id.
+    :func:`representatives` takes one row of each group, whatever its ids.
+    """
+    out = grouped(docs, k, per_cent, text, doc_id).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def representatives(docs: DataFrame, k: int = 5, per_cent: int = 75, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group one row, and all rows that have no shingles.
+
+    The row with the smallest id stays; in a group without any id that with the smallest hash of its text. Rows of
+    one id and one text are one document, of which one row stays: that with the smallest hash of all its columns.
+    """
+    found = grouped(docs, k, per_cent, text, doc_id).where("group IS NOT NULL").groupBy("group", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n"))
+    # Written first, so that both sides of the join are dealt anew and Spark can split a very common row's copies.
+    kept = written(found.groupBy("group").agg(first.alias("x")).select(F.xxhash64("x.doc_id", "x.h").alias("_key"), F.col("x.n").alias("_n")), "kept")
+    t, own = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`").cast("long")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(own, F.xxhash64(t)).alias("_key"), F.xxhash64(*plain).alias("_all"))
+    out = keyed.join(kept, "_key")
+    again = out.where("_n > 1").groupBy("_key").agg(F.min_by("row", "_all").alias("row"))
+    bare = docs.where(~F.coalesce(F.regexp_like(t, F.lit(r"[^ \t\n\x0B\f\r]")), F.lit(False)))
+    return out.where("_n = 1").select("row.*").unionByName(again.select("row.*")).unionByName(bare)

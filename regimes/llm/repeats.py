@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .batches import blocks, groups, joined
 from .bwt import merge, transform
-from .common import partitions, utf8, written
+from .common import discard, partitions, utf8, written
 from .shingles import mix
 
 #: Bytes of the grams of which the smallest hash in a window is the window's anchor.
@@ -221,10 +221,12 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     anchors = written(long.mapInPandas(_find_anchors(length), "d binary, at int, near int, far int, gram long, context long"), "anchors")
     what = F.xxhash64("context", "near", "far")
     grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(what).alias("one"), F.max(what).alias("other")).where("n > 1")
-    # Written first, so that the join deals both sides anew and Spark can split a very common gram's rows.
+    # Grams, contexts and cores are written before they are joined, so that both sides are dealt anew and Spark can
+    # split the rows of a very common one.
     grams = written(grams.select("gram", (F.col("one") != F.col("other")).alias("differ")), "grams")
     again = written(anchors.join(grams, "gram"), "again")
-    contexts = again.groupBy("gram", "context", "near", "far", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "at")).alias("some"))
+    discard(anchors, grams)
+    contexts = written(again.groupBy("gram", "context", "near", "far", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "at")).alias("some")), "contexts")
     settled = again.join(contexts.where("n > 1").select("gram", "context", "near", "far"), ["gram", "context", "near", "far"], "left_semi")
     whole = settled.select("d", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + length).alias("end"))
 
@@ -234,13 +236,15 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     cores = written(cores, "cores")
     common = written(cores.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
     shared = written(cores.join(common, ["k1", "k2"]), "shared")
+    discard(cores, common)
     dealt = shared.where(F.col("n") <= HOT).withColumn("k", F.xxhash64("k1", "k2")).repartition(n_out, "k").sortWithinPartitions("k").drop("n")
     fine = dealt.mapInPandas(_merge_cores(length), "d binary, start int, end int")
     windows = shared.where(F.col("n") > HOT).drop("n").mapInPandas(_count_windows(length), "d binary, start int, window binary")
     twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     hot = windows.join(twice, "window", "left_semi").select("d", "start", (F.col("start") + length).alias("end"))
     found = whole.unionByName(fine).unionByName(hot)
-    spans = found.groupBy("d").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = written(found.groupBy("d").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    discard(again, contexts, shared)
     return spans
 
 
