@@ -123,7 +123,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", learn: Column |
 
 
 def predict(model: Model, text: Column) -> Column:
-    """A struct ``lang, score`` for each whole text: the language whose prototype has the largest cosine with the text's vector.
+    """A struct ``lang, score, letters`` for each whole text: the language whose prototype has the largest cosine with the text's vector.
 
     What all prototypes share (their mean) is taken off both first. ``score`` is the cosine, cut to 0 to 1. Texts
     that are null or have no letter, and all texts if the model knows no language, give ``und`` and 0. Of equally
@@ -131,22 +131,37 @@ def predict(model: Model, text: Column) -> Column:
     """
     space, langs, prototypes, mean = model.space, np.array([*model.langs, UNKNOWN], object), model.prototypes.astype(np.float32), model.mean.astype(np.float32)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, letters long")
     def nearest(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in series:
             texts = [t if isinstance(t, str) else "" for t in s]
-            best, score = np.full(len(texts), len(langs) - 1), np.zeros(len(texts))
-            for a, b in blocks(texts) if len(langs) > 1 else ():
+            best, score, letters = np.full(len(texts), len(langs) - 1), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for a, b in blocks(texts):
                 vectors, n = encode(texts[a:b], space)
+                letters[a:b] = n
+                if len(langs) == 1:
+                    continue
                 cos = _unit(_unit(vectors) - mean) @ prototypes.T
                 top = cos.argmax(axis=1)
                 best[a:b] = np.where(n > 0, top, len(langs) - 1)
                 score[a:b] = np.where(n > 0, np.clip(cos[np.arange(b - a), top], 0, 1), 0)
-            yield pd.DataFrame({"lang": langs[best], "score": score.round(6)})
+            yield pd.DataFrame({"lang": langs[best], "score": score.round(6), "letters": letters})
 
     return nearest.asNondeterministic()(text.cast("string"))  # else it runs once for a filter and once more for a column
 
 
+def unlike(model: Model, found: Column, deviations: float = 3.5, letters: int = 100) -> Column:
+    """Whether a text that :func:`predict` gave ``found`` is like no learned language.
+
+    The cosine of two unrelated vectors has a deviation of one over the root of their length. A text without letters
+    is unlike all, and so is one of at least ``letters`` letters whose cosine is below so many ``deviations``; shorter
+    texts have too few n-grams to tell. A model of fewer than two languages has nothing to compare, and only rejects
+    texts without letters.
+    """
+    far = F.lit(len(model.langs) > 1) & (found["letters"] >= letters) & (found["score"] < deviations / model.space.dim**0.5)
+    return (found["letters"] == 0) | far
+
+
 def held_out(doc_id: Column, of: int = 3, part: int = 1) -> Column:
     """Whether the CRC-32 of an id, written as text, leaves the remainder ``part``; never for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of)) == part, F.lit(False))
