@@ -67,6 +67,30 @@ def test_sharding_more_shards_than_rows(spark):
     assert len(got) == 2 and all(r._slot == 0 for r in got)
 
 
+def test_sharding_depends_on_seed_and_rows_only(spark, odd):
+    rows = odd.unionByName(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit("copy " * 60)).crossJoin(spark.range(700)).drop("id"))
+    place = lambda df, **more: Counter((r.doc_id, r.text, r._shard, r._slot) for r in sharding.shuffled(df, shards=7, bucket_bytes=4000, **more).collect())
+    one = place(rows)
+    assert one == place(rows.repartition(1)) == place(rows.repartition(9, "text"))
+    assert one != place(rows, seed=8)
+    copies = Counter(s for (i, t, s, _), n in one.items() if t == "copy " * 60)
+    assert len(copies) == 7 and max(copies.values()) < 160
+
+
+def test_fisher_yates(spark):
+    df = spark.createDataFrame([(b, n) for b, n in enumerate([1, 2, 3, 5, 17, 64, 1000, 4097])], "bucket long, n long")
+    got = {r.bucket: r.places for r in sharding.fisher_yates(df, 7).collect()}
+    for r in df.withColumn("j", F.expr("transform(sequence(0, int(n) - 1), i -> pmod(xxhash64(7L, bucket, i), i + 1L))")).collect():
+        at = [None] * r.n
+        for i, j in enumerate(r.j):
+            if j != i:
+                at[i] = at[j]
+            at[j] = i
+        assert [at[p] for p in got[r.bucket]] == list(range(r.n))
+    first = [r.places[0] for r in sharding.fisher_yates(spark.range(3000).select(F.col("id").alias("bucket"), F.lit(6).cast("long").alias("n")), 7).collect()]
+    assert all(400 < first.count(k) < 600 for k in range(6))
+
+
 def test_offsets(spark):
     counts = [(b, b % 7 + 1) for b in range(0, 9000, 3)]
     got = {r.bucket: r.offset for r in sharding.offsets(spark.createDataFrame(counts, "bucket long, n long")).collect()}
@@ -89,6 +113,8 @@ def test_quality(spark, odd, none):
     scores = [r[0] for r in odd.select(quality.score(model, F.col("text"))).collect()]
     assert len(scores) == odd.count() and all(0 <= s <= 1 for s in scores)
     assert none.select(quality.score(model, F.col("text"))).count() == 0
+    tied = {r[0] for r in odd.where("doc_id IN (1, 3)").select(quality.score(model, F.col("text"))).collect()}
+    assert len(tied) == 1
     lone = quality.fit(none, labels.where("quality = 1"))
     assert {r[0] for r in odd.select(quality.score(lone, F.col("text"))).collect()} == {1.0}
     assert quality.fit(none, labels.limit(0)).rate == 0.5
@@ -110,6 +136,13 @@ def test_language_id(spark, odd, none):
     for r in odd.select("text", language_id.predict(model, F.col("text")).alias("p")).collect():
         assert 0 <= r.p.score <= 1
         assert (r.p.lang == "und") == (not any(c.isalpha() for c in r.text or ""))
+    far = ["".join(rng.choice("абвгдежзийклмнопрст  ") for _ in range(400)) for _ in range(20)] + ["".join(rng.choice("qzxjkvwbp  ") for _ in range(900)) for _ in range(20)]
+    near = [" ".join(rng.choice(stock["de"]) for _ in range(n)) for n in (1, 5, 40, 300)]
+    judged = spark.createDataFrame([(t, t in far) for t in far + near] + [("12 + 3", True), (None, True), ("x", False)], "t string, out boolean")
+    wrong = judged.withColumn("p", language_id.predict(model, F.col("t"))).where(language_id.unlike(model, F.col("p")) != F.col("out")).collect()
+    assert len(wrong) <= 1 and all(r.out for r in wrong)  # 3.5 deviations: one in some thousands
+    same = docs.limit(1).union(docs.limit(1)).select(language_id.predict(model, F.col("text")).alias("p")).collect()
+    assert same[0] == same[1]
     empty = language_id.fit(none)
     assert {r.p.lang for r in odd.select(language_id.predict(empty, F.col("text")).alias("p")).collect()} == {"und"}
     one = language_id.fit(docs.where("lang = 'en'"))
@@ -175,6 +208,44 @@ def test_repeats(spark, odd, none, hot, monkeypatch):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_repeats_planted_passages(spark):
+    """Passages of 50 to 100 words, of which those of at least 400 bytes are repeats, among documents of sf0.01."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    some, passages = random.Random(6), []
+    for n in range(50, 101, 2):
+        passages.append(" ".join(some.choice(WORDS) + some.choice("aeiou") * some.randrange(4) for _ in range(n)))
+    rows = docs + [(100_000 + k * 3 + j, prose(60) + " " + p + " " + prose(50)) for k, p in enumerate(passages) for j in range(3)]
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).drop("text").collect()}
+    bodies = [(t or "").encode() for _, t in rows]
+    # Windows are compared by a rolling hash of another kind than the operator's.
+    lengths = [len(b) for b in bodies]
+    data = np.frombuffer(b"".join(bodies), np.uint8).astype(np.uint64)
+    rolled = np.zeros(len(data) - 399, np.uint64)
+    step = np.uint64(6364136223846793005)
+    for k in range(400):
+        rolled = rolled * step + (data[k : k + len(rolled)] + np.uint64(1)) * np.uint64(2862933555777941757)
+    ends = np.cumsum(lengths)
+    inside = np.ones(len(rolled), bool)
+    for e in ends[:-1]:
+        inside[max(0, e - 399) : e] = False
+    at = np.flatnonzero(inside)
+    _, back, n = np.unique(rolled[at], return_inverse=True, return_counts=True)
+    cover = np.zeros(len(data) + 1, np.int64)
+    np.add.at(cover, at[n[back] > 1], 1)
+    np.add.at(cover, at[n[back] > 1] + 400, -1)
+    hit, caught = np.cumsum(cover)[:-1] > 0, 0
+    for (i, _), b, e in zip(rows, bodies, ends):
+        h = hit[e - len(b) : e]
+        runs = np.count_nonzero(h & ~np.concatenate([[False], h[:-1]])) if len(h) else 0
+        kept = np.frombuffer(b, np.uint8)[~h].tobytes()
+        assert (got[i]._n_bytes, got[i]._n_removed, got[i]._n_spans, bytes(got[i]._kept)) == (len(b), int(h.sum()), runs, kept), i
+    for k, p in enumerate(passages):
+        for j in range(3):
+            assert (got[100_000 + k * 3 + j]._n_removed > 0) == (len(p.encode()) + 2 >= 400)
+            caught += got[100_000 + k * 3 + j]._n_removed > 0
+    assert 0 < caught < 3 * len(passages)
+
+
 def test_bwt_merge():
     g = np.random.default_rng(0)
     for _ in range(60):
@@ -236,6 +307,9 @@ def test_decontaminate(spark, odd, none, block_bytes):
     for r in cut:
         left = brute_hits([r.cut], [], 10)[0][0]
         assert left == r._found.n_words - sum(s.end - s.start for s in r._found.spans)
+    if block_bytes == 60:  # many blocks: the plan has none of them
+        plan = got._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan
     assert decontaminate.find(none, spark.createDataFrame(items, "item_id string, text string")).count() == 0
     assert all(not r._found.spans for r in decontaminate.find(df, spark.createDataFrame([], "item_id string, text string")).collect())
 
@@ -382,6 +456,73 @@ def test_near_dup(spark, odd, none, unit, monkeypatch):
         assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_near_dup_finds_all_links(spark):
+    """Every link of sf0.1, by a join of rare shingles that no pair of similarity 0.75 can miss."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    split = re.compile(r"[^\x20\x09-\x0D]+")
+    sets, ids = {}, {}
+    for r in rows:
+        w = split.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or ""))
+        s = frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[j : j + 5]) for j in range(len(w) - 4)))
+        ids.setdefault(s, []).append(r.doc_id)
+        sets[r.doc_id] = s
+    number, df = {}, Counter(g for s in ids for g in s)
+    for g, _ in sorted(df.items(), key=lambda x: x[1]):
+        number[g] = len(number)
+    group = {min(v): min(v) for v in ids.values()}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    seen, links = {}, 0
+    for s, own in ids.items():
+        n, near = len(s), set()
+        for g in sorted(s, key=number.get)[: n - -(-n * 3 // 4) + 1]:
+            near.update(seen.get(g, ()))
+            seen.setdefault(g, []).append(s)
+        for t in near:
+            both = len(s & t)
+            if 100 * both >= 75 * (n + len(t) - both):
+                links += 1
+                a, b = sorted((root(min(own)), root(min(ids[t]))))
+                group[b] = a
+    assert links > 100
+    got = {r.doc_id: r for r in near_dup.near_duplicates(spark.createDataFrame(rows)).collect()}
+    for s, own in ids.items():
+        for i in own:
+            assert (got[i].n_shingles, got[i].component_id) == (len(s), root(min(own)) if s else i)
+
+
+def test_near_dup_representatives(spark, odd, none):
+    base = prose(60)
+    near = base.replace(" of", " off", 1)
+    rows = [(None, base), (1, near), (None, prose(50)), (2, "few words"), (None, "few words"), (None, "few  words"), (None, None), (3, None), (None, "lone text"), (None, "lone text"), (5, "of one id"), (5, "and of another")]
+    rows += [(None, rows[2][1]), (None, rows[2][1] + " x")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    got = [(r.doc_id, r.text) for r in near_dup.representatives(df).collect()]
+    assert Counter(x for x in got if x[1] is None) == {(None, None): 1, (3, None): 1}
+    assert (1, near) in got and (None, base) not in got and (2, "few words") in got and sum("few" in (t or "") for _, t in got) == 1
+    assert got.count((None, "lone text")) == 1 and sum((t or "").startswith(rows[2][1]) for _, t in got) == 1
+    assert len({t for i, t in got if i == 5}) == 1  # rows of one id are one node
+    whole = near_dup.representatives(odd)
+    assert whole.columns == odd.columns and len(near_dup.representatives(none).collect()) == 0
+    assert Counter(r.doc_id for r in whole.collect())[3] == 0
+
+
+def test_shared_folder_is_asked_for(spark):
+    from types import SimpleNamespace
+
+    from regimes.llm import common
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
 def test_shingles_and_signatures():
     a, b, c, d = shingles.shingle_sets(["A b  c d E\tf", "a B c d e f", None, " "])
     assert len(a) == 2 and (a == b).all() and not len(c) and not len(d)
