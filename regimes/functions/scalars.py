@@ -128,6 +128,20 @@ def strip_html(html: Column) -> Column:
     return normalize_text(t)
 
 
+#: The containers in which a page's content is looked for, and what is left out of them.
+CONTAINERS = ("main", "article", "body")
+BOILERPLATE = ("svg", "iframe", "form", "nav", "footer", "header", "aside")
+
+
+def main_html(html: Column) -> Column:
+    """The inside of a page's first ``main``, else ``article``, else ``body`` (else all of it), without boilerplate elements."""
+    plain = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    inner = F.coalesce(*[F.nullif(F.regexp_extract(plain, rf"(?is)<{c}\b[^>]*>(.*?)</{c}\s*>", 1), F.lit("")) for c in CONTAINERS], plain)
+    for name in BOILERPLATE:
+        inner = F.regexp_replace(inner, rf"(?is)<{name}\b.*?</{name}\s*>", " ")
+    return inner
+
+
 def first_line(s: Column, most: int = 160) -> Column:
     """The first line that isn't blank, trimmed and cut; null if there is none."""
     return F.substring(F.get(F.filter(F.transform(F.split(s, "\n", -1), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)), 1, most)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import kept
 from .attribution import before_boundaries, term_of_day, term_of_period
 from .transforms import apply_transforms
 
@@ -47,15 +48,15 @@ def attribute(obs: DataFrame, windows: DataFrame, tie: str = "period_end", dates
 
 
 def _values() -> tuple[Column, Column]:
-    """Value (which looks at the column ``error``) and error of each kind, the error checks in the order in which they count."""
+    """Value and error of each kind, the error checks in the order in which they count; the value is null wherever one fails."""
     kind, n, ppy, scale = F.col("agg_kind"), F.col("n"), _or("ppy", 0.0), _or("agg_scale", 100.0)
-    s, e = F.col("sv"), F.col("ev")
+    s, e, often = F.col("sv"), F.col("ev"), F.when(ppy > 0, ppy)
     years = F.date_diff("ed", "sd") / F.lit(YEAR_DAYS)
     positive = F.when(years > 0, years)
     growth = F.when((s > 0) & (e > 0), F.when(e > 0, e) / F.when(s > 0, s))
-    root = F.sqrt(F.when(ppy > 0, ppy))
-    grown = F.when(F.col("product") > 0, F.pow(F.when(F.col("product") > 0, F.col("product")), ppy / F.nullif(n, F.lit(0)))).when(F.col("product") == 0, 0.0)
     some, ok_ppy, two, both = n >= 1, ppy > 0, n >= 2, s.isNotNull() & e.isNotNull()
+    root = F.sqrt(F.when(ppy > 0, ppy))
+    grown = F.when(F.col("product") > 0, F.pow(F.when(F.col("product") > 0, F.col("product")), often / F.nullif(n, F.lit(0)))).when((F.col("product") == 0) & ok_ppy, 0.0)
     kinds = {
         "mean": ([(~some, "empty window")], F.col("mean") * _or("post_scale", 1.0)),
         "last": ([(~some, "empty window")], e),
@@ -63,15 +64,15 @@ def _values() -> tuple[Column, Column]:
         "pct_change_from_levels": ([(~both, "missing boundary observation"), (s == 0, "start value is 0")], scale * (e / F.nullif(s, F.lit(0.0)) - 1)),
         "end_minus_start_per_year": ([(~both, "missing boundary observation"), (years <= 0, "non-positive elapsed time")], (e - s) / positive),
         "cagr_from_levels": ([(~both, "missing boundary observation"), (years <= 0, "non-positive elapsed time"), ((s <= 0) | (e <= 0), "non-positive level for CAGR")], scale * (F.pow(growth, 1 / positive) - 1)),
-        "mean_times_periods_per_year": ([(~ok_ppy, "periods_per_year required"), (~some, "empty window")], F.col("mean") * ppy),
-        "compound_total": ([(~some, "empty window")], scale * (F.col("product") - 1)),
-        "compound_annualized": ([(~ok_ppy, "periods_per_year required"), (~some, "empty window"), (F.col("product") < 0, "negative base for compounding")], scale * (grown - 1)),
+        "mean_times_periods_per_year": ([(~ok_ppy, "periods_per_year required"), (~some, "empty window")], F.col("mean") * often),
+        "compound_total": ([(~some, "empty window")], F.when(some, scale * (F.col("product") - 1))),
+        "compound_annualized": ([(~ok_ppy, "periods_per_year required"), (~some, "empty window"), (F.col("product") < 0, "negative base for compounding")], F.when(some, scale * (grown - 1))),
         "count_transitions": ([], F.col("transitions").cast("double")),
         "annualized_std": ([(~ok_ppy, "periods_per_year required"), (~two, "need at least 2 observations")], F.col("sd_samp") * root),
-        "sharpe_ratio_annualized": ([(~ok_ppy, "periods_per_year required"), (~two, "need at least 2 observations"), (F.col("sd_samp") == 0, "zero std")], F.col("mean") * ppy / F.nullif(F.col("sd_samp") * root, F.lit(0.0))),
+        "sharpe_ratio_annualized": ([(~ok_ppy, "periods_per_year required"), (~two, "need at least 2 observations"), (F.col("sd_samp") == 0, "zero std")], F.col("mean") * often / F.nullif(F.col("sd_samp") * root, F.lit(0.0))),
     }
     # One flat CASE each: the first check of a row's kind that fails, and the value if none did.
-    failed, value = F.when(F.lit(False), ""), F.when(F.col("error") != "", None)
+    failed, value = F.when(F.lit(False), ""), F.when(F.lit(False), None)
     for name, (checks, v) in kinds.items():
         for cond, message in checks:
             failed = failed.when((kind == name) & cond, message)
@@ -85,12 +86,12 @@ def term_metrics(series: DataFrame, metrics: DataFrame, windows: DataFrame, tie:
 
     ``windows`` has ``wid, label, start, end``. All accumulators of a metric and window come from one aggregation
     with partial sums on the map side; no group is gathered. Levels of daily series are compared at the last values
-    before the window's start and end. Errors are texts beside null values.
+    before the window's start and end. Errors are texts beside null values. The observations and the accumulators (a
+    row for each metric and window) are kept in the shared folder, so that whatever reads the table plans little.
     """
-    obs = observe(series, metrics)
-    # Dates don't change in a transform: they are taken from before it.
-    dates = series.join(metrics.select("series_key", *PERIOD_KEYS[:4]).distinct(), "series_key")
-    placed = attribute(obs, windows, tie, dates)
+    # Dates, windows, levels and presence are all taken from the observations: these are worked out once.
+    obs = kept(observe(series, metrics))
+    placed = attribute(obs, windows, tie)
     order = Window.partitionBy("metric_id", "wid").orderBy("d", "pos")
     before = F.lag("v").over(order)
     turn = (F.abs(before - F.coalesce("from_value", F.lit(0.0))) < TOLERANCE) & (F.abs(F.col("v") - F.coalesce("to_value", F.lit(1.0))) < TOLERANCE)
@@ -109,16 +110,17 @@ def term_metrics(series: DataFrame, metrics: DataFrame, windows: DataFrame, tie:
     levels = obs.where(daily)
     marks = grid.where(daily).select("metric_id", F.explode(F.array("start", "end")).alias("mark"))
     edge = before_boundaries(levels.select("metric_id", "pos", "d", "v"), marks, "metric_id")
-    has = series.select("series_key").distinct().withColumn("any_obs", F.lit(1))
+    has = obs.select("metric_id").distinct().withColumn("any_obs", F.lit(1))
     b1 = edge.select("metric_id", F.col("mark").alias("start"), F.struct("d", "v").alias("b_start"))
     b2 = edge.select("metric_id", F.col("mark").alias("end"), F.struct("d", "v").alias("b_end"))
-    t = t.join(b1, ["metric_id", "start"], "left").join(b2, ["metric_id", "end"], "left").join(has, "series_key", "left")
+    t = t.join(b1, ["metric_id", "start"], "left").join(b2, ["metric_id", "end"], "left").join(has, "metric_id", "left")
     kind = F.col("agg_kind")
     bounded = kind.isin(*BOUNDARY_KINDS)
     complete = F.col("b_start").isNotNull() & F.col("b_end").isNotNull()
     s = F.when(daily, F.when(complete, F.col("b_start"))).when(bounded, F.col("first"))
     e = F.when(daily, F.when(complete, F.col("b_end"))).when(bounded | (kind == "last"), F.col("last"))
     t = t.withColumn("s", s).withColumn("e", e).withColumns({"sd": F.col("s.d"), "sv": F.col("s.v"), "ed": F.col("e.d"), "ev": F.col("e.v"), "n": F.coalesce("n", F.lit(0)), "transitions": F.coalesce("transitions", F.lit(0))})
+    t = kept(t)
     value, error = _values()
     t = t.withColumn("error", F.when(daily & F.col("any_obs").isNull(), "empty series").otherwise(error)).withColumn("value", value)
     n_obs = F.when(kind == "last", F.when(F.col("n") > 0, 1)).when(bounded, None).otherwise(F.nullif(F.col("n"), F.lit(0))).cast("long")

@@ -92,6 +92,14 @@ def site_tier(q: Column) -> Column:
     return F.when(q < 0.05, "confirmatory").when(q < 0.10, "supportive").otherwise("exploratory")
 
 
+def block_id(start: Column, years: int, by: str = "metric_id") -> Column:
+    """Which run of so many ``years`` from the metric's own first year a window starts in; -1 without a start, 0 for all if ``years`` is 0."""
+    if years <= 0:
+        return F.lit(0)
+    year = F.year(start)
+    return F.coalesce(F.floor((year - F.min(year).over(Window.partitionBy(by))) / years).cast("int"), F.lit(-1))
+
+
 def randomization(terms: DataFrame, permutations: int = 10_000, samples: int = 2_000, seed: int = 42, block_years: int = 0, q_most: float = 0.05, n_least: int = 12) -> DataFrame:
     """The test of every metric in ``aggregates.term_metrics`` rows: ``metric_id, n_obs, n_d, n_r, observed, perm_mean, perm_std, z, p, ci_low, ci_high, q, evidence_tier``.
 
@@ -100,9 +108,7 @@ def randomization(terms: DataFrame, permutations: int = 10_000, samples: int = 2
     stages, ``p`` and ``q`` go on with six decimals.
     """
     known = terms.where(F.col("party_abbrev").isin("D", "R") & F.col("value").isNotNull() & (F.trim("metric_id") != ""))
-    year = F.year("term_start")
-    first = F.min(year).over(Window.partitionBy("metric_id"))
-    block = F.coalesce(F.floor((year - first) / block_years).cast("int"), F.lit(-1)) if block_years > 0 else F.lit(0)
+    block = block_id(F.col("term_start"), block_years)
     obs = known.select(F.trim("metric_id").alias("metric_id"), F.col("term_id").alias("obs_key"), F.col("party_abbrev").alias("label"), "value", block.alias("block"))
     tested = permutation_test(obs, permutations, seed).join(bootstrap(obs, samples, seed), "metric_id", "left")
     rated = false_discovery(tested.withColumn("p", F.round("p", 6))).withColumn("q", F.round("q", 6))
@@ -172,4 +178,4 @@ def sequential_test(obs: DataFrame, permutations: int, samples: int, seed: int =
     return rows.select("metric_id", "pos", "label", "value", "year").groupBy("metric_id").applyInPandas(test, RESULT)
 
 
-__all__ = ["bootstrap", "draw", "evidence_tier", "false_discovery", "observed", "permutation_test", "permutations", "randomization", "sequential_test", "site_tier"]
+__all__ = ["block_id", "bootstrap", "draw", "evidence_tier", "false_discovery", "observed", "permutation_test", "permutations", "randomization", "sequential_test", "site_tier"]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_date, parse_loose
@@ -83,6 +84,33 @@ def inflation_pairs(metrics: DataFrame) -> DataFrame:
     return has.where("yoy AND NOT mom").select("series_key")
 
 
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def input_issues(df: DataFrame | None, name: str) -> DataFrame:
+    """An error if an input is missing (None) or has no row."""
+    if df is None:
+        return SparkSession.active().range(1).select(*issue("ERROR", "missing_input", F.lit(f"{name}: missing input")))
+    return df.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(*issue("ERROR", "empty_input", F.lit(f"{name}: empty input")))
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many values each column has, in one row."""
+    return df.agg(*[F.count_distinct(c).alias(c) for c in columns])
+
+
+def unknown_series(metrics: DataFrame, series: DataFrame) -> DataFrame:
+    """``series_key``: inputs that metrics name and that no series has."""
+    return metrics.select("series_key").distinct().join(series.select("series_key").distinct(), "series_key", "left_anti")
+
+
 def roll_up(issues: DataFrame) -> DataFrame:
     """``n_errors, n_warnings, status``: the status is 1 if there is any error."""
     e, w = (F.count_if(F.col("level") == x) for x in ("ERROR", "WARN"))

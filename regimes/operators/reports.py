@@ -12,7 +12,7 @@ from .inference import site_tier
 REQUIRED = ("label", "publisher", "program", "access_provider", "url")
 
 
-def last_rows(df: DataFrame, *keys: str) -> DataFrame:
+def last_rows(df: DataFrame, *keys: str, keep_pos: bool = False) -> DataFrame:
     """A keyed table as read from a file: keys are trimmed, rows with a blank one go, and of duplicates the last by ``pos`` stays.
 
     Tables without ``pos`` have no order and stay as they are.
@@ -21,7 +21,15 @@ def last_rows(df: DataFrame, *keys: str) -> DataFrame:
         return df
     for k in keys:
         df = df.withColumn(k, F.trim(k)).where(F.col(k) != "")
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pos")))).where("_nth = 1").drop("_nth", "pos")
+    # An aggregation with partial maxima: a key with very many rows is no single task's work.
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "pos").alias("_last")).select(*keys, "_last.*")
+    return last if keep_pos else last.drop("pos")
+
+
+def placed(board: DataFrame, first: DataFrame) -> DataFrame:
+    """Add ``place``: rows by ``q`` (missing last), equal ones by first appearance (``first``: ``metric_id, pos``). One row for each metric, so few rows."""
+    t = board.join(first.select("metric_id", "pos"), "metric_id", "left")
+    return t.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("q").asc_nulls_last(), F.col("pos").asc_nulls_last(), "metric_id"))).drop("pos")
 
 
 def contrast(summary: DataFrame) -> DataFrame:

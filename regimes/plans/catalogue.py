@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions import scalars as S
 from ..functions.expressions import derive
 from ..operators import aggregates, attribution, inference, quality, reports, spells, transforms
 from ..streaming.series import daily_series
+from ..tables import kept
 from . import inputs, metric_sql
 from .inputs import TIES, WINDOWS
 
@@ -120,6 +119,17 @@ def html_strip(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "pages").select("page_id", S.content_hash(S.strip_html(F.col("html"))).alias("text_hash"))
 
 
+_PLAIN = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+_MAIN = "coalesce(" + ", ".join(rf"nullif(regexp_extract({_PLAIN}, '(?is)<{c}\b[^>]*>(.*?)</{c}\s*>', 1), '')" for c in S.CONTAINERS) + f", {_PLAIN})"
+for _a in S.BOILERPLATE:
+    _MAIN = rf"regexp_replace({_MAIN}, '(?is)<{_a}\b.*?</{_a}\s*>', ' ', 'g')"
+
+
+@query("html_main", f"SELECT page_id, sha256({_MAIN}) AS main_hash FROM pages")
+def html_main(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "pages").select("page_id", S.content_hash(S.main_html(F.col("html"))).alias("main_hash"))
+
+
 @query("first_nonempty_line", "SELECT doc_id, substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1], 1, 160) AS title FROM documents")
 def first_nonempty_line(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", S.first_line(F.col("text")).alias("title"))
@@ -271,14 +281,14 @@ def _tested(spark: SparkSession, d: str, blocked: bool, n: int) -> DataFrame:
     return t.select("metric_id", "n_obs", "n_d", "n_r", *[F.round(c, 6).alias(c) for c in ("observed", "perm_mean", "perm_std")], F.round("z", 4).alias("z"), F.round("p", 6).alias("p"))
 
 
-@query("permutation_portable", _perm_sql("0", 200))
+@query("permutation_portable", _perm_sql("0", 10_000))
 def permutation_portable(spark: SparkSession, d: str) -> DataFrame:
-    return _tested(spark, d, False, 200)
+    return _tested(spark, d, False, 10_000)
 
 
-@query("permutation_blocked", _perm_sql("block", 200))
+@query("permutation_blocked", _perm_sql("block", 10_000))
 def permutation_blocked(spark: SparkSession, d: str) -> DataFrame:
-    return _tested(spark, d, True, 200)
+    return _tested(spark, d, True, 10_000)
 
 
 def _boot_sql(n: int, source: str = inputs.QUARTERLY_SQL) -> str:
@@ -289,18 +299,18 @@ f AS (SELECT metric_id, b, (sum(CAST(value AS DECIMAL(38,6))) FILTER (label = 'D
 SELECT metric_id, round(quantile_cont(diff, 0.025), 6) AS ci_low, round(quantile_cont(diff, 0.975), 6) AS ci_high FROM f GROUP BY 1"""
 
 
-BOOT_SQL = _boot_sql(100)
+BOOT_SQL = _boot_sql(2_000)
 
 
 @query("bootstrap_ci_portable", BOOT_SQL)
 def bootstrap_ci_portable(spark: SparkSession, d: str) -> DataFrame:
-    t = inference.bootstrap(inputs.quarterly_values(spark, d), 100)
+    t = inference.bootstrap(inputs.quarterly_values(spark, d), 2_000)
     return t.select("metric_id", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
 
 
 @query("permutation_sequential")
 def permutation_sequential(spark: SparkSession, d: str) -> DataFrame:
-    return inference.sequential_test(inputs.quarterly_values(spark, d), 200, 100)
+    return inference.sequential_test(inputs.quarterly_values(spark, d), 10_000, 2_000)
 
 
 BH_SQL = """WITH t AS (SELECT CAST(p_size AS VARCHAR) || ':' || p_brand AS metric_id, CASE WHEN count(*) % 5 = 0 THEN NULL ELSE round(count(*) / (count(*) + sum(p_partkey % 97)), 6) END AS p, count(*) AS n FROM part GROUP BY 1),
@@ -338,9 +348,7 @@ SELECT tested.*, q, CASE WHEN q < 0.05 AND n_obs >= 12 THEN 'confirmatory' WHEN
 
 def _kept_terms(spark: SparkSession, d: str) -> DataFrame:
     """All metrics' values by window, computed once: a row for each metric and window, in the shared folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return term_table(spark, d, METRICS).checkpoint()
+    return kept(term_table(spark, d, METRICS))
 
 
 @query("term_randomization", RANDOMIZATION_SQL)
@@ -417,13 +425,14 @@ def dq_missing_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 _KINDS = "['end_minus_start', 'end_minus_start_per_year', 'pct_change_from_levels', 'cagr_from_levels', 'mean']"
-_USED_SQL = f"SELECT l_suppkey AS series_key, {_KINDS}[(l_partkey + l_linenumber) % 5 + 1] AS agg_kind FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 5"
+#: Every line is a metric; the series is what one supplier delivers of one part.
+_USED_SQL = f"SELECT CAST(l_suppkey AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) AS series_key, l_suppkey, l_partkey, l_linenumber, {_KINDS}[(l_partkey + l_linenumber) % 5 + 1] AS agg_kind FROM lineitem"
 
 
 def _used(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("end_minus_start", "end_minus_start_per_year", "pct_change_from_levels", "cagr_from_levels", "mean")])
-    t = _read(spark, d, "lineitem").where("l_linenumber = 1 AND l_quantity < 5")
-    return t.select(F.col("l_suppkey").alias("series_key"), F.get(kinds, ((F.col("l_partkey") + F.col("l_linenumber")) % 5).cast("int")).alias("agg_kind"), "l_partkey")
+    key = F.concat_ws(":", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"))
+    return _read(spark, d, "lineitem").select(key.alias("series_key"), F.get(kinds, ((F.col("l_partkey") + F.col("l_linenumber")) % 5).cast("int")).alias("agg_kind"), F.col("l_linenumber").alias("turn"), F.col("l_suppkey").alias("of"))
 
 
 @query("dq_symmetry", f"WITH k AS (SELECT series_key, list(DISTINCT agg_kind) AS kinds FROM ({_USED_SQL}) GROUP BY 1) " + " UNION ALL ".join(f"SELECT series_key, '{a}' AS has, '{b}' AS lacks FROM k WHERE list_contains(kinds, '{a}') AND NOT list_contains(kinds, '{b}')" for p in quality.PAIRS for a, b in (p, p[::-1])))
@@ -432,12 +441,12 @@ def dq_symmetry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _inflation(used: DataFrame) -> DataFrame:
-    k = F.col("l_partkey") % 4
+    k = F.col("turn") % 4
     t = used.withColumn("agg_kind", F.lit("mean")).withColumn("transform", F.when(k == 0, "pct_change").when(k == 1, "growth_rate").otherwise("identity"))
-    return t.withColumn("lag", F.when(k == 0, 12).otherwise(1)).withColumn("annualize", F.lit(12.0)).withColumn("seasonal_adjustment", F.when(F.col("series_key") % 3 != 0, "SA").otherwise("NSA")).withColumn("series_units", F.lit(" Index"))
+    return t.withColumn("lag", F.when(k == 0, 12).otherwise(1)).withColumn("annualize", F.lit(12.0)).withColumn("seasonal_adjustment", F.when(F.col("of") % 3 != 0, "SA").otherwise("NSA")).withColumn("series_units", F.lit(" Index"))
 
 
-@query("dq_inflation_pair", """SELECT l_suppkey AS series_key FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 5 AND l_suppkey % 3 <> 0 GROUP BY 1 HAVING bool_or(l_partkey % 4 = 0) AND NOT bool_or(l_partkey % 4 = 1)""")
+@query("dq_inflation_pair", f"SELECT series_key FROM ({_USED_SQL}) WHERE l_suppkey % 3 <> 0 GROUP BY 1 HAVING bool_or(l_linenumber % 4 = 0) AND NOT bool_or(l_linenumber % 4 = 1)")
 def dq_inflation_pair(spark: SparkSession, d: str) -> DataFrame:
     return quality.inflation_pairs(_inflation(_used(spark, d)))
 
@@ -448,7 +457,7 @@ _LINES_SQL = f"SELECT l_orderkey AS series_key, l_partkey, {_KINDS}[(l_partkey +
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("end_minus_start", "end_minus_start_per_year", "pct_change_from_levels", "cagr_from_levels", "mean")])
-    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("series_key"), F.get(kinds, ((F.col("l_partkey") + F.col("l_linenumber")) % 5).cast("int")).alias("agg_kind"), "l_partkey")
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("series_key"), F.get(kinds, ((F.col("l_partkey") + F.col("l_linenumber")) % 5).cast("int")).alias("agg_kind"), F.col("l_partkey").alias("turn"), F.col("l_orderkey").alias("of"))
 
 
 @query("dq_symmetry_lines", f"WITH k AS (SELECT series_key, list(DISTINCT agg_kind) AS kinds FROM ({_LINES_SQL}) GROUP BY 1) " + " UNION ALL ".join(f"SELECT series_key, '{a}' AS has, '{b}' AS lacks FROM k WHERE list_contains(kinds, '{a}') AND NOT list_contains(kinds, '{b}')" for p in quality.PAIRS for a, b in (p, p[::-1])))
@@ -478,29 +487,18 @@ def dq_windows(spark: SparkSession, d: str) -> DataFrame:
 CONTRAST_SQL = f"""WITH s AS (SELECT party_abbrev, metric_id, n_terms, round(mean, 6) AS mean FROM ({SUMMARY_SQL}) WHERE party_abbrev IN ('D', 'R')),
 c AS (SELECT metric_id, max(n_terms) FILTER (party_abbrev = 'D') AS n_d, max(n_terms) FILTER (party_abbrev = 'R') AS n_r, max(mean) FILTER (party_abbrev = 'D') AS d_mean, max(mean) FILTER (party_abbrev = 'R') AS r_mean FROM s GROUP BY 1)
 """
-_TESTS_SQL = "SELECT metric_id, CASE WHEN strlen(metric_id) % 3 = 0 THEN NULL ELSE strlen(metric_id) / 400.0::DOUBLE END AS q FROM c"
-
-
-def _board(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = term_table(spark, d, METRICS)
-    summary = aggregates.party_summary(t)
-    n = F.length("metric_id")
-    q = F.when(n % 3 != 0, n / 400.0)
-    tests = summary.select("metric_id").distinct().select("metric_id", q.alias("p"), q.alias("q"), (-n).cast("double").alias("ci_low"), n.cast("double").alias("ci_high"))
-    return reports.scoreboard(summary, tests), t
-
-
-@query("scoreboard", CONTRAST_SQL + f"SELECT c.metric_id, replace(c.metric_id, '_', ' ') AS metric_label, n_d, n_r, d_mean, r_mean, round(d_mean - r_mean, 6) AS diff, round(q, 6) AS q, CASE WHEN q < 0.05 THEN 'confirmatory' WHEN q < 0.10 THEN 'supportive' ELSE 'exploratory' END AS tier FROM c JOIN ({_TESTS_SQL}) t ON c.metric_id = t.metric_id")
-def scoreboard(spark: SparkSession, d: str) -> DataFrame:
-    return _board(spark, d)[0].select("metric_id", "metric_label", "n_d", "n_r", "d_mean", "r_mean", "diff", "q", "tier")
-
-
 def _tested_board(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The board with the tests of its own values; ``_board`` has stand-ins for them, as the SQL of ``scoreboard`` does."""
+    """The board with the tests of its own values."""
     t = _kept_terms(spark, d)
     return reports.scoreboard(aggregates.party_summary(t), inference.randomization(t)), t
 
 
+@query("scoreboard", CONTRAST_SQL + f"""SELECT c.metric_id, replace(c.metric_id, '_', ' ') AS metric_label, c.n_d, c.n_r, d_mean, r_mean, round(d_mean - r_mean, 6) AS diff, q,
+CASE WHEN q < 0.05 THEN 'confirmatory' WHEN q < 0.10 THEN 'supportive' ELSE 'exploratory' END AS tier FROM c LEFT JOIN ({RANDOMIZATION_SQL}) t ON c.metric_id = t.metric_id""")
+def scoreboard(spark: SparkSession, d: str) -> DataFrame:
+    return _tested_board(spark, d)[0].select("metric_id", "metric_label", "n_d", "n_r", "d_mean", "r_mean", "diff", "q", "tier")
+
+
 @query("scoreboard_tested", CONTRAST_SQL + f"""SELECT c.metric_id, replace(c.metric_id, '_', ' ') AS metric_label, c.n_d, c.n_r, d_mean, r_mean, round(d_mean - r_mean, 6) AS diff, p, q, ci_low, ci_high,
 CASE WHEN q < 0.05 THEN 'confirmatory' WHEN q < 0.10 THEN 'supportive' ELSE 'exploratory' END AS tier FROM c LEFT JOIN ({RANDOMIZATION_SQL}) t ON c.metric_id = t.metric_id""")
 def scoreboard_tested(spark: SparkSession, d: str) -> DataFrame:

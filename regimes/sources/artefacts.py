@@ -1,40 +1,13 @@
-"""Versioned raw documents and their ingestion. Fetching is the driver's; reading and parsing are Spark's."""
+"""Versioned raw documents. Fetching them is no query work and is left out."""
 
 from __future__ import annotations
 
-import hashlib
-import json
 import os
-import time
-import urllib.request
-from collections.abc import Callable
-from datetime import UTC, datetime
 from pathlib import Path
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SECRETS
-
-
-def fetch(url: str, attempts: int = 3, pause: float = 1.5, opened: Callable = urllib.request.urlopen) -> bytes:
-    """The body of a URL; failed attempts are repeated after a pause that grows by ``pause`` seconds."""
-    for n in range(1, attempts + 1):
-        try:
-            with opened(url, timeout=60) as r:
-                return r.read()
-        except OSError:
-            if n == attempts:
-                raise
-            time.sleep(pause * n)
-    raise ValueError("attempts must be positive")
-
-
-def redacted(url: str) -> str:
-    p = urlsplit(url)
-    return urlunsplit(p._replace(query=urlencode([(k, "REDACTED" if k.lower() in SECRETS else v) for k, v in parse_qsl(p.query, keep_blank_values=True)])))
-
 
 def write_atomic(path: str | Path, data: bytes) -> None:
     path = Path(path)
@@ -44,41 +17,7 @@ def write_atomic(path: str | Path, data: bytes) -> None:
     os.replace(part, path)
 
 
-def keep(folder: str | Path, data: bytes, suffix: str, url: str, now: datetime | None = None) -> Path:
-    """Store a document under its time and content hash, with what it came from beside it."""
-    stamp, digest = (now or datetime.now(UTC)).strftime("%Y%m%dT%H%M%SZ"), hashlib.sha256(data).hexdigest()
-    path = Path(folder) / f"{stamp}__sha256_{digest}.{suffix}"
-    write_atomic(path, data)
-    write_atomic(path.with_name(path.name + ".meta.json"), json.dumps({"sha256": digest, "url": redacted(url)}, sort_keys=True).encode())
-    return path
-
-
 def latest(files: DataFrame, path: str = "path") -> DataFrame:
     """``folder, path``: of each folder's documents (side files left out) the last by name."""
     name, folder = F.element_at(F.split(path, "/"), -1), F.regexp_replace(path, "/[^/]*$", "")
     return files.where(~F.endswith(path, F.lit(".meta.json"))).groupBy(folder.alias("folder")).agg(F.max_by(path, name).alias("path"))
-
-
-def ingest(spec: dict, getters: dict[str, Callable], sources: set[str] | None = None, series: set[str] | None = None) -> list[str]:
-    """Run the getter of each wanted series' kind of source; sources that series share are fetched once. Returns the keys."""
-    done, shared = [], {}
-    for key, cfg in (spec.get("series") or {}).items():
-        source = cfg.get("source")
-        if (sources and source not in sources) or (series and key not in series):
-            continue
-        kind = ((spec.get("sources") or {}).get(source) or {}).get("kind")
-        if kind not in getters:
-            raise ValueError(f"{key}: unknown kind of source {kind!r}")
-        shared[source] = getters[kind](key, cfg, shared.get(source))
-        done.append(key)
-    return done
-
-
-def read_env(path: str | Path, env: dict[str, str] | None = None, override: bool = False) -> dict[str, str]:
-    """``KEY=VALUE`` lines of a file over an environment; what is set already stays unless ``override``."""
-    out = dict(os.environ if env is None else env)
-    for line in Path(path).read_text(encoding="utf-8").splitlines():
-        key, sep, value = line.strip().partition("=")
-        if sep and not key.startswith("#") and (override or key.strip() not in out):
-            out[key.strip()] = value.strip().strip("\"'")
-    return out

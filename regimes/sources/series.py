@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.text(path).first()
     if first is None or not first[0].strip():
         raise ValueError(f"no header: {path}")
-    return [c.strip() for c in first[0].split(",")]
+    return [c.strip() for c in next(csv.reader([first[0].removeprefix("\ufeff")]))]
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -56,10 +58,17 @@ def read_dated_csv(spark: SparkSession, path: str, key: str, date_col: str, valu
 
 
 def read_observations_json(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """An observations document (``{"observations": [{"date", "value", ...}]}``) as a long series."""
-    doc = spark.read.schema("observations array<struct<date string, value string>>").json(path, multiLine=True)
+    """Observations documents (``{"observations": [{"date", "value", "realtime_start", "realtime_end"}]}``) as a long series with ``rt_start, rt_end``."""
+    doc = spark.read.option("recursiveFileLookup", "true").schema("observations array<struct<date string, value string, realtime_start string, realtime_end string>>").json(path, multiLine=True)
     rows = doc.select(F.posexplode("observations").alias("pos", "o"))
-    return rows.select(F.lit(key).alias("series_key"), F.col("pos").cast("long").alias("pos"), parse_date(F.col("o.date")).alias("d"), parse_number(F.col("o.value")).alias("v"))
+    return rows.select(F.lit(key).alias("series_key"), F.col("pos").cast("long").alias("pos"), parse_date(F.col("o.date")).alias("d"), parse_number(F.col("o.value")).alias("v"), parse_date(F.col("o.realtime_start")).alias("rt_start"), parse_date(F.col("o.realtime_end")).alias("rt_end"))
+
+
+def read_series_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata documents (``{"seriess": [{...}]}``): ``series_id, title, frequency, units, seasonal_adjustment``, one row for each series."""
+    names = {"id": "series_id", "title": "title", "frequency_short": "frequency", "units": "units", "seasonal_adjustment_short": "seasonal_adjustment"}
+    doc = spark.read.option("recursiveFileLookup", "true").schema(f"seriess array<struct<{', '.join(f'{n} string' for n in names)}>>").json(path, multiLine=True)
+    return doc.select(F.explode("seriess").alias("s")).select(*[F.trim(F.col(f"s.{a}")).alias(b) for a, b in names.items()])
 
 
 def read_factor_text(spark: SparkSession, path: str, key: str, names: list[str], missing: tuple[str, ...] = ("-99.99", "-999")) -> DataFrame:

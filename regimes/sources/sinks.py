@@ -32,7 +32,7 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
 def write_terms(terms: DataFrame, path: str) -> None:
     """Windows by start; commas in names become spaces, so that nothing is quoted."""
     plain = [F.translate(c, ",", " ").alias(c) if t == "string" else F.col(c) for c, t in terms.dtypes]
-    terms.select(*plain).orderBy("term_start").write.mode("overwrite").csv(path, header=True)
+    terms.select(*plain).orderBy("term_start").write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_markdown(board: DataFrame, path: str | Path) -> None:

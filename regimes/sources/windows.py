@@ -21,7 +21,7 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 def read_legislators(spark: SparkSession, path: str) -> DataFrame:
     """People with nested terms: those of type ``prez`` with a start, one row each."""
     schema = "id struct<wikidata string, govtrack long>, name struct<official_full string, first string, last string>, terms array<struct<type string, start string, end string, party string>>"
-    people = spark.read.schema(schema).json(path, multiLine=True)
+    people = spark.read.option("recursiveFileLookup", "true").schema(schema).json(path, multiLine=True)
     t = people.select("id", "name", F.explode("terms").alias("t")).where("t.type = 'prez' AND coalesce(t.start, '') <> ''")
     person = F.coalesce(first_filled(F.col("id.wikidata")), F.concat(F.lit("govtrack:"), F.col("id.govtrack").cast("string")), F.lit(""))
     name = F.coalesce(first_filled(F.col("name.official_full")), F.trim(F.concat_ws(" ", "name.first", "name.last")))
@@ -32,7 +32,7 @@ def read_bindings(spark: SparkSession, path: str) -> DataFrame:
     """A SPARQL result document; of several parties of one person and window D, then R, then the first is taken."""
     value = "struct<value string>"
     schema = f"results struct<bindings array<struct<person {value}, personLabel {value}, party {value}, partyLabel {value}, start {value}, end {value}>>>"
-    t = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("results.bindings").alias("pos", "b"))
+    t = spark.read.option("recursiveFileLookup", "true").schema(schema).json(path, multiLine=True).select(F.posexplode("results.bindings").alias("pos", "b"))
     t = t.where("coalesce(b.person.value, '') <> '' AND coalesce(b.start.value, '') <> ''")
     rows = t.select("pos", last_segment(F.col("b.person.value")).alias("person"), F.col("b.personLabel.value").alias("president"), party_label(last_segment(F.col("b.party.value")), F.lit(None)).alias("label"), parse_date(F.col("b.start.value")).alias("start"), F.coalesce(parse_date(F.col("b.end.value")), F.lit(OPEN_END).cast("date")).alias("end"))
     names = rows.groupBy("person", "start", "end").agg(F.min_by("president", "pos").alias("president"))

@@ -2,7 +2,7 @@
 
 import json
 import zipfile
-from datetime import UTC, date, datetime
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,30 +92,20 @@ def test_registry(spark, tmp_path):
         registry.metrics(spark, spec, over)
 
 
-def test_artefacts(spark, tmp_path):
-    a = artefacts.keep(tmp_path / "x", b"one", "csv", "http://h/?api_key=s&q=1", datetime(2020, 1, 1, tzinfo=UTC))
-    b = artefacts.keep(tmp_path / "x", b"two", "csv", "http://h/", datetime(2020, 1, 2, tzinfo=UTC))
-    assert "REDACTED" in (tmp_path / "x" / (a.name + ".meta.json")).read_text() and a.read_bytes() == b"one"
-    files = spark.createDataFrame([(str(f),) for f in (tmp_path / "x").iterdir()], "path string")
-    assert [r.path for r in artefacts.latest(files).collect()] == [str(b)]
-    calls = []
-    get = lambda key, cfg, shared: calls.append(key) or "got"
-    spec = {"sources": {"s": {"kind": "k"}}, "series": {"a": {"source": "s"}, "b": {"source": "s"}}}
-    assert artefacts.ingest(spec, {"k": get}, series={"b"}) == ["b"] and calls == ["b"]
-    with pytest.raises(ValueError, match="unknown kind"):
-        artefacts.ingest(spec, {})
-    env = tmp_path / ".env"
-    env.write_text("# c\nA=1\nB='2'\n\n")
-    assert artefacts.read_env(env, {"A": "0"}) == {"A": "0", "B": "2"} and artefacts.read_env(env, {"A": "0"}, override=True)["A"] == "1"
-    tries = []
-
-    def opened(url, timeout):
-        tries.append(url)
-        raise OSError("down")
-
-    with pytest.raises(OSError):
-        artefacts.fetch("http://h/", pause=0, opened=opened)
-    assert len(tries) == 3
+def test_artefacts(spark):
+    names = ["/x/a/20200101T000000Z__sha256_1.csv", "/x/a/20200102T000000Z__sha256_0.csv", "/x/a/20200103T000000Z__sha256_0.csv.meta.json", "/x/b/20190101T000000Z__sha256_2.json"]
+    got = artefacts.latest(spark.createDataFrame([(n,) for n in names], "path string")).collect()
+    assert {r.folder: r.path for r in got} == {"/x/a": names[1], "/x/b": names[3]}
+
+
+def test_series_metadata(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"seriess": [{"id": "GDP", "title": " Output ", "frequency_short": "Q", "units": "usd", "seasonal_adjustment_short": "SA", "notes": "x"}]}')
+    assert [tuple(r) for r in series.read_series_metadata(spark, str(tmp_path)).collect()] == [("GDP", "Output", "Q", "usd", "SA")]
+
+
+def test_quoted_header(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('date,"a, b"\n2000-01-01,3\n')
+    assert [tuple(r) for r in series.read_wide(spark, str(tmp_path / "q.csv"), "k").select("series_key", "v").collect()] == [("k.a, b", 3.0)]
 
 
 def test_sinks(spark, tmp_path):
