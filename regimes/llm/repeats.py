@@ -224,9 +224,12 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     # Grams, contexts and cores are written before they are joined, so that both sides are dealt anew and Spark can
     # split the rows of a very common one.
     grams = written(grams.select("gram", (F.col("one") != F.col("other")).alias("differ")), "grams")
-    again = written(anchors.join(grams, "gram"), "again")
+    # One row for each place of each distinct text, whatever number of copies it has; dealt by place, so that a common
+    # gram's rows lie in all parts.
+    again = anchors.join(grams, "gram").groupBy("gram", "differ", "d", "at", "near", "far", "context").agg(F.count(F.lit(1)).alias("c"))
+    again = written(again, "again")
     discard(anchors, grams)
-    contexts = written(again.groupBy("gram", "context", "near", "far", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "at")).alias("some")), "contexts")
+    contexts = written(again.groupBy("gram", "context", "near", "far", "differ").agg(F.sum("c").alias("n"), F.min(F.struct("d", "at")).alias("some")), "contexts")
     settled = again.join(contexts.where("n > 1").select("gram", "context", "near", "far"), ["gram", "context", "near", "far"], "left_semi")
     whole = settled.select("d", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + length).alias("end"))
 
