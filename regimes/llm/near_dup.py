@@ -215,7 +215,8 @@ def representatives(docs: DataFrame, k: int = 5, per_cent: int = 75, text: str =
     t, own = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`").cast("long")
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(own, F.xxhash64(t)).alias("_key"), F.xxhash64(*plain).alias("_all"))
-    out = keyed.join(kept, "_key")
+    # A row for each group: that grows with the corpus, so it isn't broadcast at any size.
+    out = keyed.join(kept.hint("merge"), "_key")
     again = out.where("_n > 1").groupBy("_key").agg(F.min_by("row", "_all").alias("row"))
     bare = docs.where(~F.coalesce(F.regexp_like(t, F.lit(r"[^ \t\n\x0B\f\r]")), F.lit(False)))
     return out.where("_n = 1").select("row.*").unionByName(again.select("row.*")).unionByName(bare)
