@@ -80,7 +80,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     won = fits.groupBy("host", "path").agg(best.alias("won"))
     # URLs without host skip the join. What won is written first, so that both sides are dealt anew for the join and
     # Spark can split the pages of one very common URL over many tasks.
-    won = written(won, "won")
+    won = written(won, "won").hint("merge")  # grows with the URLs, so it isn't broadcast at any size
     rest = judged.where("host = ''").withColumn("won", F.lit(None).cast(won.schema["won"].dataType))
     out = judged.where("host <> ''").join(won, ["host", "path"], "left").select(*judged.columns, "won").unionByName(rest)
     return out.select(*[F.col(f"`{c}`") for c in cols], "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict"))
