@@ -28,42 +28,50 @@ def anchors(df: DataFrame, data: str, out: str) -> DataFrame:
     """
     # The data are put into an array of one and taken as a lambda's variable: a column's bytes would be copied for
     # each place, and the work on a text would grow with the square of its length.
-    inner = range(1, K - S)
-    least = lambda i: " AND ".join(f"h[i + {i - 1}] <= h[i + {j - 1}]" for j in (K - S - i, *(inner if i == 0 else reversed(inner))))
+    last = K - S
+    first_least = " AND ".join(f"x <= get(h, i + {j})" for j in range(1, last))
+    last_least = " AND ".join(f"get(h, i + {last}) <= get(h, i + {j})" for j in range(last - 1, 0, -1))
+    # Where no k-mer begins, the last comparison is with null, and the place isn't chosen.
+    chosen = f"transform(h, (x, i) -> if(if(x <= get(h, i + {last}), {first_least}, {last_least}), i + 1, 0))"
     pack = lambda size, before="", after="": f"get(transform(array({data}), b -> transform(_at, i -> (xxhash64({before}substring(b, i, {size}){after}) & {~_PLACE}L) | (i & {_PLACE}))), 0)"
     df = df.withColumn("_n", F.length(data))
     df = df.withColumn("_h", F.expr(f"CASE WHEN _n >= {K} THEN get(transform(array({data}), b -> transform(sequence(1, _n - {S - 1}), i -> xxhash64(substring(b, i, {S})))), 0) ELSE array() END"))
-    df = df.withColumn("_at", F.expr(f"CASE WHEN _n >= {K} THEN get(transform(array(_h), h -> filter(sequence(1, _n - {K - 1}), i -> ({least(0)}) OR ({least(K - S)}))), 0) WHEN _n > 0 THEN sequence(1, greatest(_n - 1, 1)) ELSE array() END"))
+    df = df.withColumn("_at", F.expr(f"CASE WHEN _n >= {K} THEN array_remove(get(transform(array(_h), h -> {chosen}), 0), 0) WHEN _n > 0 THEN sequence(1, greatest(_n - 1, 1)) ELSE array() END"))
     df = df.withColumn(out, F.expr(f"CASE WHEN _n >= {K} THEN {pack(K)} ELSE {pack(2, 'concat(', ', X\'02\')')} END"))
     return df.drop("_n", "_h", "_at")
 
 
+def _each(column: str, name: str, value: str) -> str:
+    """SQL for ``value`` of each element ``x`` at ``i`` of an array, which is a lambda's variable ``name`` to it: so it is read from the row once."""
+    return f"get(transform(array({column}), {name} -> transform({name}, (x, i) -> {value})), 0)"
+
+
 def _sketch(df: DataFrame, found: str, out: str) -> DataFrame:
     """Add ``out``: the anchors ``found`` by hash, each hash at its first place."""
     df = df.withColumn("_s", F.sort_array(found))
-    distinct = F.expr(f"filter(_s, (x, i) -> i = 0 OR shiftright(x, {BITS}) <> shiftright(get(_s, i - 1), {BITS}))")
+    again = f"coalesce(shiftright(x ^ get(s, i - 1), {BITS}) = 0, false)"
+    distinct = F.expr(f"array_remove({_each('_s', 's', f'if({again}, 0L, x)')}, 0L)")
     return df.withColumn(out, distinct).drop("_s")
 
 
-def shifts(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Add ``out``: of each hash that the fingerprints ``a`` and ``b`` share, how far its place in ``b`` is from that in ``a``; ascending.
+def matched(df: DataFrame, a: str, b: str, shared: str, placed: str) -> DataFrame:
+    """Add how many hashes the fingerprints ``a`` and ``b`` share, and how many of these one shift of the texts brings together, at most.
 
-    Both are sorted together, the lowest bit telling which of them an anchor is from, so that equal hashes are
-    neighbours. That leaves 29 bits for places: Spark's arrays end at about half as many bytes of text.
+    Anchors with equal hash and place are at shift 0, and are settled first. The rest of both is sorted together, a
+    bit between hash and place telling those of ``b``, so that equal hashes are neighbours and differ by that bit and
+    their shift. That leaves 29 bits for places: Spark's arrays end at about half as many bytes of text.
     """
-    tagged = lambda c, bit: f"transform({c}, v -> (v & {~_PLACE}L) | shiftleft(v & {_PLACE}, 1) | {bit}L)"
-    place = lambda v: f"shiftright({v} & {_PLACE}, 1)"
-    none = 1 << 40
-    df = df.withColumn("_m", F.expr(f"sort_array(concat({tagged(a, 0)}, {tagged(b, 1)}))"))
-    shift = f"({place('get(_m, i + 1)')} - {place('x')}) * (1 - 2 * (x & 1))"
-    found = f"transform(_m, (x, i) -> coalesce(if(shiftright(x, {BITS}) = shiftright(get(_m, i + 1), {BITS}), {shift}, {none}L), {none}L))"
-    return df.withColumn(out, F.expr(f"sort_array(filter({found}, x -> x < {none}L))")).drop("_m")
-
-
-def _agreeing(df: DataFrame, found: str, out: str) -> DataFrame:
-    """Add ``out``: how many of the sorted ``found`` are alike, at most."""
-    df = df.withColumn("_r", F.expr(f"filter(transform({found}, (x, i) -> if(coalesce(x = get({found}, i - 1), false), -1, i)), i -> i >= 0)"))
-    return df.withColumn(out, F.expr(f"coalesce(array_max(transform(_r, (p, j) -> coalesce(get(_r, j + 1), size({found})) - p)), 0)")).drop("_r")
+    tag, none = 1 << (BITS - 1), 1 << 40
+    df = df.withColumn("_u", F.array_except(a, b)).withColumn("_v", F.array_except(b, a))
+    df = df.withColumn("_m", F.expr(f"sort_array(concat(_u, transform(_v, v -> v | {tag}L)))"))
+    alike = f"coalesce(shiftright(x ^ get(m, i + 1), {BITS}) = 0, false)"
+    found = _each("_m", "m", f"if({alike}, coalesce(get(m, i + 1) - x - {tag}L, {none}L), {none}L)")
+    df = df.withColumn("_f", F.expr(f"sort_array(array_remove({found}, {none}L))"))
+    # Where runs of one shift end, and how long they are.
+    df = df.withColumn("_r", F.expr(f"array_remove({_each('_f', 'f', 'if(coalesce(x = get(f, i + 1), false), 0, i + 1)')}, 0)"))
+    run = F.expr(f"coalesce(array_max({_each('_r', 'r', 'x - coalesce(get(r, i - 1), 0)')}), 0)")
+    still = F.size(a) - F.size("_u")
+    return df.withColumn(shared, still + F.size("_f")).withColumn(placed, F.greatest(still, run)).drop("_u", "_v", "_m", "_f", "_r")
 
 
 def likeness(a: Column, b: Column, shared: Column) -> Column:
@@ -131,17 +139,17 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         part = part.withColumn("_cut", F.length("_kept")).withColumn("_from", F.greatest(F.col("_cut") - (K - 1), F.lit(0)))
         part = part.withColumn("_tail", F.expr("concat(substring(_kept, _from + 1, _cut - _from), _head)")).withColumn("_add", F.length("_tail")).drop("_kept", "_head")
         part = anchors(anchors(part, "_b", "_own"), "_tail", "_new").drop("_b", "_tail")
-        start = F.expr(f"filter(_own, x -> (x & {_PLACE}) + {K - 1} <= _cut)")
-        moved = F.expr(f"transform(_new, x -> (x & {~_PLACE}L) | ((x + _from) & {_PLACE}))")
+        start = F.expr(f"get(transform(array(_cut - {K - 1}), c -> filter(_own, x -> (x & {_PLACE}) <= c)), 0)")
+        moved = F.expr(f"get(transform(array(_from), c -> transform(_new, x -> (x & {~_PLACE}L) | ((x + c) & {_PLACE}))), 0)")
         edited = F.when(F.col("_q") == 0, F.col("_own")).when(F.col("_add") >= K, F.concat(start, moved)).when(F.col("_from") > 0, start).otherwise(F.col("_new"))
         part = part.withColumn("_edited", edited)
         part = _sketch(_sketch(part, "_own", "_a"), "_edited", "_e").select("doc_id", "h", "_range", "_ghost", "n_chars", "edited_sha256", "_a", "_e")
-        part = part.withColumn("_f", F.lead("_a").over(order) if follow else F.array().cast("array<long>"))
+        part = part.withColumn("_following", F.lead("_a").over(order) if follow else F.array().cast("array<long>"))
         part = part.where("_ghost = 0")
-        pairs = {"edited": "_e", "next": "_f"}
+        pairs = {"edited": "_e", "next": "_following"}
         for name, other in pairs.items():
-            part = _agreeing(shifts(part, "_a", other, f"_by_{name}"), f"_by_{name}", f"_at_{name}")
-        near = [likeness(F.col("_a"), F.col(x), F.size(f"_by_{n}")).alias(f"near_{n}") for n, x in pairs.items()]
+            part = matched(part, "_a", other, f"_by_{name}", f"_at_{name}")
+        near = [likeness(F.col("_a"), F.col(x), F.col(f"_by_{n}")).alias(f"near_{n}") for n, x in pairs.items()]
         placed = [likeness(F.col("_a"), F.col(x), F.col(f"_at_{n}")).alias(f"placed_{n}") for n, x in pairs.items()]
         part = part.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("_a")).alias("fingerprint"), as_text(F.col("_e")).alias("edited_fingerprint"), *near, *placed)
         out = part if out is None else out.unionByName(part)
