@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, near_dup, quality, repeats, sharding, syncmers, url_filter, warc
-from .common import table, utf8
+from . import chat, decontaminate, infill, language_id, mixing, near_dup, quality, repeats, sharding, syncmers, url_filter, vector_codes, warc
+from .common import table, utf8, written
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,5 +138,68 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=5, per_cent=75)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op5_repeats": op5_repeats, "op6_decontaminate": op6_decontaminate, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_syncmers": op9_syncmers, "op10_minhash": op10_minhash}
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    coded, books = vector_codes.compressed(vectors, parts=8, entries=16, rounds=6, scale=4096)
+    rows = vector_codes.with_sums(coded, "label")
+    digest = books.sha256() if books else None
+    return rows.select("vec_id", F.col("_code").alias("code"), F.col("_error").alias("error"), F.col("_label_error").alias("label_error"), F.lit(digest).cast("string").alias("codebooks_sha256"))
+
+
+def _op11_sql(rounds: int = 6) -> str:
+    """The rounds one after another: ``c0`` has the first codebooks by part, entry and place, ``c6`` the last ones."""
+    steps = ["""k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 4096) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "v AS MATERIALIZED (SELECT vec_id, label, p, list_slice(w, p * (len(w) // 8) + 1, (p + 1) * (len(w) // 8)) AS x FROM k, range(8) t(p))",
+        "c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM v WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 16))"]
+    for i in range(rounds + 1):
+        steps.append(f"d{i} AS MATERIALIZED (SELECT vec_id, label, v.p AS p, min_by(e, (s, e)) AS e, min(s) AS s, any_value(x) AS x FROM (SELECT v.vec_id, v.label, v.p, v.x, c.e, list_sum(list_transform(list_zip(v.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS s FROM v JOIN c{i} c ON v.p = c.p) v GROUP BY vec_id, label, v.p)")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT p, e, i, CAST(floor(sum(x[i])::DOUBLE / count(*)) AS BIGINT) AS y FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM d{i}) GROUP BY p, e, i),
+c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(n.c, c.c) AS c FROM c{i} c LEFT JOIN (SELECT p, e, list(y ORDER BY i) AS c FROM m{i} GROUP BY p, e) n ON c.p = n.p AND c.e = n.e)""")
+    last = f"d{rounds}"
+    return "WITH " + ",\n".join(steps) + f""",
+r AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(s) AS BIGINT) AS error FROM {last} GROUP BY vec_id),
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM r, b"""
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = "</s>[INST] ok [/INST]"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], given.schema)
+    ranks = chat.vocabulary(spark)
+    return chat.digests(written(chat.formatted(given.unionByName(more), ranks), "chats"), ranks)
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|/?INST\]|/?ROLE\]|TEXT\])')) AS n, length(role) + len(regexp_extract_all(role, '[<\[]\\*(?:/?s>|/?INST\]|/?ROLE\]|TEXT\])')) AS m FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + CASE role WHEN 'user' THEN length('[INST][/INST]') WHEN 'assistant' THEN length('<s></s>') ELSE length('[ROLE][TEXT][/ROLE]') + m END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"), unit="line", rate=100, spm=50, seed=7)
+    f = F.col("_fim")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return got.select("doc_id", f["n"].alias("n"), f["form"].alias("form"), f["prefix_chars"].alias("prefix_chars"), f["middle_chars"].alias("middle_chars"), digest(f["output"]).alias("output_sha256"), digest(infill.restored(f["output"], f["form"])).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS x, coalesce(array_to_string(u[a + 1:b], ''), '') AS y, coalesce(array_to_string(u[b + 1:], ''), '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op5_repeats": op5_repeats, "op6_decontaminate": op6_decontaminate, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_syncmers": op9_syncmers, "op10_minhash": op10_minhash, "op11_vector_codes": op11_vector_codes, "op12_chat": op12_chat, "op13_infill": op13_infill}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL, "op11_vector_codes": _op11_sql(), "op12_chat": OP12_SQL, "op13_infill": OP13_SQL}
