@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import kept
-from .attribution import before_boundaries, term_of_day, term_of_period
+from . import ranges
+from .attribution import PERIOD_KEYS, before_boundaries, term_of_period
 from .transforms import apply_transforms
 
 BOUNDARY_KINDS = ("end_minus_start", "end_minus_start_per_year", "pct_change_from_levels", "cagr_from_levels")
@@ -19,30 +20,31 @@ def _or(col: str, default: float) -> Column:
     return F.coalesce(F.nullif(F.col(col), F.lit(0.0)), F.lit(default))
 
 
-def observe(series: DataFrame, metrics: DataFrame) -> DataFrame:
-    """The transformed observations of each metric: ``metric_id, pos, d, v`` with the metric's parameters."""
-    lags = [r[0] for r in metrics.select("lag").collect()]
-    rows = series.join(metrics.select("metric_id", "series_key", *PARAMS), "series_key")
-    return apply_transforms(rows, lags)
-
-
-PERIOD_KEYS = ["freq", "period_kind", "fy_month", "fy_day", "d"]
+def known_only(metrics: DataFrame, inputs: DataFrame) -> DataFrame:
+    """``metrics``, of which one that names no input of ``inputs`` (``series_key``) stops the job that reads it."""
+    named = inputs.select(F.col("series_key").alias("_known")).distinct()
+    unknown = F.raise_error(F.concat_ws(" ", F.lit("unknown input"), F.coalesce("series_key", F.lit("(none)")), F.lit("of metric"), "metric_id"))
+    return metrics.join(named, F.col("series_key") == F.col("_known"), "left").withColumn("series_key", F.when(F.col("_known").isNull(), unknown.cast("string")).otherwise(F.col("series_key"))).drop("_known")
 
 
-def bridge(dates: DataFrame, windows: DataFrame, tie: str = "period_end") -> DataFrame:
-    """``freq, period_kind, fy_month, fy_day, d, wid``: the window of each distinct date and kind of period.
+def observe(series: DataFrame, metrics: DataFrame, inputs: DataFrame | None = None, parts: int | None = None, lags: list | None = None) -> DataFrame:
+    """The transformed observations of each metric: ``metric_id, pos, d, v`` with the metric's parameters.
 
-    Instants go by day, periods by most days; dates that no window gets have no row.
+    ``inputs`` (``series_key``) are the registry's inputs: a metric that names another one stops the job. Without it an
+    input is known by its name alone, and one without any observation is an empty series. ``parts``: see ``ranges``;
+    ``lags``: those of the metrics, if they are at hand.
     """
-    instant = (F.col("freq") == "D") & F.coalesce(F.col("period_kind") == "instant", F.lit(True))
-    dates = dates.select(*PERIOD_KEYS).distinct()
-    by_day = dates.where(instant).join(term_of_day(dates.where(instant), windows), "d").select(*PERIOD_KEYS, "wid")
-    return by_day.unionByName(term_of_period(dates.where(~instant), windows, tie))
+    if inputs is not None:
+        metrics = known_only(metrics, inputs)
+    if lags is None:
+        lags = [r[0] for r in metrics.select("lag").collect()]
+    rows = series.join(metrics.select("metric_id", "series_key", *PARAMS), "series_key")
+    return apply_transforms(rows, lags, parts=parts or ranges.parts_for(series))
 
 
 def attribute(obs: DataFrame, windows: DataFrame, tie: str = "period_end", dates: DataFrame | None = None) -> DataFrame:
     """``obs`` with ``wid``; what no window gets is left out. ``dates``: the kinds and dates that occur, if they can be had cheaper."""
-    spans = bridge(obs if dates is None else dates, windows, tie).select(*[F.col(k).alias(f"_{k}") for k in PERIOD_KEYS], "wid")
+    spans = term_of_period(obs if dates is None else dates, windows, tie).select(*[F.col(k).alias(f"_{k}") for k in PERIOD_KEYS], "wid")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in PERIOD_KEYS[1:4]] + [F.col(k) == F.col(f"_{k}") for k in ("freq", "d")]
     return obs.join(spans, same).select(*obs.columns, "wid")
 
@@ -81,42 +83,51 @@ def _values() -> tuple[Column, Column]:
     return value, failed.when(known, "").otherwise(F.concat(F.lit("Unsupported term_aggregation.kind: '"), kind, F.lit("'")))
 
 
-def term_metrics(series: DataFrame, metrics: DataFrame, windows: DataFrame, tie: str = "period_end") -> DataFrame:
+def term_metrics(series: DataFrame, metrics: DataFrame, windows: DataFrame, tie: str = "period_end", inputs: DataFrame | None = None) -> DataFrame:
     """The term-metric table: every metric for every window, observed or not.
 
-    ``windows`` has ``wid, label, start, end``. All accumulators of a metric and window come from one aggregation
-    with partial sums on the map side; no group is gathered. Levels of daily series are compared at the last values
-    before the window's start and end. Errors are texts beside null values. The observations and the accumulators (a
+    ``windows`` has ``wid, label, start, end``; ``inputs`` is as in ``observe``. All accumulators of a metric and window
+    come from one aggregation with partial sums on the map side; no group is gathered. Levels of daily series are
+    compared at the last values before the window's start and end. Only metrics that count transitions have their
+    observations in a window sorted. Errors are texts beside null values. The observations and the accumulators (a
     row for each metric and window) are kept in the shared folder, so that whatever reads the table plans little.
     """
+    if inputs is not None:
+        metrics = known_only(metrics, inputs)
+    parts = ranges.parts_for(series)
     # Dates, windows, levels and presence are all taken from the observations: these are worked out once.
-    obs = kept(observe(series, metrics))
-    placed = attribute(obs, windows, tie)
-    order = Window.partitionBy("metric_id", "wid").orderBy("d", "pos")
-    before = F.lag("v").over(order)
-    turn = (F.abs(before - F.coalesce("from_value", F.lit(0.0))) < TOLERANCE) & (F.abs(F.col("v") - F.coalesce("to_value", F.lit(1.0))) < TOLERANCE)
-    placed = placed.withColumn("turn", F.coalesce(turn, F.lit(False)).cast("int"))
+    registry = metrics.select("agg_kind", "freq", "lag").collect()
+    kinds = {(r.agg_kind, r.freq == "D") for r in registry}
+    obs = kept(observe(series, metrics, parts=parts, lags=[r.lag for r in registry]))
+    placed = attribute(obs, windows, tie).withColumn("turn", F.lit(0))
+    if any(k == "count_transitions" for k, _ in kinds):
+        counted = F.col("agg_kind").eqNullSafe("count_transitions")
+        before = F.lag("v").over(Window.partitionBy("metric_id", "wid").orderBy("d", "pos"))
+        turn = (F.abs(before - F.coalesce("from_value", F.lit(0.0))) < TOLERANCE) & (F.abs(F.col("v") - F.coalesce("to_value", F.lit(1.0))) < TOLERANCE)
+        placed = placed.where(~counted).unionByName(placed.where(counted).withColumn("turn", F.coalesce(turn, F.lit(False)).cast("int")))
     at, seen = F.when(F.col("v").isNotNull(), F.struct("d", "pos")), F.when(F.col("v").isNotNull(), F.struct("d", "v"))
     sums = placed.groupBy("metric_id", "wid").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd_samp"), F.product(1 + F.col("v") / _or("agg_scale", 100.0)).alias("product"),
         F.sum("turn").alias("transitions"), F.min_by(seen, at).alias("first"), F.max_by(seen, at).alias("last"), F.min("d").alias("first_d"), F.max("d").alias("last_d"),
     )
     # Every metric and window: each window lists the metrics' ids, which are few; no join is needed to pair them.
-    ids = metrics.select("metric_id", "metric_family", "metric_label", "units", "series_key", *PARAMS)
-    grid = pair_up(ids, windows.select("wid", "label", "start", "end"))
-    t = grid.join(sums, ["metric_id", "wid"], "left")
-
-    daily = F.col("freq").eqNullSafe("D") & F.col("agg_kind").isin(*BOUNDARY_KINDS)
-    levels = obs.where(daily)
-    marks = grid.where(daily).select("metric_id", F.explode(F.array("start", "end")).alias("mark"))
-    edge = before_boundaries(levels.select("metric_id", "pos", "d", "v"), marks, "metric_id")
     has = obs.select("metric_id").distinct().withColumn("any_obs", F.lit(1))
-    b1 = edge.select("metric_id", F.col("mark").alias("start"), F.struct("d", "v").alias("b_start"))
-    b2 = edge.select("metric_id", F.col("mark").alias("end"), F.struct("d", "v").alias("b_end"))
-    t = t.join(b1, ["metric_id", "start"], "left").join(b2, ["metric_id", "end"], "left").join(has, "metric_id", "left")
-    kind = F.col("agg_kind")
-    bounded = kind.isin(*BOUNDARY_KINDS)
+    ids = metrics.select("metric_id", "metric_family", "metric_label", "units", "series_key", *PARAMS).join(has, "metric_id", "left")
+    t = pair_up(ids, windows.select("wid", "label", "start", "end"))
+
+    bounded, daily = F.col("agg_kind").isin(*BOUNDARY_KINDS), F.col("freq").eqNullSafe("D")
+    daily = daily & bounded
+    if any(k in BOUNDARY_KINDS and d for k, d in kinds):
+        marks = t.where(daily).select("metric_id", "wid", F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("start").alias("mark")), F.struct(F.lit("e").alias("side"), F.col("end").alias("mark")))).alias("m")).select("metric_id", "wid", "m.*")
+        edge = before_boundaries(obs.where(daily).select("metric_id", "pos", "d", "v"), marks, "metric_id", parts)
+        side = lambda x: F.max(F.when(F.col("side") == x, F.struct("d", "v")))
+        t = t.join(edge.groupBy("metric_id", "wid").agg(side("s").alias("b_start"), side("e").alias("b_end")), ["metric_id", "wid"], "left")
+    else:
+        none = F.lit(None).cast("struct<d:date,v:double>")
+        t = t.withColumns({"b_start": none, "b_end": none})
+    t = t.join(sums, ["metric_id", "wid"], "left")
     complete = F.col("b_start").isNotNull() & F.col("b_end").isNotNull()
+    kind = F.col("agg_kind")
     s = F.when(daily, F.when(complete, F.col("b_start"))).when(bounded, F.col("first"))
     e = F.when(daily, F.when(complete, F.col("b_end"))).when(bounded | (kind == "last"), F.col("last"))
     t = t.withColumn("s", s).withColumn("e", e).withColumns({"sd": F.col("s.d"), "sv": F.col("s.v"), "ed": F.col("e.d"), "ev": F.col("e.v"), "n": F.coalesce("n", F.lit(0)), "transitions": F.coalesce("transitions", F.lit(0))})

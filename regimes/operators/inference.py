@@ -9,77 +9,179 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import kept
+from . import ranges
+
+
+def _hash(*parts: Column) -> Column:
+    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
+
 
 def draw(*parts: Column) -> Column:
     """A whole number below 2**32 that only depends on the parts: so that any engine, in any order, draws the same."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(_hash(*parts), 1, 8), 16, 10).cast("long")
 
 
-def permutations(obs: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``metric_id, b, diff``: the difference of means under each of ``n`` shuffles of the labels within blocks.
+#: Observations of a metric that are ranked within one row; a metric with more has its shuffles spread over rows.
+ROW_MOST = 20_000
+#: Shuffles or samples that one row stands for before it is dealt out.
+CHUNK = 100
+_EXACT = "decimal(38,6)"
 
-    ``obs`` has ``metric_id, obs_key, label`` (D or R), ``value`` and ``block``. A shuffle ranks a block's
-    observations by a hash; as many as the block has D become D. Values are summed as decimals of six places, so
-    that sums don't depend on the order. Work is dealt by metric and shuffle.
-    """
-    block = Window.partitionBy("metric_id", "block")
-    rows = obs.where(F.col("label").isin("D", "R") & F.col("value").isNotNull()).withColumn("in_d", F.count(F.when(F.col("label") == "D", 1)).over(block)).withColumn("value", F.round("value", 6).cast("decimal(38,6)"))
-    rows = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    order = Window.partitionBy("metric_id", "b", "block").orderBy(draw(F.lit(seed), F.col("metric_id"), F.lit("perm"), F.col("b"), F.col("obs_key")), "obs_key")
-    is_d = F.row_number().over(order) <= F.col("in_d")
-    rows = rows.withColumn("is_d", is_d)
-    mean = lambda cond: F.sum(F.when(cond, F.col("value"))).cast("double") / F.nullif(F.count(F.when(cond, 1)), F.lit(0)).cast("double")
-    return rows.groupBy("metric_id", "b").agg((mean(F.col("is_d")) - mean(~F.col("is_d"))).alias("diff")).where("diff IS NOT NULL")
+
+def _usable(obs: DataFrame) -> DataFrame:
+    """Observations with a label D or R and a value, as a decimal of six places: so that sums don't depend on their order."""
+    return obs.where(F.col("label").isin("D", "R") & F.col("value").isNotNull()).withColumn("value", F.round("value", 6).cast(_EXACT))
+
+
+def _mean(cond: Column) -> Column:
+    return F.sum(F.when(cond, F.col("value"))).cast("double") / F.nullif(F.count(F.when(cond, 1)), F.lit(0)).cast("double")
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast(_EXACT), lambda total, v: (total + v).cast(_EXACT))
 
 
 def observed(obs: DataFrame) -> DataFrame:
     """``metric_id, n_obs, n_d, n_r, observed``."""
-    rows = obs.where(F.col("label").isin("D", "R") & F.col("value").isNotNull()).withColumn("value", F.round("value", 6).cast("decimal(38,6)"))
     d, r = F.col("label") == "D", F.col("label") == "R"
-    mean = lambda c: F.sum(F.when(c, F.col("value"))).cast("double") / F.nullif(F.count(F.when(c, 1)), F.lit(0)).cast("double")
-    return rows.groupBy("metric_id").agg(F.count(F.lit(1)).alias("n_obs"), F.count(F.when(d, 1)).alias("n_d"), F.count(F.when(r, 1)).alias("n_r"), (mean(d) - mean(r)).alias("observed"))
+    return _usable(obs).groupBy("metric_id").agg(F.count(F.lit(1)).alias("n_obs"), F.count(F.when(d, 1)).alias("n_d"), F.count(F.when(r, 1)).alias("n_r"), (_mean(d) - _mean(r)).alias("observed"))
+
+
+def _packed(obs: DataFrame) -> DataFrame:
+    """One row for each metric: its numbers, its blocks' observations and its labels' values, in the order of ``obs_key``."""
+    d, value, key = F.col("label") == "D", F.col("value"), F.col("obs_key")
+    blocks = _usable(obs).groupBy("metric_id", "block").agg(
+        F.count_if(d).alias("in_d"), F.sum(F.when(d, value)).cast(_EXACT).alias("sum_d"), F.sum(value).cast(_EXACT).alias("total"),
+        F.array_sort(F.collect_list(F.struct(key, "label", value))).alias("seen"),
+    )
+    of = lambda x: F.transform(F.filter(F.array_sort(F.flatten(F.collect_list("seen"))), lambda s: s["label"] == x), lambda s: s["value"])
+    return blocks.groupBy("metric_id").agg(
+        F.sum(F.size("seen")).alias("n_obs"), F.sum("in_d").alias("n_d"), F.sum("total").cast(_EXACT).alias("total"), F.sum("sum_d").cast(_EXACT).alias("sum_d"),
+        F.collect_list(F.struct("in_d", "seen")).alias("blocks"), of("D").alias("values_d"), of("R").alias("values_r"),
+    ).withColumn("n_r", F.col("n_obs") - F.col("n_d"))
+
+
+def _difference(sum_d: Column, sum_r: Column) -> Column:
+    """The difference of two means; null if either label has no observation."""
+    n_d, n_r = (F.nullif(c, F.lit(0)).cast("double") for c in ("n_d", "n_r"))
+    return sum_d.cast("double") / n_d - sum_r.cast("double") / n_r
+
+
+def _shuffled(seed: int) -> Column:
+    """The sum of the values that shuffle ``b`` gives to D: in each block those of the smallest draws, as many as the block has D.
+
+    A draw is compared as text: eight hex digits sort as the number that they spell.
+    """
+    def block(x: Column) -> Column:
+        ranked = F.array_sort(F.transform(x["seen"], lambda s: F.struct(F.substring(_hash(F.lit(seed), F.col("metric_id"), F.lit("perm"), F.col("b"), s["obs_key"]), 1, 8).alias("draw"), s["obs_key"].alias("obs_key"), s["value"].alias("value"))))
+        return _total(F.transform(F.slice(ranked, 1, x["in_d"].cast("int")), lambda s: s["value"]))
+
+    return _total(F.transform("blocks", block))
+
+
+def _resampled(seed: int, label: str, values: str) -> Column:
+    """The sum of as many draws, with replacement, of a label's values as it has."""
+    n = F.size(values)
+    one = lambda j: F.get(F.col(values), F.pmod(draw(F.lit(seed), F.col("metric_id"), F.lit("boot"), F.lit(label), F.col("b"), j), n).cast("int"))
+    return _total(F.transform(F.sequence(F.lit(0), n - 1), one))
+
+
+def _in_rows(obs: DataFrame, shuffles: int, samples: int, seed: int) -> DataFrame:
+    """``metric_id, b, diff, boot`` and the metric's numbers: shuffle and sample ``b`` of each metric, ranked and drawn within its row.
+
+    Rows with a metric's observations are dealt by metric and run of ``CHUNK`` shuffles; nothing else is shuffled.
+    """
+    n, spark = max(shuffles, samples), obs.sparkSession
+    chunks = _packed(obs).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // CHUNK))))
+    dealt = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "metric_id", "chunk")
+    each = dealt.withColumn("b", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least((F.col("chunk") + 1) * CHUNK, F.lit(n)))))
+    both = (F.col("n_d") > 0) & (F.col("n_r") > 0)
+    mixed, drawn = _shuffled(seed), (_resampled(seed, "D", "values_d"), _resampled(seed, "R", "values_r"))
+    diff = F.when((F.col("b") <= shuffles) & both, mixed) if shuffles else F.lit(None).cast(_EXACT)
+    boot = F.when((F.col("b") <= samples) & both, _difference(*drawn)) if samples else F.lit(None).cast("double")
+    each = each.select("metric_id", "b", "n_obs", "n_d", "n_r", "total", _difference(F.col("sum_d"), F.col("total") - F.col("sum_d")).alias("observed"), diff.alias("mixed"), boot.alias("boot"))
+    return each.select("metric_id", "b", "n_obs", "n_d", "n_r", "observed", _difference(F.col("mixed"), F.col("total") - F.col("mixed")).alias("diff"), "boot")
+
+
+def _spread(obs: DataFrame, shuffles: int, samples: int, seed: int) -> DataFrame:
+    """The rows of ``_in_rows`` for metrics of any number of observations: each shuffle of each observation is a row."""
+    rows, facts = _usable(obs), observed(obs)
+    block = Window.partitionBy("metric_id", "block")
+    mixed = rows.withColumn("in_d", F.count(F.when(F.col("label") == "D", 1)).over(block)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(shuffles)))) if shuffles else rows.limit(0).withColumns({"in_d": F.lit(0), "b": F.lit(0)})
+    order = Window.partitionBy("metric_id", "b", "block").orderBy(draw(F.lit(seed), F.col("metric_id"), F.lit("perm"), F.col("b"), F.col("obs_key")), "obs_key")
+    mixed = mixed.withColumn("is_d", F.row_number().over(order) <= F.col("in_d"))
+    diffs = mixed.groupBy("metric_id", "b").agg((_mean(F.col("is_d")) - _mean(~F.col("is_d"))).alias("diff"))
+    group = Window.partitionBy("metric_id", "label")
+    numbered = rows.withColumn("k", F.row_number().over(group.orderBy("obs_key", "value")) - 1).withColumn("size", F.count(F.lit(1)).over(group))
+    draws = numbered.select("metric_id", "label", "size", F.col("k").alias("j"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("b")) if samples else numbered.limit(0).select("metric_id", "label", "size", F.col("k").alias("j"), F.lit(0).alias("b"))
+    draws = draws.withColumn("k", F.pmod(draw(F.lit(seed), F.col("metric_id"), F.lit("boot"), F.col("label"), F.col("b"), F.col("j")), F.col("size")))
+    got = draws.join(numbered.select("metric_id", "label", "k", "value").hint("merge"), ["metric_id", "label", "k"])
+    boots = got.groupBy("metric_id", "b").agg((_mean(F.col("label") == "D") - _mean(F.col("label") == "R")).alias("boot"))
+    every = facts.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(max(shuffles, samples)))))
+    return every.join(diffs, ["metric_id", "b"], "left").join(boots, ["metric_id", "b"], "left").select("metric_id", "b", "n_obs", "n_d", "n_r", "observed", "diff", "boot")
+
+
+def resampled(obs: DataFrame, shuffles: int, samples: int, seed: int = 42) -> DataFrame:
+    """``metric_id, b, n_obs, n_d, n_r, observed, diff, boot``: shuffle and bootstrap sample ``b`` of each metric.
+
+    ``obs`` has ``metric_id, obs_key, label`` (D or R), ``value`` and ``block``. A shuffle ranks a block's observations
+    by a hash; as many as the block has D become D. A sample draws each label's observations anew, their numbers given
+    by a hash. ``diff`` and ``boot`` are differences of means, null beyond ``shuffles`` and ``samples`` and for metrics
+    without one of the labels. A metric's observations are ranked within rows; only those of metrics with more than
+    ``ROW_MOST`` are spread, with the same result.
+    """
+    sizes = obs.groupBy("metric_id").agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= ROW_MOST:
+        return _in_rows(obs, shuffles, samples, seed)
+    many = sizes.where(F.col("n") > ROW_MOST).select("metric_id")
+    return _in_rows(obs.join(many, "metric_id", "left_anti"), shuffles, samples, seed).unionByName(_spread(obs.join(many, "metric_id", "left_semi"), shuffles, samples, seed))
+
+
+def permutations(obs: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``metric_id, b, diff``: the difference of means under each of ``n`` shuffles of the labels within blocks."""
+    return resampled(obs, n, 0, seed).where("diff IS NOT NULL").select("metric_id", "b", "diff")
+
+
+def tested(obs: DataFrame, shuffles: int, samples: int, seed: int = 42) -> DataFrame:
+    """``metric_id, n_obs, n_d, n_r, observed, perm_mean, perm_std, z, p, ci_low, ci_high``: one row for each metric with observations."""
+    extreme, n = F.count_if(F.abs("diff") >= F.abs("observed")), F.count("diff")
+    facts = [F.first(c).alias(c) for c in ("n_obs", "n_d", "n_r", "observed")]
+    stats = resampled(obs, shuffles, samples, seed).groupBy("metric_id").agg(
+        *facts, F.avg("diff").alias("perm_mean"), F.stddev_pop("diff").alias("perm_std"), F.when(n > 0, (1 + extreme) / (1 + n)).alias("p"), F.percentile("boot", F.array(F.lit(0.025), F.lit(0.975))).alias("q"),
+    )
+    z = F.when(F.col("perm_std") > 0, (F.col("observed") - F.col("perm_mean")) / F.nullif("perm_std", F.lit(0.0)))
+    return stats.select("metric_id", "n_obs", "n_d", "n_r", "observed", "perm_mean", "perm_std", z.alias("z"), "p", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
 def permutation_test(obs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``metric_id, n_obs, n_d, n_r, observed, perm_mean, perm_std, z, p``, one row for each metric with observations."""
-    seen = observed(obs)
-    both = permutations(obs, n, seed).join(seen.select("metric_id", "observed"), "metric_id").where("observed IS NOT NULL")
-    stats = both.groupBy("metric_id").agg(F.avg("diff").alias("perm_mean"), F.stddev_pop("diff").alias("perm_std"), F.count_if(F.abs("diff") >= F.abs("observed")).alias("extreme"), F.count(F.lit(1)).alias("shuffles"))
-    out = seen.join(stats, "metric_id", "left")
-    z = F.when(F.col("perm_std") > 0, (F.col("observed") - F.col("perm_mean")) / F.nullif("perm_std", F.lit(0.0)))
-    return out.select("metric_id", "n_obs", "n_d", "n_r", "observed", "perm_mean", "perm_std", z.alias("z"), ((1 + F.col("extreme")) / (1 + F.col("shuffles"))).alias("p"))
+    return tested(obs, n, 0, seed).drop("ci_low", "ci_high")
 
 
 def bootstrap(obs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``metric_id, ci_low, ci_high``: the middle 95 per cent of the difference of means under resampling each label.
 
-    Draw j of a sample takes the observation whose number a hash gives; numbers go by ``obs_key``. Metrics without
-    one of the labels have no row.
+    Metrics without one of the labels have no row.
     """
-    rows = obs.where(F.col("label").isin("D", "R") & F.col("value").isNotNull())
-    group = Window.partitionBy("metric_id", "label")
-    rows = rows.withColumn("k", F.row_number().over(group.orderBy("obs_key")) - 1).withColumn("size", F.count(F.lit(1)).over(group)).withColumn("value", F.round("value", 6).cast("decimal(38,6)"))
-    draws = rows.select("metric_id", "label", "size", F.col("k").alias("j"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("b"))
-    draws = draws.withColumn("k", F.pmod(draw(F.lit(seed), F.col("metric_id"), F.lit("boot"), F.col("label"), F.col("b"), F.col("j")), F.col("size")))
-    # The draws come from few rows, so that Spark takes them for small and would broadcast them.
-    got = draws.join(rows.select("metric_id", "label", "k", "value").hint("merge"), ["metric_id", "label", "k"])
-    mean = lambda x: F.sum(F.when(F.col("label") == x, F.col("value"))).cast("double") / F.nullif(F.count(F.when(F.col("label") == x, 1)), F.lit(0)).cast("double")
-    diffs = got.groupBy("metric_id", "b").agg((mean("D") - mean("R")).alias("diff")).where("diff IS NOT NULL")
-    ends = diffs.groupBy("metric_id").agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return ends.select("metric_id", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    return tested(obs, 0, n, seed).where("ci_low IS NOT NULL").select("metric_id", "ci_low", "ci_high")
 
 
-def false_discovery(df: DataFrame, p: str = "p") -> DataFrame:
-    """Add ``q`` by the Benjamini-Hochberg step-up over the rows with a ``p``; one row for each test, so few rows.
+def false_discovery(df: DataFrame, p: str = "p", parts: int | None = None) -> DataFrame:
+    """Add ``q`` by the Benjamini-Hochberg step-up over the rows with a ``p``; equal ``p`` go by ``metric_id``.
 
-    Ranks and the running minimum are windows over all tests together; the observations behind them are not in it.
+    Tests are ranked in ranges of ``p``: a range takes the number of tests in earlier ones and the least value of later
+    ones, so that no task has all tests. The tests themselves are kept once, as they are read several times.
     """
-    tested = df.where(F.col(p).isNotNull())
-    m, rank = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(p, "metric_id"))
-    ranked = tested.withColumn("_r", rank).withColumn("_raw", F.col(p) * m / F.col("_r"))
-    least = F.min("_raw").over(Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    q = ranked.withColumn("q", F.least(F.lit(1.0), least)).drop("_r", "_raw")
-    return q.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    df = kept(df)
+    order = [F.col(p), F.col("metric_id")]
+    known = df.where(F.col(p).isNotNull())
+    m = known.agg(F.count(F.lit(1))).scalar()
+    ranked = ranges.numbered(known, order, "_r", parts).withColumn("_raw", F.col(p) * m / F.col("_r"))
+    later = ranges.carried(ranked.groupBy("_range").agg(F.min("_raw").alias("value")), [], F.array_min("before"), "_later", later=True)
+    here = F.min("_raw").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    q = ranges.with_carried(ranked.withColumn("_here", here), [], later, "_later").withColumn("q", F.least(F.lit(1.0), "_here", "_later"))
+    return q.select(*df.columns, "q").unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
 def evidence_tier(q: Column, n: Column, q_most: float = 0.05, n_least: int = 12) -> Column:
@@ -101,7 +203,10 @@ def block_id(start: Column, years: int, by: str = "metric_id") -> Column:
 
 
 def randomization(terms: DataFrame, permutations: int = 10_000, samples: int = 2_000, seed: int = 42, block_years: int = 0, q_most: float = 0.05, n_least: int = 12) -> DataFrame:
-    """The test of every metric in ``aggregates.term_metrics`` rows: ``metric_id, n_obs, n_d, n_r, observed, perm_mean, perm_std, z, p, ci_low, ci_high, q, evidence_tier``.
+    """The test of every metric in ``aggregates.term_metrics`` rows: ``metric_id, n_obs, n_d, n_r, observed, perm_mean,
+    perm_std, z, p, ci_low, ci_high, q, evidence_tier``, the first and last year in which a window starts
+    (``min_term_start_year, max_term_start_year``) and the run's own settings (``permutations, bootstrap_samples, seed,
+    block_years, q_threshold, min_n_threshold``).
 
     Windows labelled D or R that have a value are the observations. Shuffles stay within blocks of ``block_years``
     from the metric's first window; 0 is one block. Discovery rates are over all metrics together. As between
@@ -109,10 +214,12 @@ def randomization(terms: DataFrame, permutations: int = 10_000, samples: int = 2
     """
     known = terms.where(F.col("party_abbrev").isin("D", "R") & F.col("value").isNotNull() & (F.trim("metric_id") != ""))
     block = block_id(F.col("term_start"), block_years)
-    obs = known.select(F.trim("metric_id").alias("metric_id"), F.col("term_id").alias("obs_key"), F.col("party_abbrev").alias("label"), "value", block.alias("block"))
-    tested = permutation_test(obs, permutations, seed).join(bootstrap(obs, samples, seed), "metric_id", "left")
-    rated = false_discovery(tested.withColumn("p", F.round("p", 6))).withColumn("q", F.round("q", 6))
-    return rated.withColumn("evidence_tier", evidence_tier(F.col("q"), F.col("n_obs"), q_most, n_least))
+    obs = known.select(F.trim("metric_id").alias("metric_id"), F.col("term_id").alias("obs_key"), F.col("party_abbrev").alias("label"), "value", block.alias("block"), F.year("term_start").alias("year"))
+    years = obs.groupBy("metric_id").agg(F.min("year").alias("min_term_start_year"), F.max("year").alias("max_term_start_year"))
+    rated = false_discovery(tested(obs, permutations, samples, seed).withColumn("p", F.round("p", 6))).withColumn("q", F.round("q", 6))
+    settings = {"permutations": permutations, "bootstrap_samples": samples, "seed": seed, "block_years": block_years, "q_threshold": float(q_most), "min_n_threshold": n_least}
+    out = rated.withColumn("evidence_tier", evidence_tier(F.col("q"), F.col("n_obs"), q_most, n_least)).join(years, "metric_id", "left")
+    return out.withColumns({k: F.lit(v) for k, v in settings.items()})
 
 
 def _stream(seed: int, metric: str, stream: str) -> random.Random:
@@ -178,4 +285,4 @@ def sequential_test(obs: DataFrame, permutations: int, samples: int, seed: int =
     return rows.select("metric_id", "pos", "label", "value", "year").groupBy("metric_id").applyInPandas(test, RESULT)
 
 
-__all__ = ["block_id", "bootstrap", "draw", "evidence_tier", "false_discovery", "observed", "permutation_test", "permutations", "randomization", "sequential_test", "site_tier"]
+__all__ = ["block_id", "bootstrap", "draw", "evidence_tier", "false_discovery", "observed", "permutation_test", "permutations", "randomization", "resampled", "sequential_test", "site_tier", "tested"]

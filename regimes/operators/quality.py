@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_date, parse_loose
+from . import ranges
 
 
 def issue(level: str, check: str, message: Column) -> list[Column]:
@@ -26,16 +27,25 @@ def window_issues(terms: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [blank, twice, dates, order, label])
 
 
-def adjacency(df: DataFrame, by: list[str], wid: str = "wid", start: str = "start", end: str = "end") -> DataFrame:
-    """``by, wid, next_wid, kind, days``: neighbours by start of which one ends after the next starts (overlap) or before (gap)."""
-    order = Window.partitionBy(*by).orderBy(start, end, wid)
-    nxt = df.withColumn("next_wid", F.lead(wid).over(order)).withColumn("_s", F.lead(start).over(order))
-    days = F.date_diff("_s", end)
-    return nxt.where(days != 0).select(*by, wid, "next_wid", F.when(days < 0, "overlap").otherwise("gap").alias("kind"), days.alias("days"))
+def adjacency(df: DataFrame, by: list[str], wid: str = "wid", start: str = "start", end: str = "end", parts: int | None = None) -> DataFrame:
+    """``by, wid, next_wid, kind, days``: neighbours by start of which one ends after the next starts (overlap) or before (gap).
+
+    ``by`` may be empty: then all windows are one order. The order is cut into ranges, and the last window of a range
+    meets the first one of the next range of its group: neither a common group nor the whole is one task's work.
+    """
+    columns = [start, end, wid]
+    rows = ranges.in_ranges(df.select(*by, *columns), [F.col(c) for c in [*by, *columns]], parts)
+    here = Window.partitionBy(*by, "_range").orderBy(*columns)
+    head = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(wid).alias("w"))
+    firsts = rows.groupBy(*by, "_range").agg(F.min(head).alias("value"))
+    beyond = ranges.carried(firsts, by, F.try_element_at("before", F.lit(-1)), "_beyond", later=True)
+    nxt = ranges.with_carried(rows.withColumn("_lead", F.lead(head).over(here)), by, beyond, "_beyond").withColumn("_n", F.coalesce("_lead", "_beyond"))
+    days = F.date_diff("_n.s", end)
+    return nxt.where(days != 0).select(*by, wid, F.col("_n.w").alias("next_wid"), F.when(days < 0, "overlap").otherwise("gap").alias("kind"), days.alias("days"))
 
 
 def adjacency_issues(terms: DataFrame) -> DataFrame:
-    a = adjacency(terms.withColumn("_all", F.lit(0)), ["_all"])
+    a = adjacency(terms, [])
     return a.select(F.when(F.col("kind") == "overlap", "ERROR").otherwise("WARN").alias("level"), F.col("kind").alias("check_id"), F.concat_ws(" ", "kind", F.lit("between"), "wid", F.lit("and"), "next_wid").alias("message"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_label, first_filled, frequency_label, interval_text, md_escape
+from ..tables import kept
+from . import ranges
 from .inference import site_tier
 
 #: Provenance fields that every input must have.
@@ -27,9 +29,10 @@ def last_rows(df: DataFrame, *keys: str, keep_pos: bool = False) -> DataFrame:
 
 
 def placed(board: DataFrame, first: DataFrame) -> DataFrame:
-    """Add ``place``: rows by ``q`` (missing last), equal ones by first appearance (``first``: ``metric_id, pos``). One row for each metric, so few rows."""
-    t = board.join(first.select("metric_id", "pos"), "metric_id", "left")
-    return t.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("q").asc_nulls_last(), F.col("pos").asc_nulls_last(), "metric_id"))).drop("pos")
+    """Add ``place``: rows by ``q`` (missing last), equal ones by first appearance (``first``: ``metric_id, pos``, missing last), then by id."""
+    t = kept(board.join(first.select("metric_id", "pos"), "metric_id", "left"))
+    order = [F.col("q").isNull(), F.col("q"), F.col("pos").isNull(), F.col("pos"), F.col("metric_id")]
+    return ranges.numbered(t, order, "place").withColumn("place", F.col("place").cast("int")).drop("pos", "_range")
 
 
 def contrast(summary: DataFrame) -> DataFrame:

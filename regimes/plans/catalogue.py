@@ -272,7 +272,7 @@ p AS (SELECT metric_id, b, value, row_number() OVER (PARTITION BY metric_id, b,
 f AS (SELECT metric_id, b, {mean('is_d')} - {mean('NOT is_d')} AS diff FROM p GROUP BY 1, 2),
 o AS (SELECT metric_id, count(*) AS n_obs, count(*) FILTER (label = 'D') AS n_d, count(*) FILTER (label = 'R') AS n_r, {mean("label = 'D'")} - {mean("label = 'R'")} AS observed FROM q GROUP BY 1)
 SELECT o.metric_id, any_value(n_obs) AS n_obs, any_value(n_d) AS n_d, any_value(n_r) AS n_r, round(any_value(observed), 6) AS observed, round(avg(diff), 6) AS perm_mean, round(stddev_pop(diff), 6) AS perm_std,
-round((any_value(observed) - avg(diff)) / stddev_pop(diff), 4) AS z, round((1 + count(*) FILTER (abs(diff) >= abs(observed))) / (1 + count(*))::DOUBLE, 6) AS p FROM o JOIN f ON o.metric_id = f.metric_id GROUP BY o.metric_id"""
+round((any_value(observed) - avg(diff)) / nullif(stddev_pop(diff), 0), 4) AS z, round((1 + count(*) FILTER (abs(diff) >= abs(observed))) / (1 + count(*))::DOUBLE, 6) AS p FROM o JOIN f ON o.metric_id = f.metric_id GROUP BY o.metric_id"""
 
 
 def _tested(spark: SparkSession, d: str, blocked: bool, n: int) -> DataFrame:
@@ -337,13 +337,14 @@ def evidence_tier(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: One full run: 10,000 shuffles and 2,000 samples of every metric's windows, discovery rates over all metrics.
-RANDOMIZATION_SQL = f"""WITH terms AS MATERIALIZED (SELECT metric_id, term_id AS obs_key, party_abbrev AS label, value FROM ({FULL_SQL}) WHERE party_abbrev IN ('D', 'R') AND value IS NOT NULL),
+RANDOMIZATION_SQL = f"""WITH terms AS MATERIALIZED (SELECT metric_id, term_id AS obs_key, party_abbrev AS label, value, CAST(year("start") AS INTEGER) AS y FROM ({FULL_SQL}) JOIN ({inputs.windows_sql()}) w ON term_id = wid WHERE party_abbrev IN ('D', 'R') AND value IS NOT NULL),
 pt AS ({_perm_sql("0", 10_000, "SELECT * FROM terms")}), bt AS ({_boot_sql(2_000, "SELECT * FROM terms")}),
-sizes AS (SELECT metric_id, count(*) AS n_obs, count(*) FILTER (label = 'D') AS n_d, count(*) FILTER (label = 'R') AS n_r FROM terms GROUP BY 1),
-tested AS (SELECT sizes.*, observed, perm_mean, perm_std, z, p, ci_low, ci_high FROM sizes LEFT JOIN pt ON sizes.metric_id = pt.metric_id LEFT JOIN bt ON sizes.metric_id = bt.metric_id),
+sizes AS (SELECT metric_id, count(*) AS n_obs, count(*) FILTER (label = 'D') AS n_d, count(*) FILTER (label = 'R') AS n_r, min(y) AS min_term_start_year, max(y) AS max_term_start_year FROM terms GROUP BY 1),
+tested AS (SELECT sizes.metric_id, sizes.n_obs, sizes.n_d, sizes.n_r, min_term_start_year, max_term_start_year, observed, perm_mean, perm_std, z, p, ci_low, ci_high FROM sizes LEFT JOIN pt ON sizes.metric_id = pt.metric_id LEFT JOIN bt ON sizes.metric_id = bt.metric_id),
 ranked AS (SELECT *, row_number() OVER (ORDER BY p, metric_id) AS r, count(*) OVER () AS m FROM tested WHERE p IS NOT NULL),
 rated AS (SELECT metric_id, round(least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM ranked)
-SELECT tested.*, q, CASE WHEN q < 0.05 AND n_obs >= 12 THEN 'confirmatory' WHEN q < 0.10 AND n_obs >= 12 THEN 'supportive' ELSE 'exploratory' END AS evidence_tier FROM tested LEFT JOIN rated ON tested.metric_id = rated.metric_id"""
+SELECT tested.metric_id, n_obs, n_d, n_r, observed, perm_mean, perm_std, z, p, ci_low, ci_high, q, CASE WHEN q < 0.05 AND n_obs >= 12 THEN 'confirmatory' WHEN q < 0.10 AND n_obs >= 12 THEN 'supportive' ELSE 'exploratory' END AS evidence_tier,
+min_term_start_year, max_term_start_year, 10000 AS permutations, 2000 AS bootstrap_samples, 42 AS seed, 0 AS block_years, 0.05::DOUBLE AS q_threshold, 12 AS min_n_threshold FROM tested LEFT JOIN rated ON tested.metric_id = rated.metric_id"""
 
 
 def _kept_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -354,7 +355,8 @@ def _kept_terms(spark: SparkSession, d: str) -> DataFrame:
 @query("term_randomization", RANDOMIZATION_SQL)
 def term_randomization(spark: SparkSession, d: str) -> DataFrame:
     t = inference.randomization(_kept_terms(spark, d).withColumn("value", F.round("value", 6)))
-    return t.select("metric_id", "n_obs", "n_d", "n_r", *[F.round(c, 6).alias(c) for c in ("observed", "perm_mean", "perm_std")], F.round("z", 4).alias("z"), "p", *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")], "q", "evidence_tier")
+    return t.select("metric_id", "n_obs", "n_d", "n_r", *[F.round(c, 6).alias(c) for c in ("observed", "perm_mean", "perm_std")], F.round("z", 4).alias("z"), "p", *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")], "q", "evidence_tier",
+                    "min_term_start_year", "max_term_start_year", "permutations", "bootstrap_samples", "seed", "block_years", "q_threshold", "min_n_threshold")
 
 
 # Construction of windows.
@@ -404,6 +406,12 @@ def dq_overlap_gap(spark: SparkSession, d: str) -> DataFrame:
     return quality.adjacency(_spans(spark, d), ["person"], "pos").withColumnRenamed("pos", "wid")
 
 
+@query("dq_adjacency_all", f"""SELECT CAST(wid AS BIGINT) AS wid, CAST(next_wid AS BIGINT) AS next_wid, CASE WHEN days < 0 THEN 'overlap' ELSE 'gap' END AS kind, CAST(days AS INTEGER) AS days FROM (
+SELECT pos AS wid, lead(pos) OVER o AS next_wid, date_diff('day', "end", lead("start") OVER o) AS days FROM ({SPANS_SQL}) WINDOW o AS (ORDER BY "start", "end", pos)) WHERE days <> 0""")
+def dq_adjacency_all(spark: SparkSession, d: str) -> DataFrame:
+    return quality.adjacency(_spans(spark, d), [], "pos").withColumnRenamed("pos", "wid")
+
+
 @query("dq_nonnumeric", "SELECT event_id FROM events WHERE event_id % 17 = 3")
 def dq_nonnumeric(spark: SparkSession, d: str) -> DataFrame:
     e = _read(spark, d, "events")
@@ -451,25 +459,6 @@ def dq_inflation_pair(spark: SparkSession, d: str) -> DataFrame:
     return quality.inflation_pairs(_inflation(_used(spark, d)))
 
 
-#: The same rules over every row: an order is the series, its lines are the metrics.
-_LINES_SQL = f"SELECT l_orderkey AS series_key, l_partkey, {_KINDS}[(l_partkey + l_linenumber) % 5 + 1] AS agg_kind FROM lineitem"
-
-
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    kinds = F.array(*[F.lit(x) for x in ("end_minus_start", "end_minus_start_per_year", "pct_change_from_levels", "cagr_from_levels", "mean")])
-    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("series_key"), F.get(kinds, ((F.col("l_partkey") + F.col("l_linenumber")) % 5).cast("int")).alias("agg_kind"), F.col("l_partkey").alias("turn"), F.col("l_orderkey").alias("of"))
-
-
-@query("dq_symmetry_lines", f"WITH k AS (SELECT series_key, list(DISTINCT agg_kind) AS kinds FROM ({_LINES_SQL}) GROUP BY 1) " + " UNION ALL ".join(f"SELECT series_key, '{a}' AS has, '{b}' AS lacks FROM k WHERE list_contains(kinds, '{a}') AND NOT list_contains(kinds, '{b}')" for p in quality.PAIRS for a, b in (p, p[::-1])))
-def dq_symmetry_lines(spark: SparkSession, d: str) -> DataFrame:
-    return quality.symmetry(_lines(spark, d))
-
-
-@query("dq_inflation_pair_lines", f"SELECT series_key FROM ({_LINES_SQL}) WHERE series_key % 3 <> 0 GROUP BY 1 HAVING bool_or(l_partkey % 4 = 0) AND NOT bool_or(l_partkey % 4 = 1)")
-def dq_inflation_pair_lines(spark: SparkSession, d: str) -> DataFrame:
-    return quality.inflation_pairs(_inflation(_lines(spark, d)))
-
-
 @query("dq_windows", """WITH t AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 't' || (o_orderkey // 2) END AS id, o_orderkey % 7 = 0 AS bad, o_orderkey % 11 = 0 AS empty, o_orderkey % 13 = 0 AS odd FROM orders)
 SELECT 'ERROR' AS level, 'term_id_blank' AS check_id, count(*) AS n FROM t WHERE id = '' UNION ALL SELECT 'ERROR', 'term_id_duplicate', count(*) FROM (SELECT id FROM t WHERE id <> '' GROUP BY id HAVING count(*) > 1)
 UNION ALL SELECT 'ERROR', 'bad_date', count(*) FROM t WHERE bad UNION ALL SELECT 'ERROR', 'empty_window', count(*) FROM t WHERE empty AND NOT bad UNION ALL SELECT 'WARN', 'label', count(*) FROM t WHERE odd""")

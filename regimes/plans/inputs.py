@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.inference import block_id
 from ..schema import METRICS
 
 #: Windows ``wid, label, start, end``: one before all data, one after, a gap, a month split evenly, a quarter cut.
@@ -74,18 +75,18 @@ def metrics(spark: SparkSession, rows: list[dict]) -> DataFrame:
 def quarterly_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean order total by customer segment (the metric) and quarter (the observation): ``metric_id, obs_key, label, value, year, block, pos``.
 
-    Even quarters are D, odd ones R; blocks are two years long.
+    Even quarters are D, odd ones R; blocks are two years long, from each metric's first year.
     """
     o, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
     day = F.col("o_orderdate").cast("date")
     q = (F.year(day) * 4 + F.quarter(day) - 1).alias("obs_key")
     t = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("metric_id"), q).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("value"))
     year = F.expr("int(obs_key div 4)")
-    first = F.lit(1995)
-    return t.select("metric_id", "obs_key", F.when(F.col("obs_key") % 2 == 0, "D").otherwise("R").alias("label"), F.round("value", 6).alias("value"), year.alias("year"), F.floor((year - first) / 2).cast("int").alias("block"), F.col("obs_key").cast("long").alias("pos"))
+    block = block_id(F.make_date(year, F.lit(1), F.lit(1)), 2)
+    return t.select("metric_id", "obs_key", F.when(F.col("obs_key") % 2 == 0, "D").otherwise("R").alias("label"), F.round("value", 6).alias("value"), year.alias("year"), block.alias("block"), F.col("obs_key").cast("long").alias("pos"))
 
 
-QUARTERLY_SQL = """SELECT metric_id, obs_key, CASE WHEN obs_key % 2 = 0 THEN 'D' ELSE 'R' END AS label, round(value, 6) AS value, obs_key // 4 AS year, CAST(floor((obs_key // 4 - 1995) / 2) AS INTEGER) AS block
+QUARTERLY_SQL = """SELECT metric_id, obs_key, CASE WHEN obs_key % 2 = 0 THEN 'D' ELSE 'R' END AS label, round(value, 6) AS value, obs_key // 4 AS year, CAST(floor((obs_key // 4 - min(obs_key // 4) OVER (PARTITION BY metric_id)) / 2) AS INTEGER) AS block
 FROM (SELECT c_mktsegment AS metric_id, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS obs_key, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE / count(*) AS value
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
