@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rounding import round_even
+
 #: Tokens that stand for a missing number.
 MISSING = ("", ".", "NA", "NaN", "nan")
 #: Query parameters that hold secrets.
@@ -66,8 +68,8 @@ def overlap_days(a_start: Column, a_end: Column, b_start: Column, b_end: Column)
 
 
 def round6(v: Column) -> Column:
-    """The six decimals that pass between stages."""
-    return F.round(v, 6)
+    """The six decimals that pass between stages: half to even, by the exact binary value."""
+    return round_even(v, 6)
 
 
 def clean_label(s: Column) -> Column:
@@ -133,13 +135,74 @@ CONTAINERS = ("main", "article", "body")
 BOILERPLATE = ("svg", "iframe", "form", "nav", "footer", "header", "aside")
 
 
+#: A tag, a raw element (whose inside has no tags), a run of text, or a lone bracket.
+_TOKEN = r"""(?is)<(script|style|noscript)\b.*?</\1\s*>|<(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>|[^<]+|<"""
+
+
+def _tags(html: Column) -> Column:
+    """A page's tokens: ``text``, and of the tags of containers and boilerplate the ``name`` and whether it is an end (``closes``)."""
+    known = "|".join(CONTAINERS + BOILERPLATE)
+
+    def token(x: Column) -> Column:
+        name = F.nullif(F.lower(F.regexp_extract(x, rf"(?is)^</?({known})\b.*(?<!/)>$", 1)), F.lit(""))
+        return F.struct(x.alias("text"), name.alias("name"), F.startswith(x, F.lit("</")).alias("closes"))
+
+    return F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), token)
+
+
+def _elements(tags: Column) -> Column:
+    """``name, first, last``: the tokens with which each container or boilerplate element begins and ends.
+
+    A fold over the tags with a stack of open elements. An end closes the last open element of its name, and so all
+    that were opened in it and not closed; ends without a beginning are passed over. A container that is never closed
+    goes on to the end of the page; boilerplate that is never closed is no element.
+    """
+    kind = "array<struct<name:string,first:int>>"
+    done = "array<struct<name:string,first:int,last:int>>"
+    state = lambda i, open_, found: F.struct(i.alias("i"), open_.alias("open"), found.alias("found"))
+
+    def step(a: Column, t: Column) -> Column:
+        top = F.array_position(F.reverse(F.transform(a["open"], lambda o: o["name"])), t["name"]).cast("int")
+        at = F.size(a["open"]) - top
+        ended = F.struct(t["name"].alias("name"), F.get(a["open"], at)["first"].alias("first"), a["i"].alias("last"))
+        opens, closes = t["name"].isNotNull() & ~t["closes"], t["name"].isNotNull() & t["closes"] & (top > 0)
+        stack = F.when(opens, F.concat(a["open"], F.array(F.struct(t["name"].alias("name"), a["i"].alias("first"))))).when(closes, F.slice(a["open"], F.lit(1), at)).otherwise(a["open"])
+        return state((a["i"] + 1).cast("int"), stack.cast(kind), F.when(closes, F.concat(a["found"], F.array(ended))).otherwise(a["found"]).cast(done))
+
+    def finish(a: Column) -> Column:
+        rest = F.filter(a["open"], lambda o: o["name"].isin(*CONTAINERS))
+        return F.concat(a["found"], F.transform(rest, lambda o: F.struct(o["name"].alias("name"), o["first"].alias("first"), a["i"].alias("last"))))
+
+    return F.aggregate(tags, state(F.lit(0), F.array().cast(kind), F.array().cast(done)), step, finish)
+
+
 def main_html(html: Column) -> Column:
-    """The inside of a page's first ``main``, else ``article``, else ``body`` (else all of it), without boilerplate elements."""
+    """The inside of a page's first ``main``, else ``article``, else ``body`` (else all of it), without boilerplate elements.
+
+    Elements of one name may be nested. Containers with nothing in them are passed over; each boilerplate element
+    leaves a blank, and so does a comment.
+    """
     plain = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    inner = F.coalesce(*[F.nullif(F.regexp_extract(plain, rf"(?is)<{c}\b[^>]*>(.*?)</{c}\s*>", 1), F.lit("")) for c in CONTAINERS], plain)
-    for name in BOILERPLATE:
-        inner = F.regexp_replace(inner, rf"(?is)<{name}\b.*?</{name}\s*>", " ")
-    return inner
+
+    def inside(page: Column) -> Column:
+        tags, found = page["tags"], page["found"]
+        whole = F.struct(F.lit("").alias("name"), F.lit(-1).alias("first"), F.size(tags).alias("last"))
+        first = lambda c: F.array_min(F.transform(F.filter(found, lambda e: (e["name"] == c) & (e["last"] > e["first"] + 1)), lambda e: F.struct(e["first"].alias("first"), e["last"].alias("last"))))
+        held = F.coalesce(*[first(c) for c in CONTAINERS], F.struct(whole["first"].alias("first"), whole["last"].alias("last")))
+        return F.get(F.transform(F.array(held), lambda h: text(tags, found, h)), 0)
+
+    def text(tags: Column, found: Column, held: Column) -> Column:
+        cuts = F.filter(found, lambda e: e["name"].isin(*BOILERPLATE) & (e["first"] > held["first"]) & (e["last"] < held["last"]))
+
+        def piece(t: Column, i: Column) -> Column:
+            at = i + held["first"] + 1
+            within = F.exists(cuts, lambda e: (e["first"] < at) & (at <= e["last"]))
+            return F.when(within, "").when(F.exists(cuts, lambda e: e["first"] == at), " ").otherwise(t["text"])
+
+        return F.array_join(F.transform(F.slice(tags, held["first"] + 2, held["last"] - held["first"] - 1), piece), "")
+
+    pages = F.transform(F.array(_tags(plain)), lambda t: F.struct(t.alias("tags"), _elements(t).alias("found")))
+    return F.get(F.transform(pages, inside), 0)
 
 
 def first_line(s: Column, most: int = 160) -> Column:

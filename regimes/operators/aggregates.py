@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..tables import kept
 from . import ranges
 from .attribution import PERIOD_KEYS, before_boundaries, term_of_period
+from .percentiles import percentiles
 from .transforms import apply_transforms
 
 BOUNDARY_KINDS = ("end_minus_start", "end_minus_start_per_year", "pct_change_from_levels", "cagr_from_levels")
@@ -151,12 +152,14 @@ def pair_up(left: DataFrame, right: DataFrame, parts: int = 16) -> DataFrame:
 
 
 def party_summary(t: DataFrame) -> DataFrame:
-    """Number, mean and median of the values by label and metric, from values of six decimals."""
-    v = F.round("value", 6)
-    return t.where("value IS NOT NULL").groupBy("party_abbrev", "metric_id").agg(
+    """Number, mean and median of the values by label and metric, from values of six decimals. Medians are exact, of groups of any size."""
+    rows, by = t.where("value IS NOT NULL").withColumn("value", F.round("value", 6)), ["party_abbrev", "metric_id"]
+    facts = rows.groupBy(*by).agg(
         F.first("metric_family").alias("metric_family"), F.first("metric_label").alias("metric_label"), F.first("agg_kind").alias("agg_kind"), F.first("units").alias("units"),
-        F.count(v).alias("n_terms"), F.avg(v).alias("mean"), F.median(v).alias("median"),
+        F.count("value").alias("n_terms"), F.avg("value").alias("mean"),
     )
+    medians = percentiles(rows, by, "value", [0.5], "_q").select(F.col("party_abbrev").alias("_label"), F.col("metric_id").alias("_metric"), F.col("_q")[0].alias("median"))
+    return facts.join(medians, F.col("party_abbrev").eqNullSafe(F.col("_label")) & F.col("metric_id").eqNullSafe(F.col("_metric"))).drop("_label", "_metric")
 
 
 def diff_of_means(df: DataFrame, by: list[str], label: str = "party_abbrev", value: str = "value") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_label, first_filled, frequency_label, interval_text, md_escape
+from ..functions.rounding import round_even
+from ..functions.scalars import clean_label, first_filled, frequency_label, interval_text, md_escape, round6
 from ..tables import kept
 from . import ranges
 from .inference import site_tier
@@ -41,14 +42,14 @@ def contrast(summary: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(pick("D", c), pick("R", c)).alias(c)
     t = last_rows(summary, "party_abbrev", "metric_id").where(F.col("party_abbrev").isin("D", "R")).groupBy("metric_id").agg(
         *[text(c) for c in ("metric_label", "metric_family", "agg_kind", "units")],
-        pick("D", "n_terms").alias("n_d"), pick("R", "n_terms").alias("n_r"), F.round(pick("D", "mean"), 6).alias("d_mean"), F.round(pick("R", "mean"), 6).alias("r_mean"),
+        pick("D", "n_terms").alias("n_d"), pick("R", "n_terms").alias("n_r"), round6(pick("D", "mean")).alias("d_mean"), round6(pick("R", "mean")).alias("r_mean"),
     )
-    return t.withColumn("diff", F.round(F.col("d_mean") - F.col("r_mean"), 6))
+    return t.withColumn("diff", round6(F.col("d_mean") - F.col("r_mean")))
 
 
 def scoreboard(summary: DataFrame, tests: DataFrame) -> DataFrame:
     """The report's rows, to be sorted by ``q`` (missing last) and ``metric_id``. Metrics without a test keep blanks."""
-    t = last_rows(tests, "metric_id").select("metric_id", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
+    t = last_rows(tests, "metric_id").select("metric_id", round6(F.col("p")).alias("p"), round6(F.col("q")).alias("q"), round6(F.col("ci_low")).alias("ci_low"), round6(F.col("ci_high")).alias("ci_high"))
     out = contrast(summary).join(t, "metric_id", "left")
     return out.withColumn("metric_label", clean_label(F.col("metric_label"))).withColumn("ci", interval_text(F.col("ci_low"), F.col("ci_high"))).withColumn("tier", site_tier(F.col("q")))
 
@@ -64,7 +65,7 @@ def markdown(board: DataFrame) -> list[str]:
 def term_details(t: DataFrame) -> DataFrame:
     """``metric_id, terms``: the windows with a value and a D or R label, in order of time."""
     rows = t.where(F.col("party_abbrev").isin("D", "R") & (F.coalesce("error", F.lit("")) == "") & F.col("value").isNotNull())
-    item = F.struct(F.col("term_start").cast("string").alias("term_start"), F.col("term_end").cast("string").alias("term_end"), F.col("party_abbrev").alias("party"), F.round(F.round("value", 6), 4).alias("value"))
+    item = F.struct(F.col("term_start").cast("string").alias("term_start"), F.col("term_end").cast("string").alias("term_end"), F.col("party_abbrev").alias("party"), round_even(round6(F.col("value")), 4).alias("value"))
     return rows.groupBy("metric_id").agg(F.array_sort(F.collect_list(item)).alias("terms"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.expressions import derive
 from ..operators import aggregates, attribution, inference, quality, reports, spells, transforms
+from ..operators.percentiles import percentiles, selected
 from ..streaming.series import daily_series
 from ..tables import kept
 from . import inputs, metric_sql
@@ -254,9 +255,16 @@ def pop_std(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_pop("o_totalprice"), 4).alias("sd"))
 
 
+@query("percentile_by_counts", "SELECT l_returnflag AS k, quantile_cont(l_quantity, 0.5) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY 1")
+def percentile_by_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = _read(spark, d, "lineitem").withColumnRenamed("l_returnflag", "k")
+    a, b = selected(t, ["k"], "l_quantity", [0.5], "a"), selected(t, ["k"], "l_extendedprice", [0.9], "b")
+    return a.join(b, "k").select("k", F.col("a")[0].alias("median"), F.round(F.col("b")[0], 6).alias("p90"))
+
+
 @query("percentile_type7", "SELECT event_type AS k, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.3), 6) AS p30, round(quantile_cont(value, 0.975), 6) AS high FROM events GROUP BY 1")
 def percentile_type7(spark: SparkSession, d: str) -> DataFrame:
-    q = _read(spark, d, "events").groupBy(F.col("event_type").alias("k")).agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.3), F.lit(0.975))).alias("q"))
+    q = percentiles(_read(spark, d, "events").select(F.col("event_type").alias("k"), "value"), ["k"], "value", [0.025, 0.3, 0.975])
     return q.select("k", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "p30", "high"))])
 
 

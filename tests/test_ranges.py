@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from regimes.operators import aggregates, attribution, inference, quality, ranges, reports, transforms
+from regimes.operators import aggregates, attribution, inference, percentiles, quality, ranges, reports, transforms
 from regimes.plans import inputs
 
 rng = random.Random(5)
@@ -150,3 +150,23 @@ def test_unknown_inputs_stop_the_job(spark):
     with pytest.raises(Exception, match="unknown input typo"):
         aggregates.observe(s, m, known).collect()
     assert [r.value for r in aggregates.term_metrics(s, m.where("metric_id = 'm'"), w, inputs=known).collect()] == [1.0]
+
+
+def test_percentiles_of_groups_of_any_size(spark):
+    rows = [("big", rng.choice([0.0, -0.0, 5.0, 5.0, rng.uniform(-9, 9)])) for _ in range(900)] + [("one", 3.0), ("none", None), ("few", 1.0), ("few", None), ("few", 2.0), (None, 7.0), (None, 9.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    qs = [0.0, 0.025, 0.5, 0.3, 0.975, 1.0]
+
+    def seven(xs, q):
+        xs = sorted(xs)
+        at = q * (len(xs) - 1)
+        low = int(at)
+        return xs[low] + (xs[min(low + 1, len(xs) - 1)] - xs[low]) * (at - low)
+
+    for most in (1, 10_000):  # by counts in ranges; by one map for each group
+        got = {r.k: r.q for r in percentiles.percentiles(df, ["k"], "v", qs, most=most, parts=9).collect()}
+        assert got.pop("none") is None
+        assert got == {k: [pytest.approx(seven([v for x, v in rows if x == k and v is not None], q)) for q in qs] for k in ("big", "one", "few", None)}
+    alone = percentiles.selected(df.where("k = 'big'"), ["k"], "v", [0.5], parts=7)
+    assert alone.first().q == [pytest.approx(seven([v for k, v in rows if k == "big"], 0.5))]
+    assert percentiles.selected(df.limit(0), ["k"], "v", [0.5]).count() == 0
