@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import blocks
-from .common import discard, new_folder, written
+from .batches import blocks, groups
+from .common import discard, written
 from .fm_index import FMIndex
 
 #: Bytes that belong to words (0-9, a-z and all of non-ASCII letters), A-Z lower-cased; the rest become spaces.
@@ -21,6 +24,8 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of text that one index covers.
 SHARD_BYTES = 4 << 20
+#: Bits of the filter of words, a power of two.
+FILTER_BITS = 1 << 22
 FOUND = "n_words long, spans array<struct<start: int, end: int>>, items array<string>"
 
 
@@ -31,9 +36,9 @@ def words(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Phrases:
-    """A block of the benchmark: its words' numbers (from 1), its distinct windows, and the items of each window."""
+    """A block of the benchmark: its words (numbered from 1), its distinct windows, and the items of each window."""
 
-    numbers: dict[bytes, int]
+    words: list[bytes]
     windows: np.ndarray
     lengths: np.ndarray
     items: list[list[str]]
@@ -42,110 +47,149 @@ class Phrases:
 def phrases(rows: list[tuple[str | None, list[str]]], window: int) -> Phrases:
     """From texts and the ids of the items that have them."""
     numbers: dict[bytes, int] = {}
-    ids = [np.array([numbers.setdefault(x, len(numbers) + 1) for x in words(t)], np.int64) for t, _ in rows]
+    ids = [np.array([numbers.setdefault(x, len(numbers) + 1) for x in words(t)], np.int32) for t, _ in rows]
     # All windows of all texts, filled up to the right with zeros.
     counts = np.array([max(1, len(w) - window + 1) if len(w) else 0 for w in ids], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *(np.concatenate([w, np.zeros(window, np.int64)]) for w in ids)])
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.concatenate([w, np.zeros(window, np.int32)]) for w in ids)])
     first = np.cumsum([0, *(len(w) + window for w in ids)])[:-1]
     starts = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    table = flat[starts[:, None] + np.arange(window)] if len(starts) else np.zeros((0, window), np.int64)
+    table = flat[starts[:, None] + np.arange(window)] if len(starts) else np.zeros((0, window), np.int32)
     table, which = np.unique(table, axis=0, return_inverse=True)
     owner = np.repeat(np.arange(len(rows)), counts)
     items: list[set[str]] = [set() for _ in range(len(table))]
     for k, row in np.unique(np.stack([which.ravel(), owner], axis=1), axis=0).tolist():
         items[k].update(rows[row][1])
-    return Phrases(numbers, table, (table > 0).sum(axis=1), [sorted(x) for x in items])
+    return Phrases(list(numbers), table, (table > 0).sum(axis=1), [sorted(x) for x in items])
 
 
-_known: dict = {}
+@dataclass(frozen=True)
+class WordFilter:
+    """Bits set for the words of the whole benchmark: of fixed size, it lets all of them pass and few others."""
+
+    bits: np.ndarray
+
+    def passing(self, found: set[bytes]) -> list[bytes]:
+        each = list(found)
+        at = _bit(each)
+        return [w for w, ok in zip(each, (self.bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).tolist()) if ok]
+
 
+def _bit(each: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in each), np.uint64, len(each)).astype(np.int64) & (FILTER_BITS - 1)
 
-def _phrases_of(key: str, rows: list[tuple[str | None, list[str]]], window: int) -> Phrases:
-    """The phrases of a block; a worker keeps those of the block it last searched for."""
-    if key not in _known:
-        _known.clear()
-        _known[key] = phrases(rows, window)
-    return _known[key]
 
+def word_filter(texts: DataFrame) -> WordFilter:
+    """The filter of the words of column ``t``: tasks hand on the filter's 64-bit pieces in which they set a bit, and these are united."""
 
-def _search(texts: list[str | None], p: Phrases) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    """Word count, merged hit spans and items of each text of one shard.
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        for batch in batches:
+            at = _bit(list({w for t in batch["t"] for w in words(t)}))
+            np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        used = np.flatnonzero(bits)
+        yield pd.DataFrame({"i": used, "bits": bits[used].view(np.int64)})
+
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in texts.select("t").mapInPandas(pieces, "i long, bits long").groupBy("i").agg(F.bit_or("bits").alias("bits")).collect():
+        out[r.i] = np.uint64(r.bits & (1 << 64) - 1)
+    return WordFilter(out)
+
+
+def _search(texts: list[str | None], known: Callable[[set[bytes]], list[bytes]], least: int, blocks_: Iterable[Phrases]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """Word count, merged hit spans and items of each text of one shard, whose index is built once and searched for all blocks' phrases.
 
     A word that no phrase has can't lie in an occurrence, so it is a break, and runs between breaks that are
-    shorter than the shortest phrase are left out of the index.
+    shorter than the shortest phrase (``least``) are left out of the index.
     """
-    get = p.numbers.get
-    counts, parts = [], []
-    for t in texts:
-        ids = [get(w, 0) for w in words(t)]
-        counts.append(len(ids))
-        parts += ids
+    split = [words(t) for t in texts]
+    numbers = {w: i for i, w in enumerate(known({w for ws in split for w in ws}), 1)}
+    get = numbers.get
+    counts, parts = [len(ws) for ws in split], []
+    for ws in split:
+        parts += [get(w, 0) for w in ws]
         parts.append(0)
+    del split
     all_ids = np.array(parts, np.int64)
     starts = np.concatenate([[0], np.cumsum(np.array(counts, np.int64) + 1)])
     out: list = [(n, [], set()) for n in counts]
-    known = np.concatenate([[False], all_ids > 0, [False]])
-    edges = np.flatnonzero(known[1:] != known[:-1]).reshape(-1, 2)
-    runs = edges[edges[:, 1] - edges[:, 0] >= p.lengths.min(initial=1 << 30)]
-    if not len(runs) or not len(p.windows):
+    inside = np.concatenate([[False], all_ids > 0, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
+    runs = edges[edges[:, 1] - edges[:, 0] >= max(least, 1)]
+    if not len(runs):
         return out
     # The kept runs, each followed by a break.
     sizes = runs[:, 1] - runs[:, 0] + 1
     origin = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - runs[:, 0], sizes)
-    index = FMIndex(all_ids[origin], len(p.numbers) + 1)
-    low, high = index.search(p.windows, p.lengths)
-    n = np.maximum(high - low, 0)
-    which = np.repeat(np.arange(len(n)), n)
-    if not len(which):
-        return out
-    place = origin[index.locate(np.arange(len(which)) - np.repeat(np.cumsum(n) - n - low, n))]
-    # Spans that overlap or touch within a document are merged.
+    index = FMIndex(all_ids[origin], len(numbers) + 1)
     cover = np.zeros(len(all_ids) + 1, np.int64)
-    np.add.at(cover, place, 1)
-    np.add.at(cover, place + p.lengths[which], -1)
+    for p in blocks_:
+        # The block's words by the shard's numbers: a word that the shard lacks is 0 and occurs nowhere.
+        own = np.array([0, *(get(w, 0) for w in p.words)], np.int64)
+        low, high = index.search(own[p.windows], p.lengths)
+        n = np.maximum(high - low, 0)
+        which = np.repeat(np.arange(len(n)), n)
+        if not len(which):
+            continue
+        place = origin[index.locate(np.arange(len(which)) - np.repeat(np.cumsum(n) - n - low, n))]
+        np.add.at(cover, place, 1)
+        np.add.at(cover, place + p.lengths[which], -1)
+        pairs = np.unique(np.stack([np.searchsorted(starts, place, side="right") - 1, which], axis=1), axis=0)
+        for d, k in pairs.tolist():
+            out[d][2].update(p.items[k])
+    # Spans that overlap or touch within a document are merged, whatever the blocks that they come from.
     hit = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
     spans = np.flatnonzero(hit[1:] != hit[:-1]).reshape(-1, 2)
     for (a, b), d in zip(spans.tolist(), (np.searchsorted(starts, spans[:, 0], side="right") - 1).tolist()):
         out[d][1].append((a - int(starts[d]), b - int(starts[d])))
-    pairs = np.unique(np.stack([np.searchsorted(starts, place, side="right") - 1, which], axis=1), axis=0)
-    for d, k in pairs.tolist():
-        out[d][2].update(p.items[k])
     return out
 
 
-def _finder(rows: list[tuple[str | None, list[str]]], window: int):
-    key = uuid.uuid4().hex
+def _read_blocks(files: list[str]) -> Iterator[Phrases]:
+    """Blocks of phrases from the shared folder, one at a time in memory."""
+    for path in files:
+        store, place = fs.FileSystem.from_uri(path)
+        with store.open_input_file(place) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=["data"]):
+                for data in batch.column(0):
+                    yield pickle.loads(data.as_buffer())
 
+
+def _written_blocks(items: DataFrame, n: int, window: int) -> DataFrame:
+    """``data, least``: each block's phrases, worked out once, and its shortest phrase."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, "block"):
+            p = phrases([(t, list(x)) for t, x in zip(g["t"], g["items"])], window)
+            yield pd.DataFrame({"data": [pickle.dumps(p)], "least": [int(p.lengths.min(initial=1 << 30))]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(n))).repartition(min(n, 4096), "block").sortWithinPartitions("block")
+    return written(dealt.select("block", "t", "items").mapInPandas(made, "data binary, least long"), "phrases")
+
+
+def _finder(known: Callable[[set[bytes]], list[bytes]], least: int, blocks_: Callable[[], Iterable[Phrases]], shard_bytes: int):
     @F.pandas_udf(FOUND)
     def find(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        p = _phrases_of(key, rows, window)
         for s in series:
             texts = [t if isinstance(t, str) else None for t in s]
-            rows_: list = []
-            for a, b in blocks(texts, SHARD_BYTES, 1 << 20):
-                rows_ += [(n, [{"start": x, "end": y} for x, y in spans], sorted(items)) for n, spans, items in _search(texts[a:b], p)]
-            yield pd.DataFrame(rows_, columns=["n_words", "spans", "items"])
+            rows: list = []
+            for a, b in blocks(texts, shard_bytes, 1 << 20):
+                rows += [(n, [{"start": x, "end": y} for x, y in spans], sorted(items)) for n, spans, items in _search(texts[a:b], known, least, blocks_())]
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
     return find.asNondeterministic()  # else it runs once for a filter and once more for a column
 
 
-def _union(spans: Column) -> Column:
-    """Spans as spans that don't overlap or touch, in order."""
-    s = F.array_sort(spans)
-    grow = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(s, F.slice(s, 1, 0), grow)
-
-
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with a column ``_found``: ``n_words``, the merged ``spans`` of hit words (numbers from 0, end
     exclusive) and the sorted ``items`` that occur.
 
     A phrase is a run of ``window`` words of a benchmark item, or a shorter item as a whole; a word of a document
     is hit if it lies in an occurrence of a phrase. The benchmark is the query set: its distinct texts, each with
-    its items' ids, are dealt into blocks of about ``block_bytes``, which are searched for in indexes over all of
-    ``docs``. A benchmark of one block is searched for where documents are read: nothing is shuffled. Of more
-    blocks, one at a time is read, searched for and let go of, and the hits are written, by a digest of the text;
-    all blocks' hits are then joined with ``docs``, so that neither the driver nor the plan grows with the benchmark.
+    its items' ids, are dealt into blocks of about ``block_bytes``. Documents are read once, whatever the size of the
+    benchmark, and nothing is shuffled: a task builds each shard's index once and searches it for one block after
+    another. A benchmark of one block goes to the tasks with the code; the phrases of several are written once, and
+    tasks read them from the shared folder, one in memory at a time (it must be a folder that Arrow's file systems
+    open); shards are larger then. Words of no phrase are told by a filter of fixed size.
 
     Null texts have no words. Items without words are no phrase. Items with null id mark words but aren't listed;
     equal ids count once. An empty benchmark hits nothing. A column named ``_found`` is replaced.
@@ -155,28 +199,16 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
     items = written(items.withColumn("size", F.octet_length("t") + F.size("items") * 8), "benchmark")
     size = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
-    docs = docs.drop("_found")
-    body = F.col(f"`{text}`").cast("string")
-    block = lambda k: [(r["t"], list(r["items"])) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).select("t", "items").collect()]
     if n == 1:
-        rows = block(0)
-        discard(items)
-        return docs.withColumn("_found", _finder(rows, window)(body))
-    digest = F.md5(F.coalesce(body, F.lit("")).cast("binary"))
-    folder = new_folder(docs.sparkSession, "hits")
-    for k in range(n):
-        hits = docs.select(digest.alias("_digest"), _finder(block(k), window)(body).alias("f")).where(F.size("f.spans") > 0)
-        hits.groupBy("_digest").agg(F.first("f").alias("f")).select("_digest", "f.spans", "f.items").write.parquet(f"{folder}/block={k}")
+        p = phrases([(r["t"], list(r["items"])) for r in items.select("t", "items").collect()], window)
+        held = frozenset(p.words)
+        finder = _finder(lambda found: list(found & held), int(p.lengths.min(initial=1 << 30)), lambda: [p], SHARD_BYTES)
+    else:
+        kept = _written_blocks(items, n, window)
+        files, least, passing = kept.inputFiles(), kept.agg(F.min("least")).first()[0], word_filter(items).passing
+        finder = _finder(passing, least, lambda: _read_blocks(files), 4 * SHARD_BYTES)
     discard(items)
-    hits = docs.sparkSession.read.schema("_digest string, spans array<struct<start: int, end: int>>, items array<string>, block int").parquet(folder)
-    hits = hits.groupBy("_digest").agg(_union(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # Written first, so that both sides of the join are dealt anew and Spark can split a very common text's rows.
-    hits = written(hits, "hits")
-    none = lambda c: F.coalesce(c, F.array().cast(dict(hits.dtypes)[c]))
-    count = F.coalesce(F.regexp_count(body, F.lit(_WORD.pattern)), F.lit(0)).cast("long")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.select(F.struct(*cols).alias("row"), count.alias("n_words"), digest.alias("_digest")).join(hits, "_digest", "left")
-    return out.select(F.struct("n_words", none("spans").alias("spans"), none("items").alias("items")).alias("_found"), "row").select("row.*", "_found")
+    return docs.drop("_found").withColumn("_found", finder(F.col(f"`{text}`").cast("string")))
 
 
 def removed(text: Column, spans: Column) -> Column:
