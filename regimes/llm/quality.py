@@ -71,8 +71,8 @@ def _train(samples: list[bytes], size: int) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: str = "text", label: str = "quality", rows_per_class: int = 1500, blocks_per_text: int = 8, dictionary_bytes: int = 112640, seed: int = 3) -> Model:
     """Learn from the labelled texts whose ``doc_id`` in ``labels`` the condition ``learn`` admits.
 
-    Documented bounds: about ``rows_per_class`` texts of each class are learned from, chosen by a seeded hash of
-    the id, or all if there are fewer. Half of them build the dictionaries, from ``blocks_per_text`` blocks at
+    Documented bounds: ``rows_per_class`` texts of each class are learned from, those of the smallest seeded hashes of
+    their ids, or all if there are fewer; of an id that has several texts that of the smallest hash. Half of them build the dictionaries, from ``blocks_per_text`` blocks at
     most of each, spread evenly over the whole text; the other half, compressed whole, fits the calibration (a
     logistic curve over the size difference, the compressed share and the length). Null labels, null texts and
     labels without document are left out; a repeated label counts once.
@@ -84,10 +84,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: s
     constant = Model(None, np.zeros(9), np.ones(9), np.zeros(10), rate)
     if len(counts) < 2:
         return constant
-    share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, rows_per_class / n))])
-    dice = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    chosen = marked.where(dice / float(1 << 30) < share[F.col("y")]).select("doc_id", "y", (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)) == 0).alias("builds"))
-    texts = docs.select("doc_id", F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # of bounded size
+    dice = F.xxhash64(F.lit(seed), "doc_id")
+    few = [marked.where(F.col("y") == y).orderBy(dice, "doc_id").limit(rows_per_class) for y in sorted(counts)]
+    chosen = few[0].unionByName(few[1]).select("doc_id", "y", (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)) == 0).alias("builds"))
+    texts = docs.select("doc_id", F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # rows_per_class ids of each class at most
+    # Of an id's several texts one counts, so that as many rows as ids are learned from.
+    texts = texts.groupBy("doc_id", "y", "builds").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x")).select("doc_id", "y", "builds", F.col("x.t").alias("t"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,11 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: s
                 data = t.encode("utf-8", "surrogatepass")
                 starts = range(0, max(1, len(data)), BLOCK)
                 picked = {starts[k * len(starts) // blocks_per_text] for k in range(blocks_per_text)}
-                rows += [(y, data[i : i + BLOCK]) for i in sorted(picked)]
-            yield pd.DataFrame(rows, columns=["y", "block"])
+                rows.append((y, [data[i : i + BLOCK] for i in sorted(picked) if data]))
+            yield pd.DataFrame(rows, columns=["y", "blocks"])
 
-    samples = texts.where("builds").select("y", "t").mapInPandas(cut, "y int, block binary").where("length(block) > 0").collect()
-    of = [sorted(bytes(r["block"]) for r in samples if r["y"] == y) for y in (0, 1)]
+    samples = texts.where("builds").select("y", "t").mapInPandas(cut, "y int, blocks array<binary>").collect()
+    of = [sorted(bytes(x) for r in samples if r["y"] == y for x in r["blocks"]) for y in (0, 1)]
     if not all(of):
         return constant
     rng = np.random.default_rng(seed)

@@ -132,13 +132,14 @@ def _parse(data: bytes) -> Iterator[dict]:
         if response and hashlib.sha1(body).hexdigest() != digest:
             raise ValueError(f"the payload at byte {at} does not match its digest")
         number = lambda k: int(fields[k]) if k in fields else None
-        yield {"page_id": number("X-Page-Id"), "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id"), "payload_digest": digest, "payload_bytes": size if response else None, "payload_sha256": hashlib.sha256(body).hexdigest() if response else None, "payload": body.decode("utf-8", "replace") if response else None}
+        yield {"page_id": number("X-Page-Id"), "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id"), "payload_digest": digest, "payload_bytes": size if response else number("X-Payload-Length"), "payload_sha256": hashlib.sha256(body).hexdigest() if response else None, "payload": body.decode("utf-8", "replace") if response else None}
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """The records of the archive files under ``path``, parsed by their ``Content-Length`` and checked against their digests.
 
-    A revisit has null ``payload_bytes``, ``payload_sha256`` and ``payload``: :func:`resolve` finds them.
+    A revisit has null ``payload_sha256`` and ``payload``; its ``payload_bytes`` are those that its own header states.
+    :func:`lost_revisits` finds revisits whose response isn't there.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,10 +168,18 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 
 def resolve(recs: DataFrame) -> DataFrame:
-    """Give each revisit the payload facts of the response it refers to; both carry the same payload digest."""
-    made = recs.where("record_type = 'response' AND page_id IS NOT NULL").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("of_response")).distinct()
-    got = recs.join(made, ["refers_to", "payload_digest"], "left")
-    return got.select("page_id", F.coalesce("payload_bytes", "of_response").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    """Each record's payload facts. A revisit carries those of its response in its own header, so no record meets another."""
+    return recs.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def lost_revisits(recs: DataFrame) -> DataFrame:
+    """Revisits without a response of their ``refers_to``, digest and length: none in a whole archive.
+
+    Revisits of one response are counted before they are joined, so that a very common payload is one row.
+    """
+    keys = ["refers_to", "payload_digest", "payload_bytes"]
+    responses = recs.where("record_type = 'response' AND page_id IS NOT NULL").select(F.col("page_id").alias("refers_to"), *keys[1:]).distinct()
+    return recs.where("record_type = 'revisit'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(responses, keys, "left_anti")
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> str:

@@ -1,6 +1,7 @@
 """Each operator over odd rows: nulls, empty and very long texts, ties, repeated rows, no rows, clashing columns; and against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from regimes.llm import bwt, components, decontaminate, fm_index, language_id, mixing, near_dup, quality, repeats, sharding, shingles, syncmers, url_filter, warc
@@ -120,6 +122,32 @@ def test_quality(spark, odd, none):
     assert quality.fit(none, labels.limit(0)).rate == 0.5
 
 
+def test_quality_of_repeated_ids_and_by_plain_python(spark, monkeypatch):
+    good, bad = [(i, prose(50), 1) for i in range(60)], [(1000 + i, " ".join(w + "###" for w in prose(50).split()), 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in good + bad] + [(7, f"again {n} " + prose(20)) for n in range(3000)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, q) for i, _, q in good + bad], "doc_id long, quality int")
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(rows := collect(self)) or rows)
+    model = quality.fit(docs, labels, rows_per_class=40)
+    monkeypatch.undo()
+    assert sum(len(r) for r in seen) <= 2 * 40 + 2  # and two rows of counts
+    texts = ["", None, "word", good[0][1], bad[0][1] * 30]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(quality.score(model, F.col("t"))).collect()]
+    for t, s in zip(texts, got):
+        data = (t or "").encode()
+        sizes = []
+        for d in model.dictionaries:
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(data[i : i + quality.BLOCK])) for i in range(0, len(data), quality.BLOCK)))
+        b, g = sizes
+        x = [(b - g) / max(1, b + g), math.log(max((b + g) / max(2 * len(data), 1), 1e-3)), math.log1p(len(data))]
+        x += [x[i] * x[j] for i in range(3) for j in range(i, 3)]
+        z = model.weights[0] + sum(w * min(4, max(-4, (v - c) / k)) for w, v, c, k in zip(model.weights[1:], x, model.centre, model.scale))
+        assert s == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-6)
+
+
 def test_held_out(spark):
     ids = [0, 1, 17, 123456, None]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select(language_id.held_out(F.col("doc_id"))).collect()]
@@ -174,6 +202,11 @@ def test_warc_round_trip(spark):
     payloads = spark.read.parquet(path.rsplit("/", 1)[0] + "/payloads")
     assert payloads.count() == len({h or "" for _, _, h in rows})
     assert warc.resolve(warc.read_warc(spark, warc.archive(pages.limit(0)))).count() == 0
+    whole = warc.read_warc(spark, path)
+    assert warc.lost_revisits(whole).count() == 0
+    revisited = [r.refers_to for r in got if r.record_type == "revisit"]
+    short = whole.where(~((F.col("record_type") == "response") & (F.col("page_id") == revisited[0])))
+    assert [(r.refers_to, r.n) for r in warc.lost_revisits(short).collect()] == [(revisited[0], revisited.count(revisited[0]))]
 
 
 def test_warc_altered_payload_stops(spark):
