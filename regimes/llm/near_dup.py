@@ -18,7 +18,7 @@ from .shingles import shingle_sets, signatures
 
 #: Minima in a band, and bands: two sets of similarity 0.75 meet in no band with a chance of 3 in ten million.
 ROWS, BANDS = 4, 40
-#: Weight that one unit of comparison holds at most; larger groups are compared by bucket, and larger buckets in tiles.
+#: Weight that one unit of comparison holds at most; larger groups are compared by bucket or in tiles of two blocks.
 #: A class weighs as many as it has shingles, and ``LIGHT`` at least: that bounds a unit's pairs, too.
 UNIT, LIGHT = 1 << 20, 256
 #: Standard deviations below the asked similarity at which a signature's estimate still leads to full comparison.
@@ -46,27 +46,34 @@ def profiles(docs: DataFrame, k: int, text: str = "text", doc_id: str = "doc_id"
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """``unit, cid`` for the classes that meet others in some band: units are what is compared, of bounded size.
+    """``unit, cid, side`` for the classes that meet others in some band: units are what is compared, of bounded size.
 
     All classes of a band's bucket are tied to the smallest, which needs no list of the bucket. What is tied
-    together is one unit, if it isn't too large; else each bucket of it is, and buckets that are too large
-    themselves are cut into blocks of which every pair is a unit.
+    together is one unit, if it isn't too large. Else its buckets are the units; but where these hold more pairs than
+    the group itself does, since many pairs meet in many buckets, the group is compared as one, each pair once. What is
+    still too large is cut into blocks: a block is a unit, and so are each two blocks, whose ``side`` tells them apart
+    and of which only pairs across are compared.
     """
-    keyed = classes.select("cid", F.greatest("n", F.lit(LIGHT)).alias("n"), F.posexplode("bands").alias("band", "key")).select("cid", "n", F.xxhash64("band", "key").alias("bucket"))
+    weight = F.greatest("n", F.lit(LIGHT)).cast("double")
+    keyed = classes.select("cid", weight.alias("n"), F.posexplode("bands").alias("band", "key")).select("cid", "n", F.xxhash64("band", "key").alias("bucket"))
     met = keyed.groupBy("bucket").agg(F.min("cid").alias("centre"), F.max("cid").alias("last"), F.sum("n").alias("total")).where("centre <> last")
     met = written(keyed.join(met, "bucket").select("bucket", "cid", "n", "centre", "total"), "met")
     tied = components(met.select(F.col("centre").alias("a"), F.col("cid").alias("b")))
-    group = tied.join(met.select(F.col("cid").alias("node"), "n").distinct(), "node")
-    sizes = group.groupBy("component").agg(F.sum("n").alias("size"))
-    group = group.join(sizes, "component").select(F.col("node").alias("cid"), "component", "size", "n")
+    # Weight times that of its buckets, summed over a group's members, is the weight of all pairs in its buckets.
+    members = met.groupBy(F.col("cid").alias("node")).agg(F.first("n").alias("n"), F.sum(F.col("n") * F.col("total")).alias("pairs"))
+    group = tied.join(members, "node")
+    sizes = group.groupBy("component").agg(F.sum("n").alias("size"), F.sum("pairs").alias("pairs"))
+    group = group.drop("pairs").join(sizes, "component").select(F.col("node").alias("cid"), "component", "size", "n", (F.col("pairs") > F.col("size") * F.col("size")).alias("dense"))
     group = written(group, "groups")
-    whole = group.where(F.col("size") <= UNIT).select(F.xxhash64(F.lit("group"), "component").alias("unit"), "cid")
-    large = met.join(group.where(F.col("size") > UNIT).select("cid"), "cid")
-    buckets = large.where(F.col("total") <= UNIT).select(F.xxhash64(F.lit("bucket"), "bucket").alias("unit"), "cid")
-    tiles = large.where(F.col("total") > UNIT).withColumn("of", F.ceil(F.col("total") / F.lit(UNIT // 2)).cast("int"))
-    tiles = tiles.withColumn("mine", F.pmod(F.xxhash64(F.lit(23), "cid"), F.col("of")).cast("int"))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    tiles = tiles.select(F.xxhash64(F.lit("tile"), "bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "cid")
+    whole = group.where(F.col("size") <= UNIT).select(F.xxhash64(F.lit("group"), "component").alias("unit"), "cid", F.lit(0).alias("side"))
+    large = met.join(group.where((F.col("size") > UNIT) & ~F.col("dense")).select("cid"), "cid")
+    buckets = large.where(F.col("total") <= UNIT).select(F.xxhash64(F.lit("bucket"), "bucket").alias("unit"), "cid", F.lit(0).alias("side"))
+    dense = group.where((F.col("size") > UNIT) & F.col("dense")).select(F.xxhash64(F.lit("dense"), "component").alias("of"), F.col("size").alias("total"), "cid")
+    cut = large.where(F.col("total") > UNIT).select(F.xxhash64(F.lit("cut"), "bucket").alias("of"), "total", "cid").unionByName(dense)
+    cut = cut.withColumn("blocks", F.ceil(F.col("total") / F.lit(UNIT // 2)).cast("int"))
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64(F.lit(23), "cid"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = cut.select(F.xxhash64(F.lit("tile"), "of", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "cid", (F.col("mine") > F.col("other")).cast("int").alias("side"))
     return whole.unionByName(buckets).unionByName(tiles)
 
 
@@ -86,13 +93,16 @@ def _by_signature(similarity: float):
     least = similarity - SLACK * (similarity * (1 - similarity) / (ROWS * BANDS)) ** 0.5
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, cids, parts = [], [], []
+        units, cids, sides, parts = [], [], [], []
         for g in groups(batches, "unit"):
+            g = g.sort_values("side", kind="stable")
             sig = np.stack(g["bands"].to_numpy()).view(np.uint16)
-            cid = g["cid"].to_numpy()
-            sets, m = _Sets(len(g)), len(g)
-            for i in range(m - 1):
-                rest = i + 1 + np.flatnonzero(sets.of[i + 1 :] != sets.of[i])
+            cid, side = g["cid"].to_numpy(), g["side"].to_numpy()
+            sets, m, first = _Sets(len(g)), len(g), int((side == 0).sum())
+            across = first < m
+            for i in range(first if across else m - 1):
+                start = first if across else i + 1
+                rest = start + np.flatnonzero(sets.of[start:] != sets.of[i])
                 near = rest[(sig[rest] == sig[i]).mean(axis=1) >= least] if len(rest) else rest
                 if len(near):
                     sets.join(i, near)
@@ -100,12 +110,13 @@ def _by_signature(similarity: float):
             kept = np.isin(sets.of, label[count > 1])
             units += [g["unit"].iloc[0]] * int(kept.sum())
             cids += cid[kept].tolist()
+            sides += side[kept].tolist()
             parts += cid[sets.of[kept]].tolist()
             if len(cids) > 20000:
-                yield pd.DataFrame({"unit": units, "part": parts, "cid": cids})
-                units, cids, parts = [], [], []
+                yield pd.DataFrame({"unit": units, "part": parts, "cid": cids, "side": sides})
+                units, cids, sides, parts = [], [], [], []
         if cids:
-            yield pd.DataFrame({"unit": units, "part": parts, "cid": cids})
+            yield pd.DataFrame({"unit": units, "part": parts, "cid": cids, "side": sides})
 
     return split
 
@@ -118,24 +129,29 @@ def _by_sets(k: int, per_cent: int):
         for g in groups(batches, "unit"):
             texts, cid = list(g["t"]), g["cid"].to_numpy()
             parts = [s for a, b in blocks(texts) for s in shingle_sets(texts[a:b], k)]
-            order = np.argsort([len(s) for s in parts], kind="stable")
+            side = g["side"].to_numpy()
+            order = np.lexsort(([len(s) for s in parts], side))
             sizes = np.array([len(parts[i]) for i in order])
+            first = int((side == 0).sum())
+            across = first < len(order)
             flat = np.unique(np.concatenate([parts[i] for i in order]), return_inverse=True)[1]
             starts = np.concatenate([[0], np.cumsum(sizes)])
             mine, sets = np.zeros(flat.max() + 1, bool), _Sets(len(order))
-            for i in range(len(order) - 1):
-                # Sets come by size: beyond this one no larger set can be near.
-                end = np.searchsorted(sizes, sizes[i] * 100 // per_cent, side="right")
-                rest = i + 1 + np.flatnonzero(sets.of[i + 1 : end] != sets.of[i])
+            for i in range(first if across else len(order) - 1):
+                # Sets come by size, those of the other side too: smaller and larger ones than these can't be near.
+                start = first + np.searchsorted(sizes[first:], -(-per_cent * sizes[i] // 100)) if across else i + 1
+                others = first if across else 0
+                end = others + np.searchsorted(sizes[others:], sizes[i] * 100 // per_cent, side="right")
+                rest = start + np.flatnonzero(sets.of[start:end] != sets.of[i])
                 if not len(rest):
                     continue
                 own = flat[starts[i] : starts[i + 1]]
                 mine[own] = True
-                if len(rest) * 2 < end - i:
+                if len(rest) * 2 < end - start:
                     places = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in rest])
                     shared = np.add.reduceat(mine[flat[places]], np.concatenate([[0], np.cumsum(sizes[rest])[:-1]]), dtype=np.int64)
                 else:
-                    shared = np.add.reduceat(mine[flat[starts[i + 1] : starts[end]]], starts[i + 1 : end] - starts[i + 1], dtype=np.int64)[rest - i - 1]
+                    shared = np.add.reduceat(mine[flat[starts[start] : starts[end]]], starts[start:end] - starts[start], dtype=np.int64)[rest - start]
                 mine[own] = False
                 near = rest[100 * shared >= per_cent * (sizes[i] + sizes[rest] - shared)]
                 if len(near):
@@ -165,13 +181,13 @@ def grouped(docs: DataFrame, k: int = 5, per_cent: int = 75, text: str = "text",
     classes = written(classes.select("digest", F.coalesce("doc_id", "key").alias("cid"), "doc_id", "n", "bands"), "classes")
 
     units = _candidates(classes).distinct().join(classes.select("cid", "bands"), "cid")
-    dealt = units.repartition(n_out, "unit").sortWithinPartitions("unit").select("unit", "cid", "bands")
-    parts = dealt.mapInPandas(_by_signature(per_cent / 100), "unit long, part long, cid long")
-    parts = written(parts.select(F.xxhash64("unit", "part").alias("unit"), "cid").distinct(), "parts")
+    dealt = units.repartition(n_out, "unit").sortWithinPartitions("unit").select("unit", "cid", "side", "bands")
+    parts = dealt.mapInPandas(_by_signature(per_cent / 100), "unit long, part long, cid long, side int")
+    parts = written(parts.select(F.xxhash64("unit", "part").alias("unit"), "cid", "side").distinct(), "parts")
 
     # One document for each class that is left: that with its smallest id.
     texts = _keyed(docs, text, doc_id).select(F.col("key").alias("cid"), "t").join(parts.select("cid").distinct(), "cid", "left_semi")
-    ready = parts.join(texts, "cid").repartition(n_out, "unit").sortWithinPartitions("unit").select("unit", "cid", "t")
+    ready = parts.join(texts, "cid").repartition(n_out, "unit").sortWithinPartitions("unit").select("unit", "cid", "side", "t")
     links = written(ready.mapInPandas(_by_sets(k, per_cent), "a long, b long"), "links")
     tied = components(links)
     names = tied.join(classes.select(F.col("cid").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))

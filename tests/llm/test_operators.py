@@ -467,7 +467,7 @@ def brute_groups(rows, k=5):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("unit", [1 << 20, 300, 60])
+@pytest.mark.parametrize("unit", [1 << 20, 3000, 300, 60])
 def test_near_dup(spark, odd, none, unit, monkeypatch):
     monkeypatch.setattr(near_dup, "UNIT", unit)
     rows = [(r.doc_id, r.text) for r in odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
