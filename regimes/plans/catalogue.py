@@ -502,7 +502,7 @@ def scoreboard_tested(spark: SparkSession, d: str) -> DataFrame:
     return _tested_board(spark, d)[0].select("metric_id", "metric_label", "n_d", "n_r", "d_mean", "r_mean", "diff", "p", "q", "ci_low", "ci_high", "tier")
 
 
-@query("term_details", f"SELECT metric_id, term_id, party_abbrev, round(value, 4) AS value FROM ({FULL_SQL}) WHERE party_abbrev IN ('D', 'R') AND error = '' AND value IS NOT NULL")
+@query("term_details", f"SELECT metric_id, term_id, party_abbrev, CAST(printf('%.4f', value) AS DOUBLE) AS value FROM ({FULL_SQL}) WHERE party_abbrev IN ('D', 'R') AND error = '' AND value IS NOT NULL")
 def term_details(spark: SparkSession, d: str) -> DataFrame:
     nested = reports.term_details(term_table(spark, d, METRICS)).select("metric_id", F.explode("terms").alias("t"))
     w = inputs.windows(spark).select(F.col("wid").alias("term_id"), F.col("start").cast("string").alias("s"))
