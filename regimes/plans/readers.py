@@ -28,10 +28,13 @@ def _as_csv(df: DataFrame, name: str) -> str:
 
 
 def _as_json(df: DataFrame, number: str, column: str, wrap: str, name: str) -> str:
-    """Documents of some ``PER_DOCUMENT`` rows each: ``column`` (structs) as JSON arrays within the text ``wrap``."""
+    """Documents of some ``PER_DOCUMENT`` rows each, one in a line: ``column`` (structs) as JSON arrays within the text ``wrap``.
+
+    The number of files is that of Spark's tasks, whatever the number of documents.
+    """
     path = new_folder(df.sparkSession, name)
     docs = df.groupBy(F.expr(f"{number} div {PER_DOCUMENT}").alias("document")).agg(F.format_string(wrap, F.to_json(F.collect_list(column))).alias("value"))
-    docs.write.partitionBy("document").text(path)
+    docs.select("value").write.text(path)
     return path
 
 
@@ -58,7 +61,21 @@ def read_observations(spark: SparkSession, d: str) -> DataFrame:
     day = F.col("d").cast("string")
     o = F.struct(day.alias("date"), F.when(F.dayofmonth("d") % 7 == 0, ".").otherwise(F.col("v").cast("string")).alias("value"), F.lit("2001-01-01").alias("realtime_start"), F.when(F.dayofmonth("d") % 2 == 0, "2002-02-02").alias("realtime_end"))
     path = _as_json(_daily(spark, d).select(F.unix_date("d").alias("k"), o.alias("o")), "k", "o", '{"observations": %s}', "observations")
-    return series.read_observations_json(spark, path, "daily").select("d", "v", "rt_start", "rt_end")
+    return series.read_observations_json(spark, path, "daily", lines=True).select("d", "v", "rt_start", "rt_end")
+
+
+@query("read_observations_between", f"SELECT d, CAST(v AS DOUBLE) AS v FROM ({_DAILY}) WHERE d BETWEEN DATE '1995-03-01' AND DATE '1996-02-29'")
+def read_observations_between(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with times in their dates, read between two days."""
+    o = F.struct(F.concat(F.col("d").cast("string"), F.lit("T05:00:00")).alias("date"), F.col("v").cast("string").alias("value"))
+    path = _as_json(_daily(spark, d).select(F.unix_date("d").alias("k"), o.alias("o")), "k", "o", '{"observations": %s}', "observations")
+    return series.read_observations_json(spark, path, "daily", "1995-03-01", "1996-02-29", lines=True).select("d", "v")
+
+
+@query("read_graph_csv", f"SELECT d, CASE WHEN day(d) % 7 <> 0 THEN CAST(v AS DOUBLE) END AS v FROM ({_DAILY})")
+def read_graph_csv(spark: SparkSession, d: str) -> DataFrame:
+    t = _daily(spark, d).select(F.col("d").cast("string").alias("DATE"), F.when(F.dayofmonth("d") % 7 == 0, ".").otherwise(F.col("v").cast("string")).alias("ORDERS"))
+    return series.read_graph_csv(spark, _as_csv(t, "graph"), "daily", "ORDERS").select("d", "v")
 
 
 @query("read_factors", f"SELECT 'f.' || name AS series_key, d, x AS v FROM (SELECT date_trunc('month', d)::DATE AS d, CASE WHEN month(any_value(d)) % 4 <> 0 THEN CAST(sum(v) AS DOUBLE) END AS a, CAST(sum(n) AS DOUBLE) AS b FROM ({_DAILY}) GROUP BY 1) UNPIVOT INCLUDE NULLS (x FOR name IN (a, b))")
@@ -98,7 +115,7 @@ def read_legislators(spark: SparkSession, d: str) -> DataFrame:
     people = o.join(c, o.o_custkey == c.c_custkey).groupBy("o_custkey").agg(F.min("c_name").alias("name"), F.collect_list(term).alias("terms"))
     person = F.struct(F.struct(F.concat(F.lit("Q"), F.col("o_custkey").cast("string")).alias("wikidata")).alias("id"), F.struct(F.col("name").alias("official_full")).alias("name"), "terms")
     path = _as_json(people.select("o_custkey", person.alias("p")), "o_custkey", "p", "%s", "people")
-    return windows.read_legislators(spark, path).select("person", "president", "party", "label", "start", "end")
+    return windows.read_legislators(spark, path, lines=True).select("person", "president", "party", "label", "start", "end")
 
 
 @query("read_bindings", """SELECT 'Q' || o_custkey AS person, any_value(c_name) AS president, CASE WHEN bool_or(o_orderkey % 3 = 0) THEN 'D' WHEN bool_or(o_orderkey % 3 = 1) THEN 'R' ELSE 'Other' END AS label,
@@ -110,7 +127,7 @@ def read_bindings(spark: SparkSession, d: str) -> DataFrame:
     party = F.when(k % 3 == 0, "http://x/entity/Q29552").when(k % 3 == 1, "http://x/entity/Q29468").otherwise("http://x/entity/Q1")
     b = F.struct(value(F.concat(F.lit("http://x/entity/Q"), F.col("o_custkey").cast("string"))).alias("person"), value(F.col("c_name")).alias("personLabel"), value(party).alias("party"), value(day).alias("start"), value(F.date_add(day, 30)).alias("end"))
     rows = o.join(c, o.o_custkey == c.c_custkey).select("o_custkey", b.alias("b"))
-    return windows.read_bindings(spark, _as_json(rows, "o_custkey", "b", '{"results": {"bindings": %s}}', "bindings")).select("person", "president", "label", "start", "end")
+    return windows.read_bindings(spark, _as_json(rows, "o_custkey", "b", '{"results": {"bindings": %s}}', "bindings"), lines=True).select("person", "president", "label", "start", "end")
 
 
 # Keyed scans, order of ties, blocks, and checks of whole inputs.

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import csv
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import parse_date, parse_number
+from .documents import read_elements
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -57,18 +59,39 @@ def read_dated_csv(spark: SparkSession, path: str, key: str, date_col: str, valu
     return out
 
 
-def read_observations_json(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Observations documents (``{"observations": [{"date", "value", "realtime_start", "realtime_end"}]}``) as a long series with ``rt_start, rt_end``."""
-    doc = spark.read.option("recursiveFileLookup", "true").schema("observations array<struct<date string, value string, realtime_start string, realtime_end string>>").json(path, multiLine=True)
-    rows = doc.select(F.posexplode("observations").alias("pos", "o"))
-    return rows.select(F.lit(key).alias("series_key"), F.col("pos").cast("long").alias("pos"), parse_date(F.col("o.date")).alias("d"), parse_number(F.col("o.value")).alias("v"), parse_date(F.col("o.realtime_start")).alias("rt_start"), parse_date(F.col("o.realtime_end")).alias("rt_end"))
+def read_graph_csv(spark: SparkSession, path: str, key: str, series_id: str, api_params: dict | None = None) -> DataFrame:
+    """The published CSV file of one series, with columns ``DATE`` and the series' own name.
+
+    It is the series as published: one that is asked for with ``api_params`` (a frequency, a resampling) is refused, as
+    the file would hold other values.
+    """
+    if api_params:
+        raise ValueError(f"{key}: the published file can't answer parameters: {sorted(api_params)}")
+    missing = [c for c in ("DATE", series_id) if c not in _header(spark, path)]
+    if missing:
+        raise ValueError(f"missing CSV columns: {missing}")
+    return read_series(spark, path, key, "DATE", series_id)
+
+
+def read_observations_json(spark: SparkSession, path: str, key: str, start: str | None = None, end: str | None = None, lines: bool = False, **options) -> DataFrame:
+    """Observations documents (``{"observations": [{"date", "value", "realtime_start", "realtime_end"}]}``) as a long series with ``rt_start, rt_end``.
+
+    A file is one document, or has one in each line (``lines``). Both date limits are inclusive and reach the tasks that read.
+    """
+    names = ["date", "value", "realtime_start", "realtime_end"]
+    rows = read_elements(spark, path, "observations", {n: n for n in names}, lines, strip=True, **options)
+    if start:
+        rows = rows.where(F.col("date") >= start)
+    if end:
+        # Times of the last day follow it as texts.
+        rows = rows.where(F.col("date") < (date.fromisoformat(end) + timedelta(days=1)).isoformat())
+    return rows.select(F.lit(key).alias("series_key"), "pos", parse_date(F.col("date")).alias("d"), parse_number(F.col("value")).alias("v"), parse_date(F.col("realtime_start")).alias("rt_start"), parse_date(F.col("realtime_end")).alias("rt_end"))
 
 
-def read_series_metadata(spark: SparkSession, path: str) -> DataFrame:
+def read_series_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Metadata documents (``{"seriess": [{...}]}``): ``series_id, title, frequency, units, seasonal_adjustment``, one row for each series."""
-    names = {"id": "series_id", "title": "title", "frequency_short": "frequency", "units": "units", "seasonal_adjustment_short": "seasonal_adjustment"}
-    doc = spark.read.option("recursiveFileLookup", "true").schema(f"seriess array<struct<{', '.join(f'{n} string' for n in names)}>>").json(path, multiLine=True)
-    return doc.select(F.explode("seriess").alias("s")).select(*[F.trim(F.col(f"s.{a}")).alias(b) for a, b in names.items()])
+    names = {"series_id": "id", "title": "title", "frequency": "frequency_short", "units": "units", "seasonal_adjustment": "seasonal_adjustment_short"}
+    return read_elements(spark, path, "seriess", names, lines, strip=True).drop("pos")
 
 
 def read_factor_text(spark: SparkSession, path: str, key: str, names: list[str], missing: tuple[str, ...] = ("-99.99", "-999")) -> DataFrame:

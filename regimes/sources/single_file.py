@@ -22,7 +22,8 @@ class Written(WriterCommitMessage):
     rows: int
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the place in it."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -46,19 +47,19 @@ class SingleFile(DataSource):
 class SingleFileWriter(DataSourceArrowWriter):
     def __init__(self, path: str, header: str | None, overwrite: bool):
         self.path, self.header, self.run = path, header, uuid.uuid4().hex
-        store, place = _place(path)
-        if not overwrite and store.get_file_info(place).type != fs.FileType.NotFound:
+        store, at = place(path)
+        if not overwrite and store.get_file_info(at).type != fs.FileType.NotFound:
             raise FileExistsError(path)
 
     def _tries(self) -> tuple[fs.FileSystem, str, list[str]]:
-        store, place = _place(self.path)
-        folder, _, name = place.rpartition("/")
+        store, at = place(self.path)
+        folder, _, name = at.rpartition("/")
         found = store.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True))
-        return store, place, [f.path for f in found if f.base_name.startswith(f".{name}.{self.run}.")]
+        return store, at, [f.path for f in found if f.base_name.startswith(f".{name}.{self.run}.")]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, place = _place(self.path)
-        folder, _, name = place.rpartition("/")
+        store, at = place(self.path)
+        folder, _, name = at.rpartition("/")
         own, rows = f"{folder or '.'}/.{name}.{self.run}.{uuid.uuid4().hex}", 0
         with store.open_output_stream(own) as out:
             if self.header is not None:
@@ -69,12 +70,12 @@ class SingleFileWriter(DataSourceArrowWriter):
         return Written(own, rows)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, place, tries = self._tries()
+        store, at, tries = self._tries()
         made = [m for m in messages if isinstance(m, Written)]
         if len(made) != 1:
             self.abort(messages)
             raise ValueError(f"one task must write a single file, not {len(made)}")
-        store.move(made[0].path, place)
+        store.move(made[0].path, at)
         for p in tries:
             if p != made[0].path:
                 store.delete_file(p)

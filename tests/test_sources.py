@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regimes.operators import reports
-from regimes.sources import artefacts, registry, series, sinks, windows
+from regimes.sources import artefacts, documents, registry, series, sinks, windows
 from regimes.streaming.series import daily_series, read_events, run_once
 
 CSV = "Date,SP500,Dividend\n1956-12-01,46.67,1.0\n1957-01-01,45.43,1.0\n1957-02-01,43.47,1.0\n,1,1\n"
@@ -129,3 +129,48 @@ def test_stream_matches_batch(spark, tmp_path):
     want = {(r.series_key, r.d): (r.n, r.v) for r in daily_series(events).collect()}
     got = {(r.series_key, r.d): (r.n, r.v) for r in stream.collect()}
     assert last is not None and all(want[k] == v for k, v in got.items())
+
+
+def test_elements_of_documents(spark, tmp_path):
+    """Ranges of lines lose and repeat nothing, whatever their size; order is that of the files; small files share a task."""
+    docs = [{"a": {"b": [{"x": f"d{n}", "y": i, "z": {"k": None}} for i in range(n % 4)]}} for n in range(12)] + [{"a": None}, {}, {"a": {"b": {"x": "one"}}}, {"a": {"b": ["text"]}}]
+    text = "\n".join(json.dumps(x) for x in docs) + "\n\n"
+    for name in ("b.json", "a.json", "_SUCCESS", ".hidden"):
+        (tmp_path / name).write_text(text if name != ".hidden" else "{broken")
+    want = [(f"d{n}", str(i), '{"k": null}') for n in range(12) for i in range(n % 4)] + [("one", None, None), (None, None, None)]
+    fields = {"x": "x", "y": "y", "z": "z"}
+    for split in (37, 300, documents.SPLIT_BYTES):
+        got = documents.read_elements(spark, str(tmp_path), "a.b", fields, lines=True, split_bytes=split)
+        assert [tuple(r)[1:] for r in got.orderBy("pos").collect()] == want + want
+        assert split < documents.SPLIT_BYTES or got.rdd.getNumPartitions() == 1
+    got = documents.read_elements(spark, f"file://{tmp_path}", "a.b", fields, lines=True)
+    for cond in ("x = 'd7'", "x >= 'd3' AND y < '2'", "x IN ('d5', 'one')", "x LIKE 'd1%'", "y IS NOT NULL AND x <> 'd3'", "y IS NULL", "x = 'd7' OR y = '0'"):
+        assert got.where(cond).count() == spark.createDataFrame(want + want, "x string, y string, z string").where(cond).count(), cond
+    pushed = got.where("x >= 'd3'")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in pushed.split("BatchScan")[0] and "pos" in pushed
+    (tmp_path / "none").mkdir()
+    assert documents.read_elements(spark, str(tmp_path / "none"), "a", fields).count() == 0
+    (tmp_path / "none" / "c.json").write_text("﻿[\n{\"x\": \" y \"},\n{\"x\": 1.5}]")
+    assert [r.x for r in documents.read_elements(spark, str(tmp_path / "none"), "", {"x": "x"}, strip=True).orderBy("pos").collect()] == ["y", "1.5"]
+    (tmp_path / "none" / "d.json").write_text("{")
+    with pytest.raises(Exception, match="broken document at byte 0"):
+        documents.read_elements(spark, str(tmp_path / "none"), "", {"x": "x"}).count()
+    with pytest.raises(Exception, match="no-such"):
+        documents.read_elements(spark, str(tmp_path / "no-such"), "", {"x": "x"}).count()
+
+
+def test_observations_between(spark, tmp_path):
+    days = [{"date": f"2000-01-{n:02d}{'T23:00:00' if n % 2 else ''}", "value": str(n)} for n in range(1, 31)] + [{"date": " 2000-01-05 ", "value": "50"}, {"date": "", "value": "1"}, {"value": "2"}]
+    (tmp_path / "o.json").write_text(json.dumps({"observations": days}, indent=1))
+    got = series.read_observations_json(spark, str(tmp_path), "s", "2000-01-05", "2000-01-09")
+    assert rows(got) == [(date(2000, 1, n), float(n)) for n in range(5, 10)] + [(date(2000, 1, 5), 50.0)]
+
+
+def test_graph_csv(spark, tmp_path):
+    p = tmp_path / "g.csv"
+    p.write_text("DATE,GDP\n2000-01-01,1.5\n,2\n2000-04-01,.\n")
+    assert rows(series.read_graph_csv(spark, str(p), "s", "GDP")) == [(date(2000, 1, 1), 1.5), (date(2000, 4, 1), None)]
+    with pytest.raises(ValueError, match=r"can't answer parameters: \['frequency'\]"):
+        series.read_graph_csv(spark, str(p), "s", "GDP", {"frequency": "m"})
+    with pytest.raises(ValueError, match=r"missing CSV columns: \['CPI'\]"):
+        series.read_graph_csv(spark, str(p), "s", "CPI")
