@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inference, quality, reports
 from ..schema import TERMS
-from ..sources import series, sinks, windows
+from ..sources import artefacts, series, sinks, windows
 from ..tables import new_folder
 from .catalogue import BH_SQL, DAYS_SQL, _bh, _days, _read, query
 
@@ -130,6 +130,33 @@ def read_bindings(spark: SparkSession, d: str) -> DataFrame:
     return windows.read_bindings(spark, _as_json(rows, "o_custkey", "b", '{"results": {"bindings": %s}}', "bindings"), lines=True).select("person", "president", "label", "start", "end")
 
 
+@query("read_metadata", "SELECT CAST(p_partkey AS VARCHAR) AS series_id, trim(p_name) AS title, p_brand AS frequency, p_type AS units, CASE WHEN p_size % 2 = 0 THEN 'SA' END AS seasonal_adjustment FROM part")
+def read_metadata(spark: SparkSession, d: str) -> DataFrame:
+    text = {"id": F.col("p_partkey").cast("string"), "title": F.concat(F.lit("  "), "p_name", F.lit(" ")), "frequency_short": F.col("p_brand"), "units": F.col("p_type"), "seasonal_adjustment_short": F.when(F.col("p_size") % 2 == 0, "SA")}
+    p = _read(spark, d, "part").select("p_partkey", F.struct(*[v.alias(k) for k, v in text.items()]).alias("s"))
+    return series.read_series_metadata(spark, _as_json(p, "p_partkey", "s", '{"seriess": %s}', "metadata"), lines=True)
+
+
+@query("csv_single_file", f"SELECT 'd,mean,n' AS line UNION ALL SELECT d || ',' || printf('%.6f', CAST(v AS DOUBLE) / n) || ',' || n FROM ({_DAILY})")
+def csv_single_file(spark: SparkSession, d: str) -> DataFrame:
+    """Daily means written as one ordered file with six decimals, and the file's lines."""
+    path = f"{new_folder(spark, 'csv')}/daily.csv"
+    sinks.write_csv_file(_daily(spark, d).select("d", (F.col("v").cast("double") / F.col("n")).alias("mean"), "n"), path, ["d"])
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+_STORED_SQL = "SELECT '/raw/' || (user_id % 50) AS folder, lpad(CAST(event_id * 7919 % 99991 AS VARCHAR), 8, '0') || '__sha256_' || md5(CAST(event_id AS VARCHAR)) || CASE WHEN event_id % 3 = 0 THEN '.csv.meta.json' ELSE '.csv' END AS name FROM events"
+
+
+@query("latest_artefacts", f"SELECT folder, folder || '/' || max(name) AS path FROM ({_STORED_SQL}) WHERE name NOT LIKE '%.meta.json' GROUP BY folder")
+def latest_artefacts(spark: SparkSession, d: str) -> DataFrame:
+    """Stored documents named by stamp and digest, with side files: the last of each folder."""
+    key = F.col("event_id")
+    stamp = F.lpad((key * 7919 % 99991).cast("string"), 8, "0")
+    name = F.concat(stamp, F.lit("__sha256_"), F.md5(key.cast("string").cast("binary")), F.when(key % 3 == 0, ".csv.meta.json").otherwise(".csv"))
+    return artefacts.latest(_read(spark, d, "events").select(F.concat_ws("/", F.lit("/raw"), (F.col("user_id") % 50).cast("string"), name).alias("path")))
+
+
 # Keyed scans, order of ties, blocks, and checks of whole inputs.
 
 

@@ -61,6 +61,7 @@ class SingleFileWriter(DataSourceArrowWriter):
         store, at = place(self.path)
         folder, _, name = at.rpartition("/")
         own, rows = f"{folder or '.'}/.{name}.{self.run}.{uuid.uuid4().hex}", 0
+        store.create_dir(folder or ".", recursive=True)
         with store.open_output_stream(own) as out:
             if self.header is not None:
                 out.write(f"{self.header}\n".encode())
