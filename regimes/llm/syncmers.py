@@ -9,8 +9,6 @@ from .common import partitions
 
 #: Bytes of a k-mer and of its inner substrings; a k-mer has 8 of these.
 K, S = 10, 3
-#: Anchors of a fingerprint at most: all that the text has.
-SKETCH = None
 #: Ranges of ids for each shuffle partition: with several, partitions come out about even.
 RANGES = 4
 #: An anchor is one long: the upper 34 bits of its hash, and its place (from 1) in the lower 30.

@@ -397,7 +397,7 @@ def sketch(b):
         at = [(i, b[i : i + 2] + b"\x02") for i in range(max(n - 1, 1))] if n else []
     for i, gram in at:
         found.setdefault(h(gram) >> syncmers.BITS, i + 1)
-    return [(x << syncmers.BITS) | found[x] for x in sorted(found)][: syncmers.SKETCH]
+    return [(x << syncmers.BITS) | found[x] for x in sorted(found)]
 
 
 def test_syncmers(spark, odd, none):
@@ -407,7 +407,7 @@ def test_syncmers(spark, odd, none):
 
     def like(a, b):
         a, b = ({v >> syncmers.BITS for v in s} for s in (a, b))
-        u = sorted(a | b)[: syncmers.SKETCH]
+        u = sorted(a | b)
         n = sum(x in a and x in b for x in u)
         return 1.0 if not u else round(2 * n / (len(u) + n), 6)
 
