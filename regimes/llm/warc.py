@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, partitions
+from ..sources.single_file import place
+from .common import new_folder, partitions, small_batches
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
-#: Bytes of records in one archive file, about: a file is read as a whole by one task.
+#: Bytes of records that one task writes, and bytes of an archive file at which the next one begins, about.
 FILE_BYTES = 32 << 20
+#: Bytes of a file that are decompressed at a time, and bytes of payloads in one batch of parsed records, about.
+CHUNK, BATCH_BYTES = 1 << 16, 8 << 20
+#: zlib's way of asking for the gzip format.
+GZIP = 31
+INDEX = "page_id long, file string, offset long, length long"
 #: Responses with one payload that are rebuilt in one place; a payload that has more is laid out several times.
 SPREAD = 64
 #: Places in which the pages of one payload learn their leader.
@@ -86,29 +95,89 @@ def build(pages: DataFrame, min_revisit_bytes: int = 1000, date: str = "2024-01-
 
 
 def records(payloads: DataFrame, headers: DataFrame, parts: int | None = None) -> DataFrame:
-    """The original records, rebuilt by joining headers with payloads: one ``record`` string each.
+    """The original records, rebuilt by joining headers with payloads: ``page_id`` and a binary ``record`` each.
 
     Only responses need their payload; revisits take no part in the join. Each payload is verified against its
     address on the way; a record whose payload is missing or altered stops the job. ``parts``: in how many parts the
     responses are rebuilt.
     """
     p = payloads.select("sha256", F.when(F.sha2(F.col("payload").cast("binary"), 256) == F.col("sha256"), F.col("payload")).alias("payload"), F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("place"))
-    response = headers.where("record_type = 'response'").select("sha256", "place", "header")
+    response = headers.where("record_type = 'response'").select("page_id", "sha256", "place", "header")
     if parts:
         p, response = p.repartition(parts, "sha256", "place"), response.repartition(parts, "sha256", "place")
     body = F.coalesce("payload", F.raise_error(F.concat(F.lit("no such payload: "), F.col("sha256"))))
-    whole = response.join(p, ["sha256", "place"], "left").select(F.concat("header", F.lit(CRLF), body).alias("record"))
-    return whole.unionByName(headers.where("record_type = 'revisit'").select(F.concat("header", F.lit(CRLF)).alias("record")))
+    whole = response.join(p, ["sha256", "place"], "left").select("page_id", F.concat("header", F.lit(CRLF), body).cast("binary").alias("record"))
+    return whole.unionByName(headers.where("record_type = 'revisit'").select("page_id", F.concat("header", F.lit(CRLF)).cast("binary").alias("record")))
+
+
+def _written(path: str, file_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Write a task's records into files of its own, and hand on where each record is."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = place(path)
+        store.create_dir(top, recursive=True)
+        out = None
+        try:
+            for batch in batches:
+                files, offsets, lengths = [], [], []
+                for record in batch.column("record"):
+                    if out is None:
+                        name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{top}/{name}", compression=None)
+                    z = zlib.compressobj(wbits=GZIP)
+                    member = b"".join((z.compress(record.as_buffer()), z.compress(2 * CRLF.encode()), z.flush()))
+                    out.write(member)
+                    files.append(name)
+                    offsets.append(at)
+                    lengths.append(len(member))
+                    at += len(member)
+                    if at >= file_bytes:
+                        out.close()
+                        out = None
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(files, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["page_id", "file", "offset", "length"])
+        finally:
+            if out is not None:
+                out.close()
+
+    return write
+
+
+def write_warc(recs: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> str:
+    """Write records as archive files ``part-*.warc.gz``, each record a gzip member of its own, followed by two line breaks, as the format has it.
+
+    Tasks write files of their own, with names never used before, and hand on rows ``page_id, file, offset, length``,
+    which Spark writes as the table ``index`` beside the files. Spark commits those of one try of each task, and the
+    index alone says which files are the archive's: a lost try leaves a file that nothing names, which ``unnamed``
+    finds. The folder must be one that Arrow's file systems open.
+    """
+    small_batches(recs.sparkSession)
+    recs.select("page_id", "record").mapInArrow(_written(path, file_bytes), INDEX).write.option("compression", "zstd").parquet(f"{path}/index")
+    return path
 
 
-def write_warc(recs: DataFrame, path: str, file_records: int = 50_000) -> str:
-    """Write records as gzipped archive files: each record is followed by two line breaks, as the format has it.
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """Where each record of an archive is: ``page_id, file, offset, length``."""
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
 
-    A part of ``recs`` is a file; of more than ``file_records`` records, several. A file is one gzip stream, as
-    Spark's writer makes it, so it can be read from its start only.
-    """
-    recs.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
-    return path
+
+def unnamed(spark: SparkSession, path: str) -> DataFrame:
+    """``file``: those beside the index that it doesn't name, left by lost tries of tasks."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.substring_index("path", "/", -1).alias("file"))
+    return found.join(index(spark, path).select("file").distinct(), "file", "left_anti")
+
+
+def _members(data: Iterator[bytes]) -> Iterator[bytes]:
+    """The gzip members of a file, decompressed one at a time."""
+    z, got = zlib.decompressobj(GZIP), []
+    for chunk in data:
+        while chunk:
+            got.append(z.decompress(chunk))
+            chunk = z.unused_data
+            if z.eof:
+                yield b"".join(got)
+                z, got = zlib.decompressobj(GZIP), []
+    if got:
+        raise ValueError("a file is cut short within a record")
 
 
 def _parse(data: bytes) -> Iterator[dict]:
@@ -135,36 +204,77 @@ def _parse(data: bytes) -> Iterator[dict]:
         yield {"page_id": number("X-Page-Id"), "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id"), "payload_digest": digest, "payload_bytes": size if response else number("X-Payload-Length"), "payload_sha256": hashlib.sha256(body).hexdigest() if response else None, "payload": body.decode("utf-8", "replace") if response else None}
 
 
+def _frames(members: Iterator[bytes], payload: bool) -> Iterator[pd.DataFrame]:
+    """The parsed records of gzip members, in frames of bounded size."""
+
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(rows)
+        for c in ("page_id", "refers_to", "payload_bytes"):
+            out[c] = out[c].astype("Int64")
+        return out
+
+    rows, size = [], 0
+    for member in members:
+        for x in _parse(member):
+            if not payload:
+                x["payload"] = None
+            rows.append(x)
+            size += len(x["payload"] or "") + 200
+        if size > BATCH_BYTES:
+            yield frame(rows)
+            rows, size = [], 0
+    if rows:
+        yield frame(rows)
+
+
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records of the archive files under ``path``, parsed by their ``Content-Length`` and checked against their digests.
+    """The records of an archive that ``write_warc`` made, parsed by their ``Content-Length`` and checked against their digests.
 
-    A revisit has null ``payload_sha256`` and ``payload``; its ``payload_bytes`` are those that its own header states.
-    :func:`lost_revisits` finds revisits whose response isn't there.
+    The files that the index names are read member by member, so a task holds one record of a file at a time. A file
+    of another length than the index says stops the job. A revisit has null ``payload_sha256`` and ``payload``; its
+    ``payload_bytes`` are those that its own header states. :func:`lost_revisits` finds revisits whose response isn't
+    there.
     """
+    files = index(spark, path).groupBy("file").agg(F.sum("length").alias("size"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = place(path)
+
+        def chunks(name: str, size: int) -> Iterator[bytes]:
+            with store.open_input_stream(f"{top}/{name}", compression=None) as f:
+                while data := f.read(CHUNK):
+                    size -= len(data)
+                    yield data
+            if size:
+                raise ValueError(f"{name} is cut short or longer: {size} bytes from what its index says")
+
         for batch in batches:
-            for data in batch["content"]:
-                rows, size = [], 0
-                for x in _parse(gzip.decompress(data)):
-                    if not payload:
-                        x["payload"] = None
-                    rows.append(x)
-                    size += len(x["payload"] or "") + 200
-                    if size > 8 << 20:
-                        yield _frame(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield _frame(rows)
-
-    def _frame(rows: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(rows)
-        for c in ("page_id", "refers_to", "payload_bytes"):
-            out[c] = out[c].astype("Int64")
-        return out
+            yield from _frames((m for name, size in zip(batch["file"], batch["size"]) for m in _members(chunks(name, size))), payload)
+
+    # Files are of about one size; a number of parts that is given isn't lessened for their few names.
+    return files.repartition(partitions(spark)).mapInPandas(parse, PARSED)
+
+
+def lookup(spark: SparkSession, path: str, wanted: DataFrame, payload: bool = True) -> DataFrame:
+    """The records of the ``page_id`` in ``wanted``, of which only their own bytes are read, by their places in the index.
+
+    Repeated and unknown ids do no harm; a null id finds nothing. Columns are those of :func:`read_warc`.
+    """
+    found = index(spark, path).join(wanted.select(F.col("page_id").cast("long").alias("page_id")).distinct(), "page_id")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = place(path)
+
+        def pieces(batch: pd.DataFrame) -> Iterator[bytes]:
+            for name, places in batch.groupby("file", sort=False):
+                with store.open_input_file(f"{top}/{name}") as f:
+                    for offset, length in zip(places["offset"].tolist(), places["length"].tolist()):
+                        yield f.read_at(length, offset)
+
+        for batch in batches:
+            yield from _frames((m for piece in pieces(batch) for m in _members(iter([piece]))), payload)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(parse, PARSED)
+    return found.repartition(partitions(spark), "file").sortWithinPartitions("file", "offset").mapInPandas(read, PARSED)
 
 
 def resolve(recs: DataFrame) -> DataFrame:
@@ -188,7 +298,7 @@ def archive(pages: DataFrame, path: str | None = None, **options) -> str:
     top = path or new_folder(spark, "warc")
     payloads, headers = build(pages, **options)
     payloads.write.option("compression", "zstd").parquet(f"{top}/payloads")
-    headers.write.parquet(f"{top}/headers")
+    headers.write.option("compression", "zstd").parquet(f"{top}/headers")
     payloads = spark.read.parquet(f"{top}/payloads")
     size = payloads.agg(F.coalesce(F.sum(F.col("n") * F.col("spread")), F.lit(0))).first()[0]
     return write_warc(records(payloads, spark.read.parquet(f"{top}/headers"), max(partitions(spark), -(-size // FILE_BYTES))), f"{top}/warc")

@@ -1,9 +1,12 @@
 """Each operator over odd rows: nulls, empty and very long texts, ties, repeated rows, no rows, clashing columns; and against brute force."""
 
+import gzip
 import hashlib
 import math
+import os
 import random
 import re
+import shutil
 import zlib
 from collections import Counter
 
@@ -14,6 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from regimes.llm import bwt, components, decontaminate, fm_index, language_id, mixing, near_dup, quality, repeats, sharding, shingles, syncmers, url_filter, warc
+from regimes.llm.common import new_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use themselves.
@@ -207,6 +211,31 @@ def test_warc_round_trip(spark):
     revisited = [r.refers_to for r in got if r.record_type == "revisit"]
     short = whole.where(~((F.col("record_type") == "response") & (F.col("page_id") == revisited[0])))
     assert [(r.refers_to, r.n) for r in warc.lost_revisits(short).collect()] == [(revisited[0], revisited.count(revisited[0]))]
+    # Each record can be read alone, by its place.
+    wanted = spark.createDataFrame([(5,), (5,), (2,), (10,), (777,), (None,)], "page_id int")
+    ones = warc.lookup(spark, path, wanted).collect()
+    assert Counter(r.page_id for r in ones) == {5: 2, 2: 1, 10: 1}
+    assert {r.page_id: r.payload for r in ones} == {5: big, 2: None, 10: "WARC/1.1\r\n\r\n\r\n\r\nWARC/1.1"}
+    for r in warc.index(spark, path).where("page_id IN (3, 12)").collect():
+        with open(f"{path.removeprefix('file://')}/{r.file}", "rb") as f:
+            f.seek(r.offset)
+            record = gzip.decompress(f.read(r.length))  # one whole member
+        assert record.startswith(b"WARC/1.1\r\n") and f"X-Page-Id: {r.page_id}\r\n".encode() in record and record.endswith(b"\r\n\r\n")
+
+
+def test_warc_files_roll_over_and_lost_tries_are_not_read(spark):
+    payloads, headers = warc.build(spark.range(50).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html")))
+    path = warc.write_warc(warc.records(payloads, headers), f"{new_folder(spark, 'warc')}/small", file_bytes=1000)
+    places = warc.index(spark, path).collect()
+    assert len(places) == 50 and len({r.file for r in places}) > 10
+    top = path.removeprefix("file://")
+    shutil.copy(f"{top}/{places[0].file}", f"{top}/part-lost.warc.gz")
+    assert [r.file for r in warc.unnamed(spark, path).collect()] == ["part-lost.warc.gz"]
+    assert sorted(r.page_id for r in warc.read_warc(spark, path).collect()) == list(range(50))
+    with open(f"{top}/{places[0].file}", "r+b") as f:
+        f.truncate(os.path.getsize(f.name) - 5)
+    with pytest.raises(Exception, match="cut short"):
+        warc.read_warc(spark, path).collect()
 
 
 def test_warc_altered_payload_stops(spark):
