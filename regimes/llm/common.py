@@ -49,7 +49,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Hand texts to Python in batches of ``rows``, unless the session already asks for fewer: that bounds a worker's memory."""
+    """Hand texts to Python in batches of ``rows``, unless the session already asks for fewer: that bounds a worker's memory.
+
+    The session's setting stays so, as results are computed later than they are asked for. Batches of long texts end
+    earlier, at ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless set otherwise); a longer text is a batch.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from regimes.llm import bwt, components, decontaminate, fm_index, language_id, mixing, near_dup, quality, repeats, sharding, shingles, syncmers, url_filter, warc
-from regimes.llm.common import new_folder
+from regimes.llm.common import new_folder, small_batches
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use themselves.
@@ -181,6 +181,13 @@ def test_language_id(spark, odd, none):
     assert {r.p.lang for r in docs.select(language_id.predict(one, F.col("text")).alias("p")).collect()} == {"en"}
 
 
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    small_batches(spark)
+    texts = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+    sizes = [r.size for r in texts.mapInPandas(lambda frames: (f[["text"]].map(len).agg(["sum"]).rename(columns={"text": "size"}) for f in frames), "size long").collect()]
+    assert sum(sizes) == 100_000_000 and len(sizes) > 1 and max(sizes) < 70_000_000
+
+
 def test_warc_round_trip(spark):
     big, cut = "x" * 1500, "ä" * 500
     rows = [
