@@ -42,11 +42,11 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without a hit stay as they are, those without text among them. Repeated rows are cut alike.
     """
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), window=10)
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), window=10, rest=True)
     hit = F.size("_found.spans") > 0
     left = F.aggregate("_found.spans", F.col("_found.n_words"), lambda n, s: n - s["end"] + s["start"])
-    rest = found.where(~hit | (left > 0)).withColumn("_cut", F.when(F.size("_found.spans") > 0, decontaminate.removed(F.col("text"), F.col("_found.spans"))).otherwise(F.col("text")))
-    changed = {"text": F.col("_cut"), "n_chars": F.when(F.size("_found.spans") > 0, F.char_length("_cut").cast("long")).otherwise(F.col("n_chars"))}
+    rest = found.where(~hit | (left > 0)).withColumn("_cut", F.when(hit, F.col("_found.rest")).otherwise(F.col("text")))
+    changed = {"text": F.col("_cut"), "n_chars": F.when(hit, F.char_length("_cut").cast("long")).otherwise(F.col("n_chars"))}
     return rest.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 

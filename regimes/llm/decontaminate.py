@@ -22,8 +22,8 @@ from .fm_index import FMIndex
 #: Bytes that belong to words (0-9, a-z and all of non-ASCII letters), A-Z lower-cased; the rest become spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Bytes of text that one index covers.
-SHARD_BYTES = 4 << 20
+#: Bytes of text that one index covers; if there are several blocks of phrases, all of which are read for each index.
+SHARD_BYTES, SHARD_BYTES_OF_MANY = 1 << 20, 16 << 20
 #: Bits of the filter of words, a power of two.
 FILTER_BITS = 1 << 22
 FOUND = "n_words long, spans array<struct<start: int, end: int>>, items array<string>"
@@ -166,25 +166,29 @@ def _written_blocks(items: DataFrame, n: int, window: int) -> DataFrame:
     return written(dealt.select("block", "t", "items").mapInPandas(made, "data binary, least long"), "phrases")
 
 
-def _finder(known: Callable[[set[bytes]], list[bytes]], least: int, blocks_: Callable[[], Iterable[Phrases]], shard_bytes: int):
-    @F.pandas_udf(FOUND)
+def _finder(known: Callable[[set[bytes]], list[bytes]], least: int, blocks_: Callable[[], Iterable[Phrases]], shard_bytes: int, rest: bool):
+    @F.pandas_udf(f"{FOUND}, rest string" if rest else FOUND)
     def find(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in series:
             texts = [t if isinstance(t, str) else None for t in s]
             rows: list = []
             for a, b in blocks(texts, shard_bytes, 1 << 20):
                 rows += [(n, [{"start": x, "end": y} for x, y in spans], sorted(items)) for n, spans, items in _search(texts[a:b], known, least, blocks_())]
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+            out = pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+            yield out.assign(rest=pd.Series([_without(t, spans) if len(spans) else None for t, spans in zip(texts, out["spans"])], dtype=object)) if rest else out
 
     return find.asNondeterministic()  # else it runs once for a filter and once more for a column
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", block_bytes: int = 4 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", block_bytes: int = 4 << 20, rest: bool = False) -> DataFrame:
     """``docs`` with a column ``_found``: ``n_words``, the merged ``spans`` of hit words (numbers from 0, end
     exclusive) and the sorted ``items`` that occur.
 
     A phrase is a run of ``window`` words of a benchmark item, or a shorter item as a whole; a word of a document
-    is hit if it lies in an occurrence of a phrase. The benchmark is the query set: its distinct texts, each with
+    is hit if it lies in an occurrence of a phrase. With ``rest`` there is also the text that ``removed`` leaves (null
+    where nothing is hit), made by the same worker: a second function of Python would need as many workers again.
+
+    The benchmark is the query set: its distinct texts, each with
     its items' ids, are dealt into blocks of about ``block_bytes``. Documents are read once, whatever the size of the
     benchmark, and nothing is shuffled: a task builds each shard's index once and searches it for one block after
     another. A benchmark of one block goes to the tasks with the code; the phrases of several are written once, and
@@ -202,30 +206,30 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
     if n == 1:
         p = phrases([(r["t"], list(r["items"])) for r in items.select("t", "items").collect()], window)
         held = frozenset(p.words)
-        finder = _finder(lambda found: list(found & held), int(p.lengths.min(initial=1 << 30)), lambda: [p], SHARD_BYTES)
+        finder = _finder(lambda found: list(found & held), int(p.lengths.min(initial=1 << 30)), lambda: [p], SHARD_BYTES, rest)
     else:
         kept = _written_blocks(items, n, window)
         files, least, passing = kept.inputFiles(), kept.agg(F.min("least")).first()[0], word_filter(items).passing
-        finder = _finder(passing, least, lambda: _read_blocks(files), 4 * SHARD_BYTES)
+        finder = _finder(passing, least, lambda: _read_blocks(files), SHARD_BYTES_OF_MANY, rest)
     discard(items)
     return docs.drop("_found").withColumn("_found", finder(F.col(f"`{text}`").cast("string")))
 
 
+def _without(t: str, spans: list[dict]) -> str:
+    at = [(m.start(), m.end()) for m in _WORD.finditer(t)]
+    kept, last = [], 0
+    for s in spans:
+        kept.append(t[last : at[s["start"]][0]])
+        last = at[s["end"] - 1][1]
+    return "\n".join([*kept, t[last:]])
+
+
 def removed(text: Column, spans: Column) -> Column:
     """A text without the words of ``spans`` and what stands between them; a line break takes their place."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
-        out = []
-        for t, spans in zip(texts, all_spans):
-            if isinstance(t, str) and spans is not None and len(spans):
-                at = [(m.start(), m.end()) for m in _WORD.finditer(t)]
-                kept, last = [], 0
-                for s in spans:
-                    kept.append(t[last : at[s["start"]][0]])
-                    last = at[s["end"] - 1][1]
-                t = "\n".join([*kept, t[last:]])
-            out.append(t)
+        out = [_without(t, spans) if isinstance(t, str) and spans is not None and len(spans) else t for t, spans in zip(texts, all_spans)]
         return pd.Series(out, dtype=object)
 
     return cut(text, spans)

@@ -382,6 +382,19 @@ def test_decontaminate(spark, odd, none, block_bytes):
     assert all(not r._found.spans for r in decontaminate.find(df, spark.createDataFrame([], "item_id string, text string")).collect())
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 60])
+def test_decontaminate_rest(spark, odd, block_bytes):
+    """The text that is left comes from the worker that found the spans, and is what ``removed`` makes of them."""
+    item = prose(25)
+    docs = [item, prose(4) + " " + item + "! " + prose(4) + item, "no hit", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*docs, *(r.text for r in odd.collect())])], "doc_id long, text string")
+    items = spark.createDataFrame([("1", item), ("2", "The  OCEAN")], "item_id string, text string")
+    got = decontaminate.find(df, items, block_bytes=block_bytes, rest=True).withColumn("cut", decontaminate.removed(F.col("text"), F.col("_found.spans"))).collect()
+    assert sum(len(r._found.spans) > 0 for r in got) >= 2
+    for r in got:
+        assert r._found.rest == (r.cut if r._found.spans else None)
+
+
 def test_mixing_budgets(spark):
     leaves = [("a", "x", 100.0, 0.7, 1.0), ("a", "y", 10.0, 0.7, 1.0), ("b", "x", 1000.0, 0.3, 1.0), ("b", "z", 1000.0, 0.3, 0.0)]
     df = spark.createDataFrame(leaves, "domain string, lang string, capacity double, w_domain double, w_lang double")

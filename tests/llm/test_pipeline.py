@@ -148,6 +148,13 @@ def test_repeated_rows_leave_one(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "lone words here"), (1, "a b c d e f"), (3, "")]
 
 
+def test_remove_benchmark_by_one_worker(spark):
+    """Each function of Python in a task has a worker of its own, whose memory counts; the stage has one."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    plan = corpus_pipeline.remove_benchmark(spark, docs, D)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_run_small(spark):
     out = corpus_pipeline.run(spark, D)
     assert {"shard", "slot"} <= set(out.columns) and out.count() > 100
